@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["extraction"]
+MODULES = ["extraction", "analysis"]
 
 
 def all_queries() -> dict:
