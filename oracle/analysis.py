@@ -24,9 +24,9 @@ CTES["trk"] = (
     " FROM trk0 WHERE tool IS NOT NULL"
 )
 CTES["tools"] = (
-    "SELECT g.page_id, count(t.tool) AS total, count_if(t.tool = 'google_analytics') AS ga, count_if(t.tool = 'facebook_pixel') AS fb,"
-    " count_if(t.tool = 'google_tag_manager') AS gtm, count_if(t.tool = 'hotjar') AS hj, count_if(t.tool = 'mixpanel') AS mp,"
-    " count_if(t.tool = 'other_tracking') AS other"
+    "SELECT g.page_id, count(t.tool) AS total, count(*) FILTER (WHERE t.tool = 'google_analytics') AS ga, count(*) FILTER (WHERE t.tool = 'facebook_pixel') AS fb,"
+    " count(*) FILTER (WHERE t.tool = 'google_tag_manager') AS gtm, count(*) FILTER (WHERE t.tool = 'hotjar') AS hj, count(*) FILTER (WHERE t.tool = 'mixpanel') AS mp,"
+    " count(*) FILTER (WHERE t.tool = 'other_tracking') AS other"
     " FROM pg g LEFT JOIN (SELECT * FROM trk WHERE tool = 'other_tracking' OR id IS NOT NULL) t ON t.page_id = g.page_id GROUP BY g.page_id"
 )
 CTES["socmeta"] = (

@@ -164,6 +164,23 @@ VIEWS: dict[str, str] = {
     ),
 }
 
+VIEWS["login_requests"] = (
+    "SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 3 = 0 THEN 'customer.' || CAST(s_suppkey AS STRING) || '@building.example.com'"
+    " WHEN s_suppkey % 3 = 1 THEN 'moved.' || CAST(s_suppkey AS STRING) || '@example.org'"
+    " ELSE 'new.user-' || CAST(s_suppkey % 40 AS STRING) || 'b@example.net' END AS email,"
+    " CASE WHEN s_suppkey % 2 = 1 THEN 'ext-' || CAST(s_suppkey % 1000 AS STRING) END AS external_id,"
+    " CASE WHEN s_suppkey % 7 = 0 THEN 'Eva' END AS given_name, CASE WHEN s_suppkey % 5 = 0 THEN 'Berg' END AS family_name FROM $supplier$"
+)
+# Change requests: several per key, with a time of change.
+VIEWS["changes"] = (
+    "SELECT event_id, ts AS changed_at, 'u' || CAST(user_id AS STRING) AS user_id, 'p' || CAST(user_id AS STRING) AS project_id,"
+    " CASE WHEN event_id % 2 = 0 THEN 'Name ' || CAST(event_id AS STRING) END AS new_name,"
+    " CASE WHEN event_id % 3 = 0 THEN event_type || '@example.com' END AS new_email,"
+    " CASE WHEN event_id % 5 = 0 THEN 'admin' END AS new_role, CASE WHEN event_id % 7 = 0 THEN false END AS new_active,"
+    " CASE WHEN event_type = 'error' THEN 'paused' ELSE 'active' END AS new_status,"
+    " 'scraped_sites/run_' || CAST(event_id AS STRING) AS new_path, event_type FROM $events$"
+)
+
 # Object keys of the bundles of every page, plus stray keys.
 VIEWS["object_keys"] = (
     "SELECT 'scraped_sites/page_' || CAST(page_id AS STRING) || '/' || f AS key, length(html) AS size"
