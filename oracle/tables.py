@@ -14,7 +14,9 @@ def _id(*keys: str) -> str:
 
 
 def _last(key: str) -> str:
-    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY changed_at DESC) AS rn FROM changes) WHERE rn = 1)"
+    cols = ["new_name", "new_email", "new_role", "new_active", "new_status", "new_path"]
+    picks = ", ".join(f"arg_max({c}, changed_at) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in cols)
+    return f"(SELECT {key}, max(changed_at) AS changed_at, {picks} FROM changes GROUP BY {key})"
 
 
 def _newest(src: str, key: str, order: str, k: int) -> str:
@@ -28,7 +30,6 @@ CTES["stats"] = (
     " coalesce(h.overall_score, 0)::BIGINT AS latest_health_score, h.ts AS last_crawl FROM projects p LEFT JOIN "
     + _newest("site_health", "project_id", "ts DESC, health_id DESC", 1) + " h ON h.project_id = p.project_id"
 )
-_stamp = "CASE WHEN c.event_id IS NULL THEN {old} ELSE c.changed_at END"
 _upd = lambda cols: (
     f"SELECT p.project_id, {cols}, coalesce(c.changed_at, p.updated_at) AS updated_at FROM projects p LEFT JOIN {_last('project_id')} c ON c.project_id = p.project_id"
 )

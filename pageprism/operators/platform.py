@@ -84,18 +84,23 @@ def duplicates(table: DataFrame, key: str) -> DataFrame:
     return table.join(repeated, key)
 
 
-def last_changes(changes: DataFrame, key: str, changed_at: str) -> DataFrame:
-    return newest(changes, [key], [changed_at])
+def last_values(changes: DataFrame, key: str, columns: dict[str, str], changed_at: str) -> DataFrame:
+    """Per key the last given value of each column; NULL means not given.
 
+    Applying changes one after the other keeps an earlier change of a column
+    that later ones leave alone, so the last value is taken per column.
+    """
 
-def merge(table: DataFrame, changes: DataFrame, key: str, columns: dict[str, str], changed_at: str) -> DataFrame:
-    """Apply the last change per key; ``columns`` maps table to change column.
+    def last(src: str) -> Column:
+        given = F.col(src).isNotNull()
+        return F.max_by(F.col(src), F.when(given, F.struct(F.col(changed_at), F.col(src))))
 
-    A NULL in a change means that the column was not given.
-    """
-    last = last_changes(changes, key, changed_at)
-    picked = last.select(key, *[F.col(src).alias(f"_new_{dst}") for dst, src in columns.items()])
-    merged = table.join(picked, key, "left")
+    return changes.groupBy(key).agg(*[last(src).alias(f"_new_{dst}") for dst, src in columns.items()])
+
+
+def merge(table: DataFrame, changes: DataFrame, key: str, columns: dict[str, str], changed_at: str) -> DataFrame:
+    """Apply a table of changes; ``columns`` maps table column to change column."""
+    merged = table.join(last_values(changes, key, columns, changed_at), key, "left")
     return merged.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns}).select(*table.columns)
 
 

@@ -58,6 +58,7 @@ def measures(parsed: DataFrame, *keep: str) -> DataFrame:
         E.first_link("sitemap").alias("sitemap"),
         E.last_meta("robots").alias("robots"),
         E.last_meta("description").alias("meta_description"),
+        *[E.last_meta(k).alias(k) for k in ("language", "charset", "viewport")],
         n(F.col("words")).alias("word_count"),
         n(F.col("inline_styles")).alias("inline_styles"),
         n(E.internal_css()).alias("internal_css"),
