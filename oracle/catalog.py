@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["extract", "analysis", "tracking", "tables", "reporting"]
+MODULES = ["extract", "analysis", "tracking", "tables", "reporting", "storage"]
 
 
 def all_sql() -> dict[str, str]:

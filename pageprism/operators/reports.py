@@ -140,18 +140,19 @@ def with_log(parsed: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def write_bundle(pages: DataFrame, bucket: str) -> DataFrame:
-    """One row per page and artifact, keyed like the reference's objects."""
+def write_bundle(pages: DataFrame, bucket: str, only: str | None = None) -> DataFrame:
+    """One row per page and artifact (or of one artifact), with its object key."""
     prefix = F.col("saved_directory")
     parts = {
-        "index.html": F.col("html"),
-        "styles.css": bundle_css(),
-        "scripts.js": bundle_js(),
-        "links.txt": bundle_links(),
-        "metadata.json": bundle_metadata(_text(f"s3://{bucket}/", prefix)),
-        "seo_report.txt": bundle_seo_report(),
+        "index.html": lambda: F.col("html"),
+        "styles.css": bundle_css,
+        "scripts.js": bundle_js,
+        "links.txt": bundle_links,
+        "metadata.json": lambda: bundle_metadata(_text(f"s3://{bucket}/", prefix)),
+        "seo_report.txt": bundle_seo_report,
     }
-    arr = F.array(*[F.struct(F.lit(k).alias("artifact"), c.alias("body")) for k, c in parts.items()])
+    made = {k: make() for k, make in parts.items() if only in (None, k)}
+    arr = F.array(*[F.struct(F.lit(k).alias("artifact"), c.alias("body")) for k, c in made.items()])
     out = rows(pages, arr, keep=["page_id", "saved_directory"])
     return out.select("page_id", "e.artifact", _text(prefix, "/", F.col("e.artifact")).alias("key"), "e.body")
 

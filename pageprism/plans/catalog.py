@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["extraction", "analysis", "tracking", "tables", "reporting"]
+MODULES = ["extraction", "analysis", "tracking", "tables", "reporting", "storage"]
 
 
 def all_queries() -> dict:

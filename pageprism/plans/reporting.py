@@ -20,8 +20,8 @@ def logged(s: SparkSession, sf: str) -> DataFrame:
     return R.with_log(parsed(s, sf), log(s, sf))
 
 
-def bundle(s: SparkSession, sf: str) -> DataFrame:
-    return R.write_bundle(logged(s, sf), BUCKET)
+def bundle(s: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+    return R.write_bundle(logged(s, sf), BUCKET, only)
 
 
 def requests(s: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +29,7 @@ def requests(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _artifact(name: str, column: str):
-    return lambda s, sf: bundle(s, sf).filter(F.col("artifact") == name).select("page_id", F.col("body").alias(column))
+    return lambda s, sf: bundle(s, sf, name).select("page_id", F.col("body").alias(column))
 
 
 def write_bundle(s: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def bundle_metadata(s: SparkSession, sf: str) -> DataFrame:
     """Fields read back from the metadata document of every page."""
     field = lambda path: F.get_json_object("body", path)
     size = lambda path: F.json_array_length(field(path)).cast("bigint")
-    return bundle(s, sf).filter("artifact = 'metadata.json'").select(
+    return bundle(s, sf, "metadata.json").select(
         "page_id",
         field("$.original_url").alias("original_url"),
         field("$.scraped_at").alias("scraped_at"),
