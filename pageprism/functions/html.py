@@ -20,29 +20,32 @@ MARK = "\u0001"
 TAIL = r"""[^=>]*+(?:=(?:\s*+"[^"]*+"|\s*+'[^']*+')?+[^=>]*+)*+>"""
 BOUND = r"(?=[\s/>])"
 
-# Comments, script and style elements with their bodies, declarations, tags.
-NON_TEXT = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    rf"|(<script{BOUND}{TAIL}).*?(?:</script\s*+>|\z)"
-    rf"|(<style{BOUND}{TAIL}).*?(?:</style\s*+>|\z)"
-    r"|<[!?][^>]*+>"
-    rf"|(</?[a-z]{TAIL})"
-)
-TAG = rf"(?is)</?[a-z]{TAIL}"
+# Parts that hide whatever looks like markup inside them.
+COMMENT = r"<!--.*?(?:-->|\z)"
+SCRIPT = rf"<script{BOUND}{TAIL}.*?(?:</script\s*+>|\z)"
+STYLE = rf"<style{BOUND}{TAIL}.*?(?:</style\s*+>|\z)"
+DECLARATION = r"<[!?][^>]*+>"
+HIDING = rf"{COMMENT}|{SCRIPT}|{STYLE}"
+WITH_ATTRIBUTES = rf"<[a-z][^\s/>=]*+[\s/]{TAIL}"
+
+# Everything that is not text.
+NON_TEXT = rf"(?is){HIDING}|{DECLARATION}|</?[a-z]{TAIL}"
+# Group 1: scripts, styles, tags with attributes, bare image tags.
+MARKS = rf"(?is){COMMENT}|{DECLARATION}|({SCRIPT}|{STYLE}|{WITH_ATTRIBUTES}|<img>)"
 OPEN_TAG = rf"(?is)^<[a-z]{TAIL}"
 ATTR = r"""([^\s/>=][^\s/>=]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def _element(name: str) -> str:
-    """An element up to the next open or close tag of the same family."""
-    return rf"(?is)<{name}{BOUND}{TAIL}(?:[^<]++|<(?!/?{name}[\s/>])(?:/?[a-z]{TAIL})?+)*+"
+def _elements(name: str) -> str:
+    """Group 1: elements up to the next open or close tag of the same family."""
+    body = rf"(?:[^<]++|{HIDING}|<(?!/?{name}[\s/>])(?:/?[a-z]{TAIL})?+)*+"
+    return rf"(?is){HIDING}|{DECLARATION}|(<{name}{BOUND}{TAIL}{body})|{WITH_ATTRIBUTES}"
 
 
-ANCHOR = _element("a")
-HEADING = _element("h[1-6]")
-TITLE = _element("title")
+ANCHORS = _elements("a")
+TITLES_AND_HEADINGS = _elements("(?:h[1-6]|title)")
 
 
 # ---- entities ---------------------------------------------------------
@@ -100,20 +103,27 @@ def decode_attr(text: Column) -> Column:
 
 
 # ---- tags -------------------------------------------------------------
+def _found(html: Column, pattern: str) -> Column:
+    return F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda m: m != "")
+
+
 def scan_marks(html: Column) -> Column:
-    """All comments, script/style elements and tags, in document order."""
-    return F.regexp_extract_all(html, F.lit(NON_TEXT), F.lit(0))
+    """Script and style elements, tags with attributes, image tags; in document order."""
+    return _found(html, MARKS)
+
 
+def scan_anchors(html: Column) -> Column:
+    return _found(html, ANCHORS)
 
-def strip_noise(html: Column) -> Column:
-    """Markup without comments, declarations and script/style bodies."""
-    return F.regexp_replace(html, F.lit(NON_TEXT), F.lit("$1$2$3" + MARK))
+
+def scan_titles_and_headings(html: Column) -> Column:
+    return _found(html, TITLES_AND_HEADINGS)
 
 
 def visible_text(html: Column) -> Column:
     """Text nodes joined without separator, character references decoded."""
     marked = F.regexp_replace(html, F.lit(NON_TEXT), F.lit(MARK))
-    return F.translate(let(marked, decode_text), MARK, "")
+    return F.replace(let(marked, decode_text), F.lit(MARK), F.lit(""))
 
 
 def words(text: Column) -> Column:
@@ -129,9 +139,13 @@ def _unquote(raw: Column) -> Column:
     return decode_attr(bare)
 
 
-def attributes(mark: Column) -> Column:
-    """Names and values, reversed so that the last duplicate is found first."""
-    body = F.regexp_replace(F.regexp_extract(mark, OPEN_TAG, 0), F.lit(r"^<[^\s/>]*+"), F.lit(""))
+def open_tag(element: Column) -> Column:
+    return F.regexp_extract(element, OPEN_TAG, 0)
+
+
+def attributes(tag: Column) -> Column:
+    """Names and values of an open tag, reversed so that the last duplicate is found first."""
+    body = F.regexp_replace(tag, F.lit(r"^<[^\s/>]*+"), F.lit(""))
     return let(
         body,
         lambda b: F.struct(
@@ -146,16 +160,16 @@ def attr(parsed: Column, name: str) -> Column:
     return F.get(parsed["values"], F.array_position(parsed["names"], name).cast("int") - 1)
 
 
-def inner_text(element: Column) -> Column:
-    """Text of an element: every text node trimmed, joined without separator."""
-    marked = F.regexp_replace(element, F.lit(TAG), F.lit(MARK))
-    apart = F.regexp_replace(let(marked, decode_text), F.lit(f"{SPACE}*+{MARK}{SPACE}*+"), F.lit(""))
-    return F.regexp_replace(apart, F.lit(f"^{SPACE}+|{SPACE}+$"), F.lit(""))
+def element_body(element: Column) -> Column:
+    """What follows the open tag, with a mark for each thing that is not text."""
+    return F.regexp_replace(F.regexp_replace(element, F.lit(OPEN_TAG), F.lit("")), F.lit(NON_TEXT), F.lit(MARK))
 
 
-def element_body(element: Column, name: str) -> Column:
-    """What follows the open tag."""
-    return F.regexp_replace(element, F.lit(rf"(?is)^<{name}{BOUND}{TAIL}"), F.lit(""))
+def inner_text(element: Column) -> Column:
+    """Text of an element: every text node trimmed, joined without separator."""
+    apart = let(element_body(element), decode_text)
+    joined = F.regexp_replace(apart, F.lit(f"{SPACE}*+{MARK}{SPACE}*+"), F.lit(""))
+    return F.regexp_replace(joined, F.lit(f"^{SPACE}++|{SPACE}++$"), F.lit(""))
 
 
 def raw_body(mark: Column, name: str) -> Column:

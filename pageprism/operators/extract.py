@@ -41,15 +41,14 @@ TOP_WORDS = 20
 
 
 def _title() -> Column:
-    element = F.regexp_extract(F.col("markup"), H.TITLE, 0)
+    first = F.get(F.filter("titled", lambda e: e.rlike("(?i)^<title")), F.lit(0))
 
     def pick(e: Column) -> Column:
-        body = F.regexp_replace(H.element_body(e, "title"), F.lit(f"^{H.MARK}"), F.lit(""))
-        return F.when(e == "", F.lit(NO_TITLE)).otherwise(
-            let(body, lambda b: F.when((b != "") & ~F.contains(b, F.lit(H.MARK)), H.decode_text(b)))
+        return F.when(e.isNull(), F.lit(NO_TITLE)).otherwise(
+            let(H.element_body(e), lambda b: F.when((b != "") & ~F.contains(b, F.lit(H.MARK)), H.decode_text(b)))
         )
 
-    return let(element, pick)
+    return let(first, pick)
 
 
 def _metas() -> Column:
@@ -92,7 +91,7 @@ def _images() -> Column:
 def _scripts() -> Column:
     def one(m: Column) -> Column:
         return let(
-            H.attributes(m),
+            H.attributes(H.open_tag(m)),
             lambda a: F.struct(
                 H.attr(a, "type").alias("type"),
                 H.attr(a, "src").alias("src"),
@@ -104,24 +103,21 @@ def _scripts() -> Column:
 
 
 def _inline_styles() -> Column:
-    tags = F.filter(F.col("marks"), lambda m: m.rlike(r"(?i)^<[a-z][^>]*[\s\"'/]style"))
-    values = F.transform(tags, lambda m: let(H.attributes(m), lambda a: H.attr(a, "style")))
+    tags = F.filter(F.col("marks"), lambda m: F.contains(F.lower(m), F.lit("style")))
+    values = F.transform(tags, lambda m: let(H.attributes(H.open_tag(m)), lambda a: H.attr(a, "style")))
     return F.filter(values, lambda v: v.isNotNull())
 
 
 def _headings() -> Column:
-    found = F.regexp_extract_all(F.col("markup"), F.lit(H.HEADING), F.lit(0))
+    found = F.filter("titled", lambda e: e.rlike("(?i)^<h"))
     return F.transform(
-        found,
-        lambda e: F.struct(
-            F.substring(e, 3, 1).cast("bigint").alias("level"), H.inner_text(H.element_body(e, "h[1-6]")).alias("text")
-        ),
+        found, lambda e: F.struct(F.substring(e, 3, 1).cast("bigint").alias("level"), H.inner_text(e).alias("text"))
     )
 
 
 def _anchors() -> Column:
-    found = F.regexp_extract_all(F.col("markup"), F.lit(H.ANCHOR), F.lit(0))
-    opened = F.transform(found, lambda e: F.struct(H.attributes(e).alias("a"), e.alias("e")))
+    found = H.scan_anchors(F.col("html"))
+    opened = F.transform(found, lambda e: F.struct(H.attributes(H.open_tag(e)).alias("a"), e.alias("e")))
     linked = F.filter(opened, lambda x: F.array_contains(x["a"]["names"], "href"))
     base = F.col("base")
 
@@ -130,7 +126,7 @@ def _anchors() -> Column:
         return let(
             F.struct(
                 H.attr(a, "href").alias("href"),
-                H.inner_text(H.element_body(x["e"], "a")).alias("text"),
+                H.inner_text(x["e"]).alias("text"),
                 F.coalesce(H.attr(a, "title"), F.lit("")).alias("title"),
                 H.attr(a, "rel").alias("rel"),
                 F.coalesce(H.attr(a, "target"), F.lit("")).alias("target"),
@@ -171,12 +167,12 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     scanned = pages.withColumns(
         {
             "marks": H.scan_marks(F.col("html")),
-            "markup": H.strip_noise(F.col("html")),
+            "titled": H.scan_titles_and_headings(F.col("html")),
             "base": U.base_parts(F.col("url")),
         }
     )
     parsed = scanned.withColumns(_page_columns(id(pages.sparkSession.sparkContext._gateway)))
-    return parsed.drop("marks", "markup", "base")
+    return parsed.drop("marks", "titled", "base")
 
 
 # ---- per-row helpers on parsed pages ------------------------------------
