@@ -42,7 +42,7 @@ def trim(x: str) -> str:
 
 
 def fold(x: str) -> str:
-    s = f"regexp_replace(regexp_replace(regexp_replace({x}, '/+', '/', 'g'), '/(\\./)+', '/', 'g'), '/\\.$', '/')"
+    s = f"regexp_replace(regexp_replace({x}, '/(\\./)+', '/', 'g'), '/\\.$', '/')"
     for _ in range(5):
         s = f"regexp_replace(regexp_replace({s}, '^(?:/\\.\\.)+(?:/|$)', '/'), '/[^/]+/\\.\\.(?:/|$)', '/')"
     return s
@@ -187,7 +187,7 @@ CTES["a2"] = (
     " WHEN rp = '' THEN bs || '://' || bn || bp || CASE WHEN rq <> '' THEN '?' || rq WHEN bq <> '' THEN '?' || bq ELSE '' END"
     " || CASE WHEN rf <> '' THEN '#' || rf ELSE '' END"
     " ELSE bs || '://' || bn || "
-    + fold("CASE WHEN starts_with(rp, '/') THEN rp ELSE coalesce(nullif(regexp_extract(bp, '^(.*/)', 1), ''), '/') || rp END")
+    + fold("CASE WHEN starts_with(rp, '/') THEN rp ELSE regexp_replace(coalesce(nullif(regexp_extract(bp, '^(.*/)', 1), ''), '/') || rp, '/+', '/', 'g') END")
     + f" || {_Q} END AS full_url FROM a1"
 )
 CTES["a"] = (

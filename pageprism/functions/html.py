@@ -17,31 +17,37 @@ from .cols import let
 MARK = "\u0001"
 
 # Rest of a tag after its first letters, honouring quoted attribute values.
-TAIL = r"""[^=>]*+(?:=(?:\s*+"[^"]*+"|\s*+'[^']*+')?+[^=>]*+)*+>"""
+_INSIDE = r"""[^=>]*+(?:=(?:\s*+"[^"]*+"|\s*+'[^']*+')?+[^=>]*+)*+"""
+TAIL = _INSIDE + ">"
+# A tag cut off by the end of the page: taken as a whole, so that the tag
+# starts within it are not tried one after the other.
+CUT_OFF = rf"</?[a-z]{_INSIDE}\z"
 BOUND = r"(?=[\s/>])"
 
 # Parts that hide whatever looks like markup inside them.
 COMMENT = r"<!--.*?(?:-->|\z)"
 SCRIPT = rf"<script{BOUND}{TAIL}.*?(?:</script\s*+>|\z)"
 STYLE = rf"<style{BOUND}{TAIL}.*?(?:</style\s*+>|\z)"
-DECLARATION = r"<[!?][^>]*+>"
+DECLARATION = r"<[!?][^>]*+(?:>|\z)"
 HIDING = rf"{COMMENT}|{SCRIPT}|{STYLE}"
 WITH_ATTRIBUTES = rf"<[a-z][^\s/>=]*+[\s/]{TAIL}"
 
 # Everything that is not text.
-NON_TEXT = rf"(?is){HIDING}|{DECLARATION}|</?[a-z]{TAIL}"
+NON_TEXT = rf"(?is){HIDING}|{DECLARATION}|</?[a-z]{TAIL}|{CUT_OFF}"
 # Group 1: scripts, styles, tags with attributes, bare image tags.
-MARKS = rf"(?is){COMMENT}|{DECLARATION}|({SCRIPT}|{STYLE}|{WITH_ATTRIBUTES}|<img>)"
+MARKS = rf"(?is){COMMENT}|{DECLARATION}|({SCRIPT}|{STYLE}|{WITH_ATTRIBUTES}|<img>)|{CUT_OFF}"
 OPEN_TAG = rf"(?is)^<[a-z]{TAIL}"
 ATTR = r"""([^\s/>=][^\s/>=]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+# The same characters one by one, for trimming.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 WORD = r"[\p{L}\p{N}_]+"
 
 
 def _elements(name: str) -> str:
     """Group 1: elements up to the next open or close tag of the same family."""
-    body = rf"(?:[^<]++|{HIDING}|<(?!/?{name}[\s/>])(?:/?[a-z]{TAIL})?+)*+"
-    return rf"(?is){HIDING}|{DECLARATION}|(<{name}{BOUND}{TAIL}{body})|{WITH_ATTRIBUTES}"
+    body = rf"(?:[^<]++|{HIDING}|<(?!/?{name}[\s/>])(?:/?[a-z]{_INSIDE}(?:>|\z))?+)*+"
+    return rf"(?is){HIDING}|{DECLARATION}|(<{name}{BOUND}{TAIL}{body})|{WITH_ATTRIBUTES}|{CUT_OFF}"
 
 
 ANCHORS = _elements("a")
@@ -93,7 +99,7 @@ def _decode(text: Column, in_attribute: bool) -> Column:
 
 
 def decode_text(text: Column) -> Column:
-    """Decode character references the way the reference's parser does in text."""
+    """Decode character references of text; an unknown one loses its semicolon."""
     return _decode(text, in_attribute=False)
 
 
@@ -168,8 +174,8 @@ def element_body(element: Column) -> Column:
 def inner_text(element: Column) -> Column:
     """Text of an element: every text node trimmed, joined without separator."""
     apart = let(element_body(element), decode_text)
-    joined = F.regexp_replace(apart, F.lit(f"{SPACE}*+{MARK}{SPACE}*+"), F.lit(""))
-    return F.regexp_replace(joined, F.lit(f"^{SPACE}++|{SPACE}++$"), F.lit(""))
+    joined = F.regexp_replace(apart, F.lit(f"(?<!{SPACE})(?:{SPACE}*+{MARK})++{SPACE}*+"), F.lit(""))
+    return F.btrim(joined, F.lit(BLANKS))
 
 
 def raw_body(mark: Column, name: str) -> Column:

@@ -32,27 +32,31 @@ def base_parts(url: Column) -> Column:
     )
 
 
-def _fold(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` and drop empty inner segments."""
+def _fold(segments: Column) -> Column:
+    """Path text of segments with ``.`` and ``..`` resolved."""
 
     def step(acc: Column, seg: Column) -> Column:
         return (
             F.when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(seg.isin(".", ""), acc)
+            .when(seg == ".", acc)
             .otherwise(F.concat(acc, F.array(seg)))
         )
 
-    def rebuilt(p: Column) -> Column:
-        kept = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
-        slash = p.rlike(r"(^|/)\.{0,2}$")
-        return let(
-            kept,
-            lambda k: F.concat(
-                F.lit("/"), F.array_join(k, "/"), F.when(slash & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))
-            ),
-        )
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+    whole = F.concat(F.array_join(kept, "/"), F.when(ends_in_dots & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return let(whole, lambda w: F.when(w.startswith("/"), w).otherwise(F.concat(F.lit("/"), w)))
+
+
+def _absolute_path(folder: Column, path: Column) -> Column:
+    """Path below the site root; a relative one also loses its empty inner segments."""
+
+    def relative(p: Column) -> Column:
+        inner = lambda parts: F.filter(parts, lambda x, i: (i == 0) | (i == F.size(parts) - 1) | (x != ""))
+        return F.when(p.rlike(r"//|/\."), _fold(let(F.split(p, "/"), inner))).otherwise(p)
 
-    return F.when(path.rlike(r"//|/\."), rebuilt(path)).otherwise(path)
+    rooted = F.when(path.rlike(r"/\."), _fold(F.split(path, "/"))).otherwise(path)
+    return F.when(path.startswith("/"), rooted).otherwise(let(F.concat(folder, path), relative))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -65,7 +69,6 @@ def resolve(base: Column, href: Column) -> Column:
         tail = lambda mark, v: F.when(v != "", F.concat(F.lit(mark), v)).otherwise(F.lit(""))
         root = F.concat(base["scheme"], F.lit("://"), base["netloc"])
         folder = F.coalesce(F.nullif(F.regexp_extract(base["path"], r"^(.*/)", 1), F.lit("")), F.lit("/"))
-        absolute = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
         return (
             F.when(h == "", base["url"])
             .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
@@ -76,7 +79,7 @@ def resolve(base: Column, href: Column) -> Column:
                     root, base["path"], tail("?", F.when(query != "", query).otherwise(base["query"])), tail("#", frag)
                 ),
             )
-            .otherwise(F.concat(root, let(absolute, _fold), tail("?", query), tail("#", frag)))
+            .otherwise(F.concat(root, _absolute_path(folder, path), tail("?", query), tail("#", frag)))
         )
 
     cleaned = F.regexp_replace(href, F.lit(r"^[\x00-\x20]+|[\t\r\n]+"), F.lit(""))
@@ -87,7 +90,7 @@ def normalize_domain(raw: Column) -> Column:
     """Authority without ``www.``, or the raw text; trailing slashes removed."""
     loc = netloc(raw)
     picked = F.when(loc != "", F.replace(loc, F.lit("www."), F.lit(""))).otherwise(raw)
-    return F.regexp_replace(picked, F.lit("/+$"), F.lit(""))
+    return F.rtrim(picked, F.lit("/"))
 
 
 # Fixed value: accepted domain names, label by label.

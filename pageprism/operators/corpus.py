@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import rows
 from ..functions.urls import site_key
+from ..sources.sinks import materialize
 from . import extract as E
 from . import scoring as S
 from . import trackers as T
@@ -73,6 +74,7 @@ def competitor_compare(parsed: DataFrame) -> DataFrame:
         F.sum("word_count").alias("words"),
         F.sum("total_links").alias("links"),
     )
+    hosts = materialize(hosts, "hosts")  # read twice below; the pages are parsed once
     steps = hosts.groupBy("mean_score").agg(F.count(F.lit(1)).alias("c"))
     by_score = Window.orderBy(F.desc("mean_score"))
     ranks = steps.select(
@@ -171,12 +173,11 @@ def tool_pairs(parsed: DataFrame) -> DataFrame:
     return total.select(F.explode(arr).alias("x")).select("x.*")
 
 
-def perf_trend(parsed: DataFrame, log: DataFrame) -> DataFrame:
+def perf_trend(parsed: DataFrame) -> DataFrame:
     """Mean performance score per site and day, and over seven days of data."""
-    scored = S.measures(parsed).select("page_id", S.performance().alias("score"))
     daily = (
-        log.select("page_id", _site(), F.to_date("scraped_at").alias("day"))
-        .join(scored, "page_id")
+        S.measures(parsed, "scraped_at")
+        .select(_site(), F.to_date("scraped_at").alias("day"), S.performance().alias("score"))
         .groupBy("site_key", "day")
         .agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("pages"))
     )

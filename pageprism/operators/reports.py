@@ -106,7 +106,7 @@ def bundle_metadata(location: Column) -> Column:
         F.struct(
             F.filter(T.classified(), T.is_kept).alias("tools"),
             T.social_metas().alias("social_media_tracking"),
-            # Lists the reference declares but never fills.
+            # Lists that are declared but never filled.
             *[F.array().cast("array<string>").alias(k) for k in (
                 "ecommerce_tracking", "conversion_tracking", "heatmap_tracking", "session_recording")],
         ).alias("detailed_analytics"),
@@ -132,12 +132,9 @@ def bundle_metadata(location: Column) -> Column:
     )
 
 
-def with_log(parsed: DataFrame, log: DataFrame) -> DataFrame:
-    """Parsed pages with the time of the scrape and what reports reuse."""
-    stamps = log.select("page_id", "scraped_at", "saved_directory")
-    return parsed.join(stamps, "page_id").withColumns(
-        {"meta_dict": E.meta_dict(), "keywords": E.top_keywords(F.col("words"))}
-    )
+def prepared(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with the columns that several reports read."""
+    return parsed.withColumns({"meta_dict": E.meta_dict(), "keywords": E.top_keywords(F.col("words"))})
 
 
 def write_bundle(pages: DataFrame, bucket: str, only: str | None = None) -> DataFrame:

@@ -14,10 +14,14 @@ from . import extract as E
 from ..functions.cols import n
 
 
-def scrape_stats(parsed: DataFrame, log: DataFrame) -> DataFrame:
+def scrape_stats(parsed: DataFrame) -> DataFrame:
     """Scrape records with title and the six counts of each page."""
-    counts = parsed.select(
+    return parsed.select(
         "page_id",
+        "url",
+        "scraped_at",
+        "user_email",
+        "saved_directory",
         F.coalesce("title", F.lit("Unknown")).alias("title"),
         n(F.col("anchors")).alias("links_count"),
         n(F.col("inline_styles")).alias("inline_styles_count"),
@@ -26,7 +30,6 @@ def scrape_stats(parsed: DataFrame, log: DataFrame) -> DataFrame:
         n(E.inline_scripts()).alias("inline_scripts_count"),
         n(E.external_scripts()).alias("external_scripts_count"),
     )
-    return log.join(counts, "page_id")
 
 
 def with_site(df: DataFrame, url: str) -> DataFrame:

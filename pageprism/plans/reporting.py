@@ -10,14 +10,14 @@ from ..operators import reports as R
 from ..operators import windows as W
 from ..sources.fixtures import view
 from .extraction import on_pages, parsed
-from .tracking import BUCKET, log
+from .tracking import BUCKET
 
 PROFILES = ["developer", "marketer", "shopper"]
 HOUR_LIMIT, DAY_LIMIT, SECOND_LIMIT = 100, 1000, 10
 
 
 def logged(s: SparkSession, sf: str) -> DataFrame:
-    return R.with_log(parsed(s, sf), log(s, sf))
+    return R.prepared(parsed(s, sf))
 
 
 def bundle(s: SparkSession, sf: str, only: str | None = None) -> DataFrame:
@@ -101,5 +101,5 @@ QUERIES = {
     "link_degrees": on_pages(C.link_degrees),
     "tracker_adoption": on_pages(C.tracker_adoption),
     "tool_pairs": on_pages(C.tool_pairs),
-    "perf_trend": lambda s, sf: C.perf_trend(parsed(s, sf), log(s, sf)),
+    "perf_trend": on_pages(C.perf_trend),
 }

@@ -21,8 +21,7 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
 
 def titled(spark: SparkSession, sf: str) -> DataFrame:
     """Scrape records with the page title."""
-    titles = parsed(spark, sf).select("page_id", "title")
-    return log(spark, sf).join(titles, "page_id")
+    return parsed(spark, sf).select("page_id", "url", "title", "scraped_at", "user_email", "saved_directory")
 
 
 def opts(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +64,7 @@ QUERIES = {
     "safe_label": lambda s, sf: N.safe_labels(view(s, sf, "projects")),
     "log_preview": lambda s, sf: N.log_previews(read_table(s, sf, "documents")),
     "path_migrate": lambda s, sf: N.path_migrate(view(s, sf, "projects"), BUCKET),
-    "scrape_stats": lambda s, sf: S.scrape_stats(parsed(s, sf), log(s, sf)),
+    "scrape_stats": lambda s, sf: S.scrape_stats(parsed(s, sf)),
     "site_upsert": lambda s, sf: S.site_upsert(log(s, sf)),
     "site_opt_upsert": lambda s, sf: S.site_opt_upsert(log(s, sf), opts(s, sf)),
     "is_scraped": lambda s, sf: S.is_scraped(lookups(s, sf), log(s, sf)),

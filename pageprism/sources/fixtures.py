@@ -77,17 +77,20 @@ _LINE_ID = (
     " || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_extendedprice AS STRING)"
 )
 
+# What a fetch records besides the page itself.
+_FETCH = (
+    "$ts$'2025-01-01 00:00:00' + page_id * INTERVAL '37' MINUTE AS scraped_at,"
+    " CASE WHEN page_id % 10 = 9 THEN NULL ELSE 'user' || CAST(page_id % 9 AS STRING) || '@example.com' END AS user_email,"
+    " 'scraped_sites/page_' || CAST(page_id AS STRING) AS saved_directory"
+)
+
 VIEWS: dict[str, str] = {
-    "web_pages": f"SELECT page_id, url, {_ENRICHED} AS html FROM $pages$",
+    "web_pages": f"SELECT page_id, url, {_ENRICHED} AS html, {_FETCH} FROM $pages$",
     "fetched_pages": (
         "SELECT page_id, CASE WHEN page_id % 10 = 1 THEN replace(url, 'http', 'ftp') ELSE url END AS url,"
         " CASE WHEN page_id % 11 = 2 THEN NULL WHEN page_id % 11 = 5 THEN '' ELSE html END AS html FROM $pages$"
     ),
-    "scrape_log": (
-        "SELECT page_id, url, $ts$'2025-01-01 00:00:00' + page_id * INTERVAL '37' MINUTE AS scraped_at,"
-        " CASE WHEN page_id % 10 = 9 THEN NULL ELSE 'user' || CAST(page_id % 9 AS STRING) || '@example.com' END AS user_email,"
-        " 'scraped_sites/page_' || CAST(page_id AS STRING) AS saved_directory FROM $pages$"
-    ),
+    "scrape_log": f"SELECT page_id, url, {_FETCH} FROM $pages$",
     "site_optimizations": (
         "SELECT conv_id * 1000 + turn AS opt_id, p.url AS original_url, role AS user_profile,"
         " $ts$'2025-01-02 00:00:00' + (conv_id * 1000 + turn) * INTERVAL '3' MINUTE AS optimized_at,"
