@@ -162,8 +162,13 @@ def _page_columns(gateway: int) -> dict[str, Column]:
     }
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, html)`` to one wide row per page."""
+def parse_pages(pages: DataFrame, *want: str) -> DataFrame:
+    """``(page_id, url, html)`` to one wide row per page.
+
+    ``want`` names the columns to add; without it all are added, and column
+    pruning still keeps unread ones from being computed.
+    """
+    made = _page_columns(id(pages.sparkSession.sparkContext._gateway))
     scanned = pages.withColumns(
         {
             "marks": H.scan_marks(F.col("html")),
@@ -171,7 +176,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             "base": U.base_parts(F.col("url")),
         }
     )
-    parsed = scanned.withColumns(_page_columns(id(pages.sparkSession.sparkContext._gateway)))
+    parsed = scanned.withColumns({k: c for k, c in made.items() if k in want or not want})
     return parsed.drop("marks", "titled", "base")
 
 
@@ -225,23 +230,34 @@ def meta_names(prefix: str = "") -> Column:
     return F.filter(F.array_distinct(names), lambda x: x.startswith(prefix))
 
 
+def _run_starts(s: Column, field: str) -> Column:
+    """Where a run of equal ``field`` values starts in a sorted array."""
+    at = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)[field] != x[field]), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
 def meta_dict() -> Column:
     """Distinct meta names in order of first use, each with its last content."""
+    placed = F.filter(
+        F.transform("metas", lambda m, i: F.struct(m["name"].alias("name"), i.alias("i"), m["content"].alias("content"))),
+        lambda m: m["name"] != "",
+    )
 
-    def pairs(metas: Column) -> Column:
-        used = F.filter(metas, lambda m: m["name"] != "")
+    def last_of_runs(s: Column) -> Column:
         return let(
-            used,
-            lambda u: F.transform(
-                F.array_distinct(F.transform(u, lambda m: m["name"])),
-                lambda k: F.struct(
-                    k.alias("name"),
-                    F.element_at(F.filter(u, lambda m: m["name"] == k), -1)["content"].alias("content"),
+            _run_starts(s, "name"),
+            lambda st: F.transform(
+                st,
+                lambda at, j: F.struct(
+                    F.get(s, at)["i"].alias("first"),
+                    F.get(s, at)["name"].alias("name"),
+                    F.get(s, F.coalesce(F.get(st, j + 1), F.size(s)) - 1)["content"].alias("content"),
                 ),
             ),
         )
 
-    return let(F.col("metas"), pairs)
+    in_order = F.array_sort(let(F.array_sort(placed), last_of_runs))
+    return F.transform(in_order, lambda m: m.dropFields("first"))
 
 
 def script_hits() -> Column:
@@ -271,12 +287,8 @@ def top_keywords(words: Column) -> Column:
     )
 
     def counted(s: Column) -> Column:
-        idx = F.transform(
-            s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["w"] != x["w"]), i)
-        )
-        starts = F.filter(idx, lambda i: i.isNotNull())
         return let(
-            starts,
+            _run_starts(s, "w"),
             lambda st: F.transform(
                 st,
                 lambda at, j: F.struct(

@@ -106,7 +106,7 @@ def merge(table: DataFrame, changes: DataFrame, key: str, columns: dict[str, str
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not deleted; other tables are left alone."""
-    return table.join(keys.select(key), key, "left_anti")
+    return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def user_resolve(requests: DataFrame, users: DataFrame, name: Column) -> DataFrame:

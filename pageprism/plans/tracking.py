@@ -21,7 +21,7 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
 
 def titled(spark: SparkSession, sf: str) -> DataFrame:
     """Scrape records with the page title."""
-    return parsed(spark, sf).select("page_id", "url", "title", "scraped_at", "user_email", "saved_directory")
+    return parsed(spark, sf, "title").select("page_id", "url", "title", "scraped_at", "user_email", "saved_directory")
 
 
 def opts(spark: SparkSession, sf: str) -> DataFrame:
