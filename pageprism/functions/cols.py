@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def per_jvm(make: Callable) -> Callable:
+    """Build an unresolved expression once per JVM connection.
+
+    Composing a large expression takes many small calls into the JVM; the
+    result does not depend on a table, so it is kept.
+    """
+    made: dict = {}
+
+    @wraps(make)
+    def get(*args: str):
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = make(*args)
+        return made[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 

@@ -101,7 +101,7 @@ def shared_keywords(parsed: DataFrame) -> DataFrame:
 
     Counted per (word, site) first; the pairs of sites are never formed.
     """
-    words = rows(parsed, E.top_keywords(F.col("words")), keep=["page_id", "url"]).select(
+    words = rows(parsed, E.keywords(), keep=["page_id", "url"]).select(
         F.col("e.word").alias("word"), F.col("e.cnt").alias("cnt"), _site()
     )
     per_site = words.groupBy("word", "site_key").agg(F.count(F.lit(1)).alias("pages"), F.sum("cnt").alias("uses"))

@@ -7,14 +7,12 @@ A page stays one row, so no page's content crosses the network.
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.cols import count_if_in, let, n, one_of, present, rows
+from ..functions.cols import count_if_in, let, n, one_of, per_jvm, present, rows
 
 NO_TITLE = "No title found"
 
@@ -145,9 +143,8 @@ def _anchors() -> Column:
     return F.transform(F.transform(linked, one), scoped)
 
 
-@cache
-def _page_columns(gateway: int) -> dict[str, Column]:
-    """The unresolved column expressions, built once per JVM connection."""
+@per_jvm
+def _page_columns() -> dict[str, Column]:
     return {
         "title": _title(),
         "metas": _metas(),
@@ -168,7 +165,7 @@ def parse_pages(pages: DataFrame, *want: str) -> DataFrame:
     ``want`` names the columns to add; without it all are added, and column
     pruning still keeps unread ones from being computed.
     """
-    made = _page_columns(id(pages.sparkSession.sparkContext._gateway))
+    made = _page_columns()
     scanned = pages.withColumns(
         {
             "marks": H.scan_marks(F.col("html")),
@@ -181,6 +178,7 @@ def parse_pages(pages: DataFrame, *want: str) -> DataFrame:
 
 
 # ---- per-row helpers on parsed pages ------------------------------------
+@per_jvm
 def last_meta(name: str) -> Column:
     """Content of the last meta tag of that name, NULL if there is none."""
     return F.try_element_at(
@@ -188,43 +186,52 @@ def last_meta(name: str) -> Column:
     )
 
 
+@per_jvm
 def first_link(token: str) -> Column:
     """href of the first link tag whose rel has the token."""
     return F.get(F.filter(F.col("link_tags"), lambda x: H.has_token(x["rel"], token)), F.lit(0))["href"]
 
 
+@per_jvm
 def stylesheets() -> Column:
     return F.filter(F.col("link_tags"), lambda x: H.has_token(x["rel"], "stylesheet"))
 
 
+@per_jvm
 def external_css() -> Column:
     return F.transform(F.filter(stylesheets(), lambda x: present(x["href"])), lambda x: x["href"])
 
 
+@per_jvm
 def internal_css() -> Column:
     return F.filter(F.col("styles"), lambda s: s != "")
 
 
+@per_jvm
 def inline_scripts() -> Column:
     return F.transform(F.filter(F.col("scripts"), lambda s: s["body"] != ""), lambda s: s["body"])
 
 
+@per_jvm
 def external_scripts() -> Column:
     return F.transform(F.filter(F.col("scripts"), lambda s: s["src"].isNotNull()), lambda s: s["src"])
 
 
+@per_jvm
 def feeds() -> Column:
     return F.filter(
         F.col("link_tags"), lambda x: H.has_token(x["rel"], "alternate") & F.coalesce(x["type"].isin(FEED_TYPES), F.lit(False))
     )
 
 
+@per_jvm
 def json_ld() -> Column:
     """Bodies of the JSON-LD scripts that parse."""
     blocks = F.filter(F.col("scripts"), lambda s: F.coalesce(s["type"] == "application/ld+json", F.lit(False)))
     return F.filter(F.transform(blocks, lambda s: s["body"]), lambda b: F.try_parse_json(b).isNotNull())
 
 
+@per_jvm
 def meta_names(prefix: str = "") -> Column:
     names = F.transform(F.filter(F.col("metas"), lambda m: m["name"] != ""), lambda m: m["name"])
     return F.filter(F.array_distinct(names), lambda x: x.startswith(prefix))
@@ -236,6 +243,7 @@ def _run_starts(s: Column, field: str) -> Column:
     return F.filter(at, lambda i: i.isNotNull())
 
 
+@per_jvm
 def meta_dict() -> Column:
     """Distinct meta names in order of first use, each with its last content."""
     placed = F.filter(
@@ -260,6 +268,7 @@ def meta_dict() -> Column:
     return F.transform(in_order, lambda m: m.dropFields("first"))
 
 
+@per_jvm
 def script_hits() -> Column:
     """Per script the first pattern found in its body or source."""
 
@@ -426,10 +435,16 @@ def word_count(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", n(F.col("words")).alias("word_count"))
 
 
+@per_jvm
+def keywords() -> Column:
+    return top_keywords(F.col("words"))
+
+
 def top_keyword_rows(parsed: DataFrame) -> DataFrame:
-    return rows(parsed, top_keywords(F.col("words"))).select("page_id", "e.*")
+    return rows(parsed, keywords()).select("page_id", "e.*")
 
 
+@per_jvm
 def speed_columns() -> dict[str, Column]:
     return {
         "total_images": n(F.col("images")),

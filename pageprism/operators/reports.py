@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import n, rows
+from ..functions.cols import n, per_jvm, rows
 from . import extract as E
 from . import scoring as S
 from . import trackers as T
@@ -26,6 +26,7 @@ def _numbered(arr: Column, before: str, after: str, tail: Column | None = None)
     return F.array_join(F.transform(arr, one), "")
 
 
+@per_jvm
 def bundle_css() -> Column:
     return _text(
         "/* === INLINE STYLES === */\n",
@@ -37,6 +38,7 @@ def bundle_css() -> Column:
     )
 
 
+@per_jvm
 def bundle_js() -> Column:
     return _text(
         "// === INLINE SCRIPTS ===\n",
@@ -54,6 +56,7 @@ def iso(ts: str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+@per_jvm
 def bundle_links() -> Column:
     return _text(
         "Links found on: ", F.col("url"), "\nScraped on: ", _stamp(), "\n" + "=" * 50 + "\n\n",
@@ -61,6 +64,7 @@ def bundle_links() -> Column:
     )
 
 
+@per_jvm
 def bundle_seo_report() -> Column:
     def section(prefix: str) -> Column:
         used = F.filter("meta_dict", lambda m: m["name"].startswith(prefix))
@@ -134,7 +138,7 @@ def bundle_metadata(location: Column) -> Column:
 
 def prepared(parsed: DataFrame) -> DataFrame:
     """Parsed pages with the columns that several reports read."""
-    return parsed.withColumns({"meta_dict": E.meta_dict(), "keywords": E.top_keywords(F.col("words"))})
+    return parsed.withColumns({"meta_dict": E.meta_dict(), "keywords": E.keywords()})
 
 
 def write_bundle(pages: DataFrame, bucket: str, only: str | None = None) -> DataFrame:
@@ -168,9 +172,8 @@ def _tags(prefix: str, label: str, category: str) -> Column:
     return F.transform(used, lambda m: _row(_text(label, m["name"]), m["content"], category))
 
 
-def seo_csv(pages: DataFrame, *keep: str, first: list[Column] | None = None) -> DataFrame:
-    """(row_ord, metric, value, category) per page, in the order of the download."""
-    m = S.measures(pages, "scraped_at", "meta_dict", "keywords", *keep)
+@per_jvm
+def _report_rows() -> Column:
     c = F.col
     head = [
         _row("URL", c("url"), "Basic Info"),
@@ -215,14 +218,19 @@ def seo_csv(pages: DataFrame, *keep: str, first: list[Column] | None = None) ->
             _text("Keyword ", k["rank"].cast("string")), _text(k["word"], " (", k["cnt"].cast("string"), ")"), "Keywords"
         ),
     )
-    arr = F.concat(
-        F.array(*(first or []), *head),
+    return F.concat(
+        F.array(*head),
         _tags("og:", "OG: ", "Open Graph"),
         _tags("twitter:", "Twitter: ", "Twitter Cards"),
         F.array(*tail),
         words,
     )
-    return rows(m, arr, pos="row_ord", keep=["page_id", *keep]).select("page_id", *keep, "row_ord", "e.*")
+
+
+def seo_csv(pages: DataFrame, *keep: str) -> DataFrame:
+    """(row_ord, metric, value, category) per page, in the order of the download."""
+    m = S.measures(pages, "scraped_at", "meta_dict", "keywords", *keep)
+    return rows(m, _report_rows(), pos="row_ord", keep=["page_id", *keep]).select("page_id", *keep, "row_ord", "e.*")
 
 
 def project_seo_csv(projects: DataFrame, pages: DataFrame) -> DataFrame:

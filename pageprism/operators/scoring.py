@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.cols import count_if_in, let, n, one_of, present, rows
+from ..functions.cols import count_if_in, let, n, one_of, per_jvm, present, rows
 from . import extract as E
 from . import trackers as T
 
@@ -38,14 +38,10 @@ RECOMMENDATIONS = {
 }
 
 
-def measures(parsed: DataFrame, *keep: str) -> DataFrame:
-    """All numbers the scores are made of, one row per page."""
+@per_jvm
+def _measure_columns() -> list[Column]:
     level = lambda k: count_if_in(F.col("headings"), lambda h: h["level"] == k).alias(f"h{k}")
-    return parsed.select(
-        "page_id",
-        "url",
-        "title",
-        *keep,
+    return [
         F.length("html").cast("bigint").alias("total_characters"),
         n(F.regexp_extract_all("html", F.lit(f"[^{H.SPACE[1:-1]}]++"), F.lit(0))).alias("total_words"),
         F.octet_length("html").cast("bigint").alias("octets"),
@@ -79,18 +75,25 @@ def measures(parsed: DataFrame, *keep: str) -> DataFrame:
         count_if_in(F.col("images"), lambda i: i["alt"] == "").alias("images_without_alt"),
         count_if_in(F.col("images"), lambda i: i["loading"] == "lazy").alias("lazy_loading_images"),
         count_if_in(F.col("images"), lambda i: present(i["width"]) & present(i["height"])).alias("responsive_images"),
-    )
+    ]
+
+
+def measures(parsed: DataFrame, *keep: str) -> DataFrame:
+    """All numbers the scores are made of, one row per page."""
+    return parsed.select("page_id", "url", "title", *keep, *_measure_columns())
 
 
 def _c(name: str) -> Column:
     return F.col(name)
 
 
+@per_jvm
 def richness() -> Column:
     w = _c("word_count")
     return F.when(w > 1000, F.lit("High")).when(w > 300, F.lit("Medium")).otherwise(F.lit("Low"))
 
 
+@per_jvm
 def content_type() -> Column:
     total = _c("total_headings")
     return (
@@ -103,40 +106,49 @@ def content_type() -> Column:
     )
 
 
+@per_jvm
 def depth() -> Column:
     total = _c("total_headings")
     return F.when(total > 15, F.lit("Deep")).when(total > 5, F.lit("Medium")).otherwise(F.lit("Shallow"))
 
 
+@per_jvm
 def hierarchy_optimal() -> Column:
     return (_c("h1") == 1) & (_c("h2") > 0)
 
 
+@per_jvm
 def ratio(part: str) -> Column:
     return _c(part) / F.greatest(_c("total_links"), F.lit(1))
 
 
+@per_jvm
 def link_quality() -> Column:
     return F.when(_c("internal_links") > _c("external_links"), F.lit("Good")).otherwise(F.lit("Needs Improvement"))
 
 
+@per_jvm
 def with_alt() -> Column:
     return _c("total_images") - _c("images_without_alt")
 
 
+@per_jvm
 def alt_share() -> Column:
     return F.when(_c("total_images") == 0, F.lit(0.0)).otherwise(with_alt() / F.greatest(_c("total_images"), F.lit(1)))
 
 
+@per_jvm
 def alt_coverage() -> Column:
     return alt_share() * 100
 
 
+@per_jvm
 def media_richness() -> Column:
     i = _c("total_images")
     return F.when(i > 10, F.lit("High")).when(i > 3, F.lit("Medium")).otherwise(F.lit("Low"))
 
 
+@per_jvm
 def performance() -> Column:
     scripts, styles = _c("script_tags"), _c("inline_styles")
     lost = (
@@ -147,6 +159,7 @@ def performance() -> Column:
     return F.greatest(100 - lost, F.lit(0)).cast("bigint")
 
 
+@per_jvm
 def health() -> Column:
     words = _c("word_count")
     lost = (
@@ -164,6 +177,7 @@ def _messages(table: dict[str, str], tests: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(tests[k], F.lit(text)) for k, text in table.items()]))
 
 
+@per_jvm
 def opportunities() -> Column:
     return _messages(
         OPPORTUNITIES,
@@ -178,6 +192,7 @@ def opportunities() -> Column:
     )
 
 
+@per_jvm
 def recommendations() -> Column:
     return _messages(
         RECOMMENDATIONS,

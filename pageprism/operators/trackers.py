@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import count_if_in, let, n, one_of, rows
+from ..functions.cols import count_if_in, let, n, one_of, per_jvm, rows
 from ..functions.html import preview
 
 # Tools in the order they are tried, and id patterns.
@@ -37,6 +37,7 @@ def _tool(body: Column, src: Column) -> Column:
     )
 
 
+@per_jvm
 def classified() -> Column:
     """One struct per script: its tool (NULL if none) and the ids found."""
 
@@ -101,6 +102,7 @@ def tracker_other(parsed: DataFrame) -> DataFrame:
     return _rows(parsed).filter(F.col("tool") == "other_tracking").select("page_id", "script", "src", "preview")
 
 
+@per_jvm
 def social_metas() -> Column:
     """Meta tags (every occurrence) that belong to a social network."""
     tagged = F.transform(
