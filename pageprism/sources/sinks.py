@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "scraped_sites"
+_LOCAL: dict[str, str] = {}
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one the session names.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    Without that setting (as in tests) a temporary folder is used.
+    Only a local master, where driver and executors are one process, may leave
+    it unset (as in tests); it then gets a folder of its own. On a cluster a
+    missing setting is an error: executors do not see each other's disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageprism-")
-    return f"{base.rstrip('/')}/pageprism/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="pageprism-")
+    return _LOCAL[context.applicationId]
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_base(spark)}/pageprism/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -5,8 +5,10 @@ from compare import compare, connect
 from conftest import SF
 
 import __spark_entry__ as entry
+from oracle.catalog import all_sql
+from pageprism.plans.catalog import all_queries
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
