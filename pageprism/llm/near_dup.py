@@ -5,16 +5,17 @@
    into a few longs, the signature.
 2. Equal sets (128-bit digest and size) form one class; only the class's
    smallest id goes on.
-3. In every band bucket each member is tied to the bucket's smallest id, one
-   such pair per member is confirmed on the full sets, and confirmed pairs are
-   contracted to components. A large group of copies collapses here at linear
-   cost.
+3. The member of a bucket that shares most buckets with others is its centre.
+   Every document is paired with the best centre it meets, the pair is
+   confirmed on the full sets, and confirmed pairs are contracted to
+   components. A large group of copies collapses here at linear cost.
 4. What is left are buckets with more than one component. There, and only
    there, members outside the bucket's largest component meet all members of
-   other components. Set sizes and the collision-corrected similarity of the
-   signatures (bit counts) sort pairs out before the full sets are compared, so
-   no link that a shared bucket can show is lost and no pair inside a group is
-   formed.
+   other components, if two bounds allow it: shingles that no other document
+   of these buckets has cannot be shared, which bounds the similarity exactly,
+   and the collision-corrected similarity of the signatures (bit counts) must
+   come near the threshold. The rest is compared on full sets. So no link that
+   a shared bucket can show is lost, and no pair inside a group is formed.
 
 The chance that a pair at the threshold shares no bucket is
 ``(1 - s**rows)**bands``: 2e-8 at 0.85 with 30 bands of 5. The signature filter
@@ -128,10 +129,23 @@ def most_differing(threshold: float, hashes: int) -> int:
     return math.ceil(hashes * p + 6 * math.sqrt(hashes * p * (1 - p)))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def alone(texts: DataFrame, k: int) -> DataFrame:
+    """``rep``, ``u``: how many shingles of each document no other of these documents has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, hi, words in W.blocks(batch.column(1), W.NOT_SPACE, lower=True):
+                sets = list(W.shingle_sets(words, k))
+                owner = np.repeat(ids[lo:hi], [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(W.signed(np.concatenate(sets)))], names=["rep", "s"])
+
+    once = in_arrow(texts, run, "rep bigint, s bigint").groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("z"))
+    return once.filter("rep = z").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose full shingle sets have ``den * shared >= num * united``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(documents(docs).join(ids, "doc_id", "left_semi"), "texts")
     both = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
@@ -176,9 +190,9 @@ def near_duplicates(
 
     Null and empty texts have no shingles, link with nothing and are kept. A
     row without an id is kept and has no component of its own: it takes that of
-    the texts with the same set, if any. Repeated rows get equal results; rows
-    that share an id but not a text are each judged by their text. Other columns of
-    ``docs`` are not looked at. An empty table gives an empty result.
+    the texts with the same set, if any. Repeated rows get equal results. Rows
+    that share an id but not a text stand for one document: a link of one text
+    is a link of the id. Other columns of ``docs`` are not looked at. An empty table gives an empty result.
     """
     sigs = materialize(signatures(docs, k, bands, rows), "signatures")
     mine = ["d1", "d2", "n_shingles"]
@@ -191,11 +205,17 @@ def near_duplicates(
         "heads",
     )
     members = reps.select("rep", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(members.join(leaders.drop("n"), "key"), "buckets")
-
-    first = shared.filter("rep > leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = materialize(confirmed(first, docs, k, num, den), "links")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(members.join(sizes, "key"), "buckets")
+    central = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    texts = documents(docs).join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = materialize(texts, "texts")
+
+    weighed = materialize(shared.drop("n").join(central, "rep").withColumn("at", F.struct("weight", -F.col("rep"), "rep")), "weighed")
+    heart = weighed.groupBy("key").agg(F.max("at").alias("top"))
+    best = weighed.join(heart, "key").groupBy("rep").agg(F.max("top").alias("top"))
+    first = best.select(F.col("top.rep").alias("a"), F.col("rep").alias("b")).filter("a != b")
+    links = materialize(confirmed(first, texts, k, num, den), "links")
     groups = connected(links).withColumnRenamed("node", "rep")
 
     placed = materialize(
@@ -203,14 +223,20 @@ def near_duplicates(
     )
     per = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
-    left = placed.join(mixed.select("key", F.col("top.c").alias("major")), "key").join(reps.drop("bands"), "rep")
-    left = materialize(left, "mixed")
-    x = left.filter("c != major").select("key", *[F.col(c).alias(f"x_{c}") for c in ("rep", "c", "n_shingles", "sig")])
-    y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in ("rep", "c", "n_shingles", "sig", "major")])
+    left = materialize(placed.join(mixed.select("key", F.col("top.c").alias("major")), "key"), "mixed")
+    open_texts = texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts_of = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("t"))
+    facts = reps.drop("bands").join(alone(open_texts, k).join(texts_of.filter("t = 1"), "rep").drop("t"), "rep", "left")
+    facts = facts.withColumn("common", F.col("n_shingles") - F.coalesce("u", F.lit(0))).drop("u")
+    left = materialize(left.join(facts, "rep"), "mixed")
+    part = ("rep", "c", "n_shingles", "common", "sig", "major")
+    x = left.filter("c != major").select("key", *[F.col(c).alias(f"x_{c}") for c in part])
+    y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in part])
+    most = F.least("x_common", "y_common")
     fits = (
         (F.col("x_c") != F.col("y_c"))
         & ((F.col("y_c") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
-        & (den * F.least("x_n_shingles", "y_n_shingles") >= num * F.greatest("x_n_shingles", "y_n_shingles"))
+        & (den * most >= num * (F.col("x_n_shingles") + F.col("y_n_shingles") - most))
         & (differing(F.col("x_sig"), F.col("y_sig"), longs) <= most_differing(num / den, bands * rows))
     )
     more = (
@@ -218,7 +244,7 @@ def near_duplicates(
         .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
     )
     more = materialize(more, "pairs")
-    links = materialize(links.unionByName(confirmed(more, docs, k, num, den)), "links")
+    links = materialize(links.unionByName(confirmed(more, texts, k, num, den)), "links")
     groups = connected(links).withColumnRenamed("node", "rep")
 
     found = classes.join(groups, "rep", "left").select(*mine, F.coalesce("component", "rep").alias("c"))
