@@ -154,3 +154,12 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of words from ``start`` to before ``end``."""
+    n = len(hashes)
+    power, inverse = _powers("word", n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * power[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
