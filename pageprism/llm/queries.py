@@ -7,8 +7,28 @@ from pyspark.sql import functions as F
 
 from pageprism.llm.common import table
 from pageprism.llm.decontaminate import contaminated_words
+from pageprism.llm.exact_dup import DigestIndex, deduplicate
 from pageprism.llm.near_dup import near_duplicates
+from pageprism.llm.packing import packed_documents
 from pageprism.llm.substring import substring_dedup
+from pageprism.llm.token_files import read_tokens, write_tokens
+from pageprism.sources.sinks import work_dir
+
+#: A file of the public tokenizers that are installed beside Python.
+TOKENIZER_FILE = "word_bpe_49k.json"
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER_FILE)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a token store, end id 2, and reads it back."""
+    path = work_dir(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +36,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the first batch of a new index."""
+    index = DigestIndex(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = deduplicate(table(spark, sf_dir, "documents"), index)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens, end id 1."""
+    return packed_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=1, capacity=4096)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten words, matched by their rarest five-word shingle."""
     found = contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, shingle=5)
@@ -39,9 +71,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY h)
+    """,
+}
