@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageprism.llm.common import table
+from pageprism.llm.chat import chat_windows, conversation_digests
+from pageprism.llm.common import materialize, table
 from pageprism.llm.decontaminate import contaminated_words
 from pageprism.llm.exact_dup import DigestIndex, deduplicate
 from pageprism.llm.near_dup import near_duplicates
 from pageprism.llm.packing import packed_documents
 from pageprism.llm.substring import substring_dedup
 from pageprism.llm.token_files import read_tokens, write_tokens
+from pageprism.llm.urls import judge, labelled_by_rules, train
 from pageprism.sources.sinks import work_dir
 
 #: A file of the public tokenizers that are installed beside Python.
@@ -36,6 +38,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+#: A conversation that holds control strings of a common template.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows are written, read again and digested."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    windows = materialize(chat_windows(turns.unionByName(more), tokenizer()), "chat")
+    return conversation_digests(windows)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a new index."""
     index = DigestIndex(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -48,6 +62,22 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=1, capacity=4096)
 
 
+#: Fixed rules of the query: host and path, verdict.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no rule decides, a regression learned from 2000 URLs that rules decide."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, train(labelled_by_rules(pages, URL_RULES, rows=2000)))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten words, matched by their rarest five-word shingle."""
     found = contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, shingle=5)
@@ -73,8 +103,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op2_chat_windows": op2_chat_windows,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
