@@ -9,13 +9,14 @@
    Every document is paired with the best centre it meets, the pair is
    confirmed on the full sets, and confirmed pairs are contracted to
    components. A large group of copies collapses here at linear cost.
-4. What is left are buckets with more than one component. There, and only
-   there, members outside the bucket's largest component meet all members of
-   other components, if two bounds allow it: shingles that no other document
-   of these buckets has cannot be shared, which bounds the similarity exactly,
-   and the collision-corrected similarity of the signatures (bit counts) must
-   come near the threshold. The rest is compared on full sets. So no link that
-   a shared bucket can show is lost, and no pair inside a group is formed.
+4. What is left are buckets with more than one component. Their documents
+   order their shingles from rare to frequent: similar sets share one of the
+   rarest few. By these shingles, members outside a shingle's largest component
+   meet members of other components, if the places of the shingle leave enough
+   in common (an exact bound) and the collision-corrected similarity of the
+   signatures (bit counts) comes near the threshold. The rest is compared on
+   full sets. So no link that a shared bucket can show is lost, and no pair
+   inside a group is formed.
 
 The chance that a pair at the threshold shares no bucket is
 ``(1 - s**rows)**bands``: 2e-8 at 0.85 with 30 bands of 5. The signature filter
@@ -129,8 +130,8 @@ def most_differing(threshold: float, hashes: int) -> int:
     return math.ceil(hashes * p + 6 * math.sqrt(hashes * p * (1 - p)))
 
 
-def alone(texts: DataFrame, k: int) -> DataFrame:
-    """``rep``, ``u``: how many shingles of each document no other of these documents has."""
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """``rep``, ``s``: one row per distinct shingle of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +141,26 @@ def alone(texts: DataFrame, k: int) -> DataFrame:
                 owner = np.repeat(ids[lo:hi], [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(W.signed(np.concatenate(sets)))], names=["rep", "s"])
 
-    once = in_arrow(texts, run, "rep bigint, s bigint").groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("z"))
-    return once.filter("rep = z").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    return in_arrow(texts, run, "rep bigint, s bigint")
+
+
+def prefixes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``key``, ``rep``, ``at``: the rarest shingles of each document, of which a similar document must have one.
+
+    ``at`` is the place in the document's shingles from rare to frequent.
+    Shingles of one document alone come first and are not returned.
+    """
+    rows = materialize(shingle_rows(texts, k), "shingles")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    sizes = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    ordered = rows.join(often, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
+    first = F.col("n") - F.size("o")
+    # a set of n may lack n - ceil(n * num / den) shingles of a similar one
+    length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    cut = ordered.join(sizes, "rep").select("rep", first.alias("first"), F.slice("o", 1, F.greatest(length - first, F.lit(0)).cast("int")).alias("o"))
+    return cut.select("rep", "first", F.posexplode("o").alias("i", "x")).select(
+        F.col("x.s").alias("key"), "rep", (F.col("first") + F.col("i")).alias("at")
+    )
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -190,9 +209,9 @@ def near_duplicates(
 
     Null and empty texts have no shingles, link with nothing and are kept. A
     row without an id is kept and has no component of its own: it takes that of
-    the texts with the same set, if any. Repeated rows get equal results. Rows
-    that share an id but not a text stand for one document: a link of one text
-    is a link of the id. Other columns of ``docs`` are not looked at. An empty table gives an empty result.
+    the texts with the same set, if any. Repeated rows get equal results. An id
+    is expected to name one text; of an id with unlike texts each row has the
+    size of its own text, and links of any of them count for the id. Other columns of ``docs`` are not looked at. An empty table gives an empty result.
     """
     sigs = materialize(signatures(docs, k, bands, rows), "signatures")
     mine = ["d1", "d2", "n_shingles"]
@@ -223,20 +242,21 @@ def near_duplicates(
     )
     per = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
-    left = materialize(placed.join(mixed.select("key", F.col("top.c").alias("major")), "key"), "mixed")
-    open_texts = texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts_of = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("t"))
-    facts = reps.drop("bands").join(alone(open_texts, k).join(texts_of.filter("t = 1"), "rep").drop("t"), "rep", "left")
-    facts = facts.withColumn("common", F.col("n_shingles") - F.coalesce("u", F.lit(0))).drop("u")
-    left = materialize(left.join(facts, "rep"), "mixed")
-    part = ("rep", "c", "n_shingles", "common", "sig", "major")
+    open_ones = materialize(placed.join(mixed.select("key"), "key", "left_semi").select("rep", "c").distinct(), "open")
+    left = prefixes(texts.join(open_ones.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k, num, den)
+    left = materialize(left.join(open_ones, "rep"), "prefixes")
+    per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
+    left = left.join(mixed.select("key", F.col("top.c").alias("major")), "key").join(reps.drop("bands"), "rep")
+    left = materialize(left, "mixed")
+    part = ("rep", "c", "n_shingles", "at", "sig", "major")
     x = left.filter("c != major").select("key", *[F.col(c).alias(f"x_{c}") for c in part])
     y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in part])
-    most = F.least("x_common", "y_common")
+    most = F.least(F.col("x_n_shingles") - F.col("x_at"), F.col("y_n_shingles") - F.col("y_at"))
     fits = (
         (F.col("x_c") != F.col("y_c"))
         & ((F.col("y_c") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
-        & (den * most >= num * (F.col("x_n_shingles") + F.col("y_n_shingles") - most))
+        & ((den + num) * most >= num * (F.col("x_n_shingles") + F.col("y_n_shingles")))
         & (differing(F.col("x_sig"), F.col("y_sig"), longs) <= most_differing(num / den, bands * rows))
     )
     more = (
