@@ -97,3 +97,17 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     return found.join(decided, "digest").select(
         "doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
     )
+
+
+def deduplicate_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a batch that stay, with all their columns.
+
+    Of rows with equal id and text one stays, whichever its other columns.
+    """
+    kept = deduplicate(documents(docs, id_col, text_col), index).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest"))
+    digest = F.unhex(F.sha2(normalized(docs[text_col].cast("string")), 256))
+    names = docs.columns
+    rows = docs.select("*", digest.alias("__digest"))
+    same = rows[id_col].cast("bigint").eqNullSafe(kept["__kept_id"]) & (rows["__digest"] == kept["__kept_digest"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__digest"]).select(*[rows[c] for c in names])

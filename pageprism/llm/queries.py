@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageprism.llm import quality, toxicity
 from pageprism.llm.chat import chat_windows, conversation_digests
 from pageprism.llm.common import materialize, table
 from pageprism.llm.decontaminate import contaminated_words
@@ -50,6 +51,14 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(windows)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels of four in five documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(rest != 0)))
+    return scored.select("doc_id", (rest == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a new index."""
     index = DigestIndex(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -62,6 +71,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=1, capacity=4096)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts, languages the paths below them."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Fixed rules of the query: host and path, verdict.
 URL_RULES = [
     ("com/", "allow"),
@@ -104,7 +118,9 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op2_chat_windows": op2_chat_windows,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,

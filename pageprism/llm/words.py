@@ -163,3 +163,14 @@ def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * power[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def prefix_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash of its first ``k`` bytes) of each word longer than that; unlike the hash of any whole word."""
+    long = np.flatnonzero(words.end - words.start > k)
+    n = len(words.data)
+    power, inverse = _powers("byte", n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[words.data] * power[:n], out=sums[1:])
+    start = words.start[long]
+    return long, mix(((sums[start + k] - sums[start]) * inverse[start]) ^ np.uint64(0x5851F42D4C957F2D * k & (1 << 64) - 1))
