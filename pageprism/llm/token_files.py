@@ -46,16 +46,17 @@ def train_dictionary(
 ) -> bytes:
     """A shared dictionary from at most ``sample_docs`` texts of at most ``sample_chars`` characters.
 
-    The sample is that with the least hashes of id and text, hence spread over
+    The sample has the least hashes of ids, hence is spread over
     the whole table and the same in every run. Too few or too uniform samples
     give a dictionary of their plain bytes, no texts an empty one.
     """
     import zstandard
 
-    some = (
-        documents(docs).filter(F.length("text").between(1, sample_chars))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()
-    )
+    texts = documents(docs)
+    # ids alone are ordered; only the chosen texts travel
+    ids = texts.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    some = texts.join(F.broadcast(ids), "doc_id").filter(F.length("text").between(1, sample_chars))
+    some = sorted(some.limit(sample_docs).collect())
     encoded = Encoder.of(tokenizer).encode([r.text for r in some])
     samples = [_serialized(ids, end_id, width).tobytes() for ids in encoded]
     try:
@@ -95,6 +96,8 @@ def write_tokens(
         import zstandard
 
         shared = zstandard.ZstdCompressionDict(dictionary)
+        if dictionary:
+            shared.precompute_compress(level=level)
         packer = zstandard.ZstdCompressor(level=level, dict_data=shared)
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         before, seq = 0, 0

@@ -11,6 +11,7 @@ tokenizer as it stands. Words are remembered within a fixed number of entries.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from itertools import compress, islice, repeat
 from operator import is_
 
@@ -26,12 +27,35 @@ _JOIN = 256
 _LONGEST = 64
 
 
+def _letters_only(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or not _WIDE.search(word))
+
+
+def _kinds() -> bytes:
+    """Kind of each Latin-1 character: letter or digit, blank, stop or comma, any other."""
+    kinds = bytearray(b"!" * 256)
+    for i in range(256):
+        if chr(i).isalnum():
+            kinds[i] = ord("a")
+    kinds[ord(" ")] = ord(" ")
+    kinds[ord(".")] = kinds[ord(",")] = ord(".")
+    return bytes(kinds)
+
+
+_KIND = _kinds()
+
+
 def _chunks(text: str) -> list[str]:
     """Parts of a text that can be encoded one by one; lower-cased and cut from stops and commas where that changes nothing."""
     text = text.replace("\n", " ")
-    if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
+    try:
+        kinds, wide = text.encode("latin-1").translate(_KIND), False
+        run = b"!. " in kinds or b".. " in kinds
+    except UnicodeEncodeError:
+        wide, run = _WIDE.search(text), _RUN.search(text)
+    if not wide and "<|" not in text:
         text = text.lower()
-    if not _RUN.search(text):
+    if not run:
         text = text.replace(", ", " , ").replace(". ", " . ")
     return text.split(" ")
 
@@ -78,20 +102,22 @@ class Encoder:
 
     def _learn(self, unknown: set[str]) -> dict[str, bytes]:
         """Adds words to the memory; returns those too long to be kept."""
-        whole, split = [], []
+        whole, split, plain = [], [], []
         for w in unknown:
-            tail = w.rstrip(_PUNCTUATION)
-            core = tail.lstrip(_PUNCTUATION)
-            if core.isascii():
-                plain, key = core.isalpha() or not core, core.lower()
-            else:
-                plain, key = core.isalpha() and max(core) < "ɐ", core
-            if plain and len(w) <= _LONGEST:
-                split.append((w, tail[: len(tail) - len(core)], key, w[len(tail) :]))
-            else:
+            if len(w) > _LONGEST:
                 whole.append(w)
+            elif _letters_only(w):
+                plain.append(w)
+            else:
+                tail = w.rstrip(_PUNCTUATION)
+                core = tail.lstrip(_PUNCTUATION)
+                if not core or _letters_only(core):
+                    split.append((w, tail[: len(tail) - len(core)], core, w[len(tail) :]))
+                else:
+                    whole.append(w)
+        self._letters(plain, self.words)
         have = self.parts
-        self._letters({k for _, _, k, _ in split if k not in have})
+        self._letters({k for _, _, k, _ in split if k not in have}, have)
         signs = {s for _, head, _, end in split for s in (head, end) if s not in have}
         for s, ids in zip(signs, self._each(list(signs)), strict=True):
             have[s] = ids
@@ -105,7 +131,7 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _letters(self, words: set[str]) -> None:
+    def _letters(self, words: Iterable[str], memory: dict[str, bytes]) -> None:
         """Runs of letters, many at a time: each ends with the one token that ends a word."""
         order = sorted(words)
         groups = [order[i : i + _JOIN] for i in range(0, len(order), _JOIN)]
@@ -116,11 +142,11 @@ class Encoder:
             if len(stops) == len(group):
                 data, last = ids.tobytes(), 0
                 for w, stop in zip(group, stops, strict=True):
-                    self.parts[w] = data[4 * last : 4 * stop]
+                    memory[w] = data[4 * last : 4 * stop]
                     last = stop
             else:
                 for w, one in zip(group, self._each(group), strict=True):
-                    self.parts[w] = one
+                    memory[w] = one
 
 
 def text_groups(texts: list[str | None], limit: int = 1 << 20) -> list[tuple[int, int]]:
