@@ -52,7 +52,7 @@ CTES["arts"] = " UNION ALL ".join(
 CTES["mdoc"] = (
     f"SELECT m.page_id, m.url AS original_url, {_ISO} AS scraped_at, title, 's3://site-audits/scraped_sites/page_' || m.page_id AS s3_location,"
     " links AS links_count, word_count, canonical_url, description, total_images AS images, internal_links, external_links, h2,"
-    " (SELECT count(*) FROM kw WHERE kw.page_id = m.page_id) AS keywords, tools.total AS tools"
+    " (SELECT count(*) FROM kw WHERE kw.page_id = m.page_id) AS keywords, tools.total AS tools, styled_elements AS styled, true AS structured"
     " FROM m JOIN scrape_log l ON l.page_id = m.page_id JOIN tools ON tools.page_id = m.page_id"
 )
 _fixed = [

@@ -26,7 +26,7 @@ def _newest(src: str, key: str, order: str, k: int) -> str:
 CTES["stats"] = (
     "SELECT p.project_id, (SELECT count(*) FROM platform_pages g WHERE g.project_id = p.project_id) AS total_pages,"
     " (SELECT count(*) FROM recommendations r WHERE r.project_id = p.project_id AND r.status = 'pending') AS pending_recommendations,"
-    " least((SELECT count(*) FROM optimizations o WHERE o.project_id = p.project_id), 100)::BIGINT AS total_optimizations,"
+    " (SELECT count(*) FROM optimizations o WHERE o.project_id = p.project_id) AS total_optimizations,"
     " coalesce(h.overall_score, 0)::BIGINT AS latest_health_score, h.ts AS last_crawl FROM projects p LEFT JOIN "
     + _newest("site_health", "project_id", "ts DESC, health_id DESC", 1) + " h ON h.project_id = p.project_id"
 )

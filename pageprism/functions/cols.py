@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,14 @@ def per_jvm(make: Callable) -> Callable:
     Composing a large expression takes many small calls into the JVM; the
     result does not depend on a table, so it is kept.
     """
-    made: dict = {}
+    made: WeakKeyDictionary[SparkContext, dict] = WeakKeyDictionary()
 
     @wraps(make)
     def get(*args: str):
-        key = (id(SparkContext._gateway), *args)
-        if key not in made:
-            made[key] = make(*args)
-        return made[key]
+        own = made.setdefault(SparkContext.getOrCreate(), {})
+        if args not in own:
+            own[args] = make(*args)
+        return own[args]
 
     return get
 

@@ -69,10 +69,14 @@ def _named_character(key: Column) -> Column:
     return F.try_element_at(F.str_to_map(F.lit(_NAMES), F.lit("\u0002"), F.lit("\u0003")), key)
 
 
+#: Numbers 128 to 159 mean Windows-1252 characters, where that has one.
+_CP1252 = {chr(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore")}
+
+
 def _code_point(cp: Column) -> Column:
     bad = cp.isNull() | (cp <= 0) | (cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF)
     safe = F.when(bad, F.lit(0xFFFD)).otherwise(cp).cast("bigint")
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.translate(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"), "".join(_CP1252), "".join(_CP1252.values()))
 
 
 def _decode(text: Column, in_attribute: bool) -> Column:

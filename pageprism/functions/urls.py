@@ -13,10 +13,15 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
 
 
-def url_path(url: Column) -> Column:
+def whole_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
+def url_path(url: Column) -> Column:
+    """Path without query, fragment and the parameters of its last segment."""
+    return F.regexp_replace(whole_path(url), F.lit(r";[^/]*$"), F.lit(""))
+
+
 def site_key(url: Column) -> Column:
     """Lower-cased authority with every ``www.`` removed."""
     return F.replace(F.lower(netloc(url)), F.lit("www."), F.lit(""))
@@ -26,26 +31,53 @@ def base_parts(url: Column) -> Column:
     return F.struct(
         F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1).alias("scheme"),
         netloc(url).alias("netloc"),
-        url_path(url).alias("path"),
+        whole_path(url).alias("path"),
         F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1).alias("query"),
         url.alias("url"),
     )
 
 
 def _fold(segments: Column) -> Column:
-    """Path text of segments with ``.`` and ``..`` resolved."""
+    """Path text of segments with ``.`` and ``..`` resolved.
+
+    Any run of segments folds to the segments left and the number of earlier ones it
+    takes away, and such results fold in the same way. Runs of about the cube root
+    of the number of segments are folded in three levels, so arrays are
+    copied to the power 4/3 of their number at most: a path of a million
+    segments ends, too.
+    """
+    state = lambda kept, up: F.struct(kept.alias("kept"), up.alias("up"))
+    start = state(F.array().cast("array<string>"), F.lit(0))
 
     def step(acc: Column, seg: Column) -> Column:
+        kept, up = acc["kept"], acc["up"]
         return (
-            F.when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            F.when((seg == "..") & (F.size(kept) > 0), state(F.slice(kept, F.lit(1), F.size(kept) - 1), up))
+            .when(seg == "..", state(kept, up + 1))
             .when(seg == ".", acc)
-            .otherwise(F.concat(acc, F.array(seg)))
+            .otherwise(state(F.concat(kept, F.array(seg)), up))
+        )
+
+    def merge(acc: Column, r: Column) -> Column:
+        left = F.size(acc["kept"]) - r["up"]
+        rest = F.slice(acc["kept"], F.lit(1), F.greatest(left, F.lit(0)))
+        return state(F.concat(rest, r["kept"]), acc["up"] - F.least(left, F.lit(0)))
+
+    def runs(arr: Column, width: Column, fold) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / width).cast("int"))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(arr, i * width + 1, width), start, fold))
+
+    def folded(segs: Column) -> Column:
+        width = F.ceil(F.cbrt(F.size(segs))).cast("int")
+        ends_in_dots = F.element_at(segs, -1).isin(".", "..")
+        small = lambda: runs(segs, width, step)
+        kept = let(let(small(), lambda r: runs(r, width, merge)), lambda r: F.aggregate(r, start, merge)["kept"])
+        return let(
+            kept,
+            lambda k: F.concat(F.array_join(k, "/"), F.when(ends_in_dots & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))),
         )
 
-    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-    whole = F.concat(F.array_join(kept, "/"), F.when(ends_in_dots & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
-    return let(whole, lambda w: F.when(w.startswith("/"), w).otherwise(F.concat(F.lit("/"), w)))
+    return let(let(segments, folded), lambda w: F.when(w.startswith("/"), w).otherwise(F.concat(F.lit("/"), w)))
 
 
 def _absolute_path(folder: Column, path: Column) -> Column:

@@ -48,7 +48,10 @@ def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: str) -> Da
     placed = days.withColumns({"_prev": F.lag(value).over(inner), "_rn": F.row_number().over(inner)})
     ends = days.groupBy(key, "_day").agg(F.max_by(value, F.struct(ts, tie)).alias("_end"))
     carried = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(key).orderBy("_day"))).drop("_end")
-    joined = placed.join(carried, [key, "_day"])
+    # rows without a time or key are rows, too
+    carried = carried.withColumnsRenamed({key: "_key", "_day": "_of"})
+    same = placed[key].eqNullSafe(carried["_key"]) & placed["_day"].eqNullSafe(carried["_of"])
+    joined = placed.join(carried, same).drop("_key", "_of")
     return joined.withColumn(
         "previous", F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
     ).drop("_day", "_prev", "_rn", "_carry")

@@ -334,16 +334,31 @@ def scan_pages(parsed: DataFrame) -> DataFrame:
     )
 
 
+def fetch_state() -> Column:
+    return (
+        F.when(~F.coalesce(U.has_web_scheme(F.col("url")), F.lit(False)), F.lit("bad_scheme"))
+        .when(F.col("html").isNull(), F.lit("fetch_failed"))
+        .when(F.col("html") == "", F.lit("empty"))
+        .otherwise(F.lit("ok"))
+    )
+
+
+def quarantine(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetched pages as (pages to be parsed, pages set aside with their state).
+
+    A page of another scheme, or one never fetched, has no record and so no
+    score; an empty page goes on and gives an empty record.
+    """
+    bad = fetch_state().isin("bad_scheme", "fetch_failed")
+    return fetched.filter(~bad), fetched.withColumn("state", fetch_state()).filter(F.col("state").isin("bad_scheme", "fetch_failed"))
+
+
 def scan_quarantine(fetched: DataFrame) -> DataFrame:
     """Label each fetched page: usable, without content, or never fetched."""
     return fetched.select(
         "page_id",
         "url",
-        F.when(~U.has_web_scheme(F.col("url")), F.lit("bad_scheme"))
-        .when(F.col("html").isNull(), F.lit("fetch_failed"))
-        .when(F.col("html") == "", F.lit("empty"))
-        .otherwise(F.lit("ok"))
-        .alias("state"),
+        fetch_state().alias("state"),
         F.length(F.coalesce("html", F.lit(""))).cast("bigint").alias("html_length"),
     )
 

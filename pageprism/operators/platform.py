@@ -160,7 +160,7 @@ def project_statistics(
             "project_id",
             zero("pages").alias("total_pages"),
             zero("recs").alias("pending_recommendations"),
-            F.least(zero("opts"), F.lit(100)).cast("bigint").alias("total_optimizations"),
+            zero("opts").alias("total_optimizations"),
             zero("h.overall_score").alias("latest_health_score"),
             F.col("h.ts").alias("last_crawl"),
         )
@@ -183,14 +183,22 @@ def dashboard_totals(users: DataFrame, projects: DataFrame, alerts: DataFrame) -
     )
 
 
-def dashboard_projects(projects: DataFrame, statistics: DataFrame) -> DataFrame:
+def dashboard_projects(
+    projects: DataFrame, pages: DataFrame, recommendations: DataFrame, optimizations: DataFrame, health: DataFrame, k: int = 10
+) -> DataFrame:
+    """The ``k`` projects of each user that changed last, with their statistics.
+
+    Only rows of the shown projects are counted.
+    """
     top = newest_k(
         projects.select("user_id", "project_id", "domain", "status", "updated_at"),
         ["user_id"],
         [F.desc("updated_at"), F.asc("project_id")],
-        10,
+        k,
     )
-    return top.join(statistics, "project_id")
+    shown = top.select("project_id")
+    of = [df.join(shown, "project_id", "left_semi") for df in (pages, recommendations, optimizations, health)]
+    return top.join(project_statistics(shown, *of), "project_id")
 
 
 def project_cards(projects: DataFrame, health: DataFrame) -> DataFrame:
@@ -211,7 +219,9 @@ def project_cards(projects: DataFrame, health: DataFrame) -> DataFrame:
 
 def project_scraped_view(projects: DataFrame, bundles: DataFrame) -> DataFrame:
     """Projects with the facts of their bundle; ``bundles`` is keyed by prefix."""
-    return projects.join(bundles, projects["scraped_files_path"] == bundles["prefix"], "left").select(
+    # an empty path names no bundle and would be one hot key
+    path = F.nullif(projects["scraped_files_path"], F.lit(""))
+    return projects.join(bundles, path == bundles["prefix"], "left").select(
         "project_id",
         (F.col("scraped_files_path") != "").alias("has_scraped_data"),
         F.coalesce("title", F.lit("")).alias("title"),

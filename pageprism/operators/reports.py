@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import n, per_jvm, rows
+from ..functions.cols import let, n, per_jvm, rows
 from . import extract as E
 from . import scoring as S
 from . import trackers as T
@@ -53,7 +53,8 @@ def _stamp() -> Column:
 
 
 def iso(ts: str) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO form; a fraction of a second is written only where there is one."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(r"\.000000$"), F.lit(""))
 
 
 @per_jvm
@@ -80,16 +81,67 @@ def _map_of(arr: Column) -> Column:
     return F.map_from_entries(arr)
 
 
+# Record fields of each tool in the metadata document, and the flags of its summary.
+TOOL_FIELDS = {
+    "google_analytics": ["version", "tracking_id", "measurement_id"],
+    "facebook_pixel": ["pixel_id"],
+    "google_tag_manager": ["container_id"],
+    "hotjar": ["site_id"],
+    "mixpanel": ["project_token"],
+    "other_tracking": [],
+}
+SUMMARY_FLAGS = {
+    "has_google_analytics": "google_analytics",
+    "has_facebook_pixel": "facebook_pixel",
+    "has_gtm": "google_tag_manager",
+    "has_hotjar": "hotjar",
+    "has_mixpanel": "mixpanel",
+}
+EMPTY_LISTS = ["ecommerce_tracking", "conversion_tracking", "heatmap_tracking", "session_recording"]
+
+
+def tracker_document() -> Column:
+    """Records of each tool, social metas, lists that are declared but never filled, and the summary."""
+
+    def of(kept: Column) -> Column:
+        def record(x: Column, tool: str) -> Column:
+            known = lambda f: x[f] if f in ("version", "tracking_id", "measurement_id") else x["tool_id"]
+            return F.struct(
+                F.lit(tool).alias("type"), *[known(f).alias(f) for f in TOOL_FIELDS[tool]],
+                x["preview"].alias("content_preview"), x["src"].alias("src"),
+            )
+
+        def records(tool: str) -> Column:
+            return F.transform(F.filter(kept, lambda x: x["tool"] == tool), lambda x: record(x, tool))
+
+        lists = {t: records(t) for t in TOOL_FIELDS}
+        social = F.transform(T.social_metas(), lambda m: F.struct(m["type"].alias("type"), m["name"].alias("name"), m["content"].alias("content")))
+        total = F.size(kept)
+        summary = F.struct(
+            total.cast("bigint").alias("total_tracking_tools"),
+            *[(F.size(lists[t]) > 0).alias(k) for k, t in SUMMARY_FLAGS.items()],
+            (F.size(social) > 0).alias("has_social_tracking"),
+            T.intensity(total).alias("tracking_intensity"),
+        )
+        return F.struct(
+            *[c.alias(t) for t, c in lists.items()], social.alias("social_media_tracking"),
+            *[F.array().cast("array<string>").alias(k) for k in EMPTY_LISTS], summary.alias("analytics_summary"),
+        )
+
+    return let(F.filter(T.classified(), T.is_kept), of)
+
+
 def bundle_metadata(location: Column) -> Column:
     """The nested metadata document."""
+    tokens = lambda rel: F.filter(F.split(F.coalesce(rel, F.lit("")), r"\s+"), lambda t: t != "")
     meta = lambda prefix: _map_of(F.filter("meta_dict", lambda m: m["name"].startswith(prefix)))
     texts = lambda k: F.transform(F.filter("headings", lambda h: h["level"] == k), lambda h: h["text"])
-    link = lambda keep: F.transform(F.filter("anchors", keep), lambda a: a.dropFields("netloc", "internal", "social"))
+    link = lambda keep: F.transform(F.filter("anchors", keep), lambda a: a.dropFields("netloc", "internal", "social").withField("rel", tokens(a["rel"])))
     seo = F.struct(
         meta("").alias("meta_tags"),
         meta("og:").alias("open_graph"),
         meta("twitter:").alias("twitter_cards"),
-        E.json_ld().alias("structured_data"),
+        F.transform(E.json_ld(), lambda b: F.parse_json(b)).alias("structured_data"),
         F.struct(*[texts(k).alias(f"h{k}") for k in range(1, 7)]).alias("headings"),
         F.col("images"),
         link(lambda a: a["internal"]).alias("internal_links"),
@@ -103,17 +155,13 @@ def bundle_metadata(location: Column) -> Column:
         E.first_link("icon").alias("favicon"),
         E.first_link("sitemap").alias("sitemap"),
         F.transform(E.feeds(), lambda x: x.dropFields("rel")).alias("rss_feeds"),
-        E.script_hits().alias("analytics"),
+        F.transform(
+            E.script_hits(), lambda x: F.struct(x["type"].alias("type"), x["src"].alias("src"), x["preview"].alias("content_preview"))
+        ).alias("analytics"),
         n(F.col("words")).alias("word_count"),
-        F.transform("keywords", lambda k: k.dropFields("rank")).alias("keyword_density"),
-        F.struct(*[c.alias(k) for k, c in E.speed_columns().items()]).alias("page_speed_indicators"),
-        F.struct(
-            F.filter(T.classified(), T.is_kept).alias("tools"),
-            T.social_metas().alias("social_media_tracking"),
-            # Lists that are declared but never filled.
-            *[F.array().cast("array<string>").alias(k) for k in (
-                "ecommerce_tracking", "conversion_tracking", "heatmap_tracking", "session_recording")],
-        ).alias("detailed_analytics"),
+        _map_of(F.transform("keywords", lambda k: k.dropFields("rank"))).alias("keyword_density"),
+        F.struct(*[c.alias(k.replace("styled_elements", "inline_styles")) for k, c in E.speed_columns().items()]).alias("page_speed_indicators"),
+        tracker_document().alias("detailed_analytics"),
     )
     stats = F.struct(
         n(F.col("anchors")).alias("links_count"),

@@ -56,8 +56,10 @@ def bundle_metadata(s: SparkSession, sf: str) -> DataFrame:
         size("$.seo_metadata.internal_links").alias("internal_links"),
         size("$.seo_metadata.external_links").alias("external_links"),
         size("$.seo_metadata.headings.h2").alias("h2"),
-        size("$.seo_metadata.keyword_density").alias("keywords"),
-        size("$.seo_metadata.detailed_analytics.tools").alias("tools"),
+        F.size(F.from_json(field("$.seo_metadata.keyword_density"), "map<string,bigint>")).cast("bigint").alias("keywords"),
+        field("$.seo_metadata.detailed_analytics.analytics_summary.total_tracking_tools").cast("bigint").alias("tools"),
+        field("$.seo_metadata.page_speed_indicators.inline_styles").cast("bigint").alias("styled"),
+        F.try_parse_json(field("$.seo_metadata.structured_data")).isNotNull().alias("structured"),
     )
 
 

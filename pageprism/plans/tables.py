@@ -197,13 +197,17 @@ def json_roundtrip(s: SparkSession, sf: str) -> DataFrame:
 def user_projects(s: SparkSession, sf: str) -> DataFrame:
     got = P.lookup(_keys(s, sf), projects(s, sf), "user_id")
     category = F.get_json_object("settings", "$.category").alias("category")
-    return got.select(*PROJECT, category).orderBy("user_id", F.desc("updated_at"), "project_id")
+    return got.select(*PROJECT, category).repartition("user_id").sortWithinPartitions("user_id", F.desc("updated_at"), "project_id")
 
 
 def statistics(s: SparkSession, sf: str) -> DataFrame:
     return P.project_statistics(projects(s, sf), ppages(s, sf), recs(s, sf), opts(s, sf), health(s, sf))
 
 
+def dashboard_projects(s: SparkSession, sf: str) -> DataFrame:
+    return P.dashboard_projects(projects(s, sf), ppages(s, sf), recs(s, sf), opts(s, sf), health(s, sf))
+
+
 def bundles(s: SparkSession, sf: str) -> DataFrame:
     """What the platform reads from the bundle of each page."""
     h1 = F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"])
@@ -286,7 +290,7 @@ QUERIES = {
     "json_roundtrip": json_roundtrip,
     "project_statistics": statistics,
     "dashboard_totals": lambda s, sf: P.dashboard_totals(users(s, sf), projects(s, sf), alerts(s, sf)),
-    "dashboard_projects": lambda s, sf: P.dashboard_projects(projects(s, sf), statistics(s, sf)),
+    "dashboard_projects": dashboard_projects,
     "project_cards": lambda s, sf: P.project_cards(projects(s, sf), health(s, sf)),
     "project_scraped_view": lambda s, sf: P.project_scraped_view(projects(s, sf), bundles(s, sf)),
 }

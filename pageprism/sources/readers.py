@@ -62,24 +62,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Session setting: number of partitions to which page tables are dealt before parsing.
+PARSE_PARTITIONS = "pageprism.parse.partitions"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy parsing all cores when the input is too small for that.
+    """Deal the rows to as many partitions as the session asks for, else leave them where they are.
 
-    A table with more scan splits than cores stays where it is: no shuffle.
-    Only an input below one split per core, so bounded by cores times the
-    split size, is redistributed.
+    Page tables with row groups of a few MB need no shuffle: their splits
+    follow ``spark.sql.files.maxPartitionBytes``. The setting is for a table
+    written as one row group, which no split setting can divide.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    if plan_bytes(df) >= cores * split:
-        return df
-    return df.repartition(cores * 2, key)
+    parts = df.sparkSession.conf.get(PARSE_PARTITIONS, None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
