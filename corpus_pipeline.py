@@ -2,7 +2,9 @@
 
 Every stage but the last returns the columns of ``documents`` for the rows it
 keeps. What the stages look up besides (labels, the benchmark) lies in
-``sf_dir``.
+``sf_dir``. Rows without an id are judged by their text, after all rows with
+one; rows that share an id are one document for the stages that judge by id.
+Null texts are empty; extra columns stay as they are; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageprism.llm import quality
-from pageprism.llm.common import keep_rows, materialize, table
+from pageprism.llm.common import keep_rows, keyed, materialize, table
 from pageprism.llm.decontaminate import contaminated_words
 from pageprism.llm.exact_dup import DigestIndex, deduplicate_rows
 from pageprism.llm.near_dup import near_duplicates
@@ -23,7 +25,7 @@ from pageprism.llm.queries import tokenizer
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is at least one half."""
-    return keep_rows(docs, quality.classify(docs, table(spark, sf_dir, "labels")).filter("kept"))
+    return keep_rows(docs, quality.classify(keyed(docs, "source", "lang"), labels=table(spark, sf_dir, "labels")).filter("kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +35,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group over five-word shingles with a similarity of at least 0.8."""
-    return keep_rows(docs, near_duplicates(docs, k=5, num=80, den=100).filter("kept"))
+    return keep_rows(docs, near_duplicates(keyed(docs), k=5, num=80, den=100).filter("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
-    return keep_rows(docs, contaminated_words(docs, table(spark, sf_dir, "benchmark"), window=10, shingle=5).filter(F.size("spans") == 0))
+    return keep_rows(docs, contaminated_words(keyed(docs), table(spark, sf_dir, "benchmark"), window=10, shingle=5).filter(F.size("spans") == 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

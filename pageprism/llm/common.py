@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageprism.sources.sinks import materialize
 
-__all__ = ["documents", "in_arrow", "keep_rows", "materialize", "same", "table"]
+__all__ = ["documents", "in_arrow", "keep_rows", "keyed", "materialize", "row_key", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +22,21 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def same(left: Column, right: Column) -> Column:
-    """Equality that also holds for two nulls."""
-    return left.eqNullSafe(right)
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id of a row; of a row without one a large number made from its text."""
+    other = F.xxhash64(docs[text_col].cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(docs[id_col].cast("bigint"), other)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose id is in ``kept`` (column ``doc_id``)."""
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id`` (never null), ``text`` and the named columns of ``docs``."""
+    return docs.select(row_key(docs).alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c] for c in more])
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose ``row_key`` is in ``kept`` (column ``doc_id``)."""
     ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(ids, same(docs[id_col].cast("bigint"), ids["__kept_id"]), "left_semi")
+    return docs.join(ids, row_key(docs) == ids["__kept_id"], "left_semi")
 
 
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
