@@ -127,6 +127,8 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
@@ -134,4 +136,33 @@ SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM t WINDOW w AS (PARTITION BY h)
     """,
+    "op9_benchmark_decontamination": rf"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        bm AS (SELECT item_id, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS k
+               FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM bm)),
+        dm AS (SELECT doc_id, w, m FROM d, (SELECT DISTINCT m FROM bw)),
+        dw AS (SELECT doc_id, p, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS k
+               FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM dm)),
+        hit AS (SELECT dw.doc_id, dw.p, dw.m, bw.item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.k = bw.k),
+        n AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hit) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+    """,
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        k AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h
+              FROM (SELECT *, unnest(range(1, len(w) - 48)) AS p FROM d)),
+        f AS (SELECT doc_id, p, doc_id > min(doc_id) OVER (PARTITION BY h) AS again FROM k),
+        c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM f WHERE again),
+        t AS (SELECT doc_id, q, w[q] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM d)),
+        r AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.q) AS kept FROM t ANTI JOIN c ON c.doc_id = t.doc_id AND c.q = t.q GROUP BY t.doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
 }
