@@ -103,7 +103,7 @@ CTES["miss"] = (
     f" {A._no('canonical_url')} AS no_canonical, {A._no('robots')} AS no_robots, {A._no('favicon')} AS no_favicon, {A._no('sitemap')} AS no_sitemap, h1 = 0 AS no_h1 FROM m"
 )
 _misses = ["no_title", "no_description", "no_canonical", "no_robots", "no_favicon", "no_sitemap", "no_h1"]
-_limit = lambda unit, k: f"SELECT client, date_trunc('{unit}', ts) AS window_start, count(*) AS requests FROM requests GROUP BY ALL HAVING count(*) > {k}"
+_limit = lambda unit, k, src="busy_requests": f"SELECT client, date_trunc('{unit}', ts) AS window_start, count(*) AS requests FROM {src} GROUP BY ALL HAVING count(*) > {k}"
 _F = ["remote_addr", "remote_user", "time_local", "request", "status", "body_bytes_sent", "http_referer", "http_user_agent", "http_x_forwarded_for"]
 _P = r'^(\S+) - (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+) "([^"]*)" "([^"]*)" "([^"]*)"$'
 _art = lambda name, col: f"SELECT page_id, body AS {col} FROM arts WHERE artifact = '{name}'"
@@ -131,16 +131,17 @@ SQL = {
     "report_seo_text": _art("seo_report.txt", "text"),
     "opt_snapshot": "SELECT m.page_id, url AS original_url, title, links, styled_elements AS inline_styles, internal_css, inline_scripts,"
     " html[1:2000] || '...' AS content_preview, 'general_enhancement' AS optimization_type, unnest(['developer', 'marketer', 'shopper']) AS user_profile FROM m",
-    "request_rate_5m": "SELECT method, window_start, count(*) AS requests, count(*) / 300 AS rate FROM ("
-    "SELECT method, date_trunc('minute', ts) - unnest([0, 1, 2, 3, 4]) * INTERVAL 1 MINUTE AS window_start FROM requests) GROUP BY ALL",
+    "request_rate_5m": "SELECT method, endpoint, window_start, count(*) AS requests, count(*) / 300 AS rate FROM ("
+    "SELECT method, endpoint, date_trunc('minute', ts) - unnest([0, 1, 2, 3, 4]) * INTERVAL 1 MINUTE AS window_start FROM requests) GROUP BY ALL",
     "latency_p95_5m": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, round(quantile_cont(latency, 0.95), 6) AS p95, count(*) AS requests FROM requests GROUP BY 1",
     "latest_gauge": "SELECT method, arg_max(latency, (ts, event_id)) AS value, arg_max(latency, (ts, event_id)) / 1048576 AS value_mb FROM requests GROUP BY method",
     "rate_limit_hour": _limit("hour", 100),
     "rate_limit_day": _limit("day", 1000),
     "rate_limit_second": _limit("second", 10),
-    "rate_limit_hour_low": _limit("hour", 1),
-    "rate_limit_day_low": _limit("day", 3),
-    "rate_limit_second_low": _limit("second", 0),
+    "rate_limit_hour_low": _limit("hour", 1, "requests"),
+    "rate_limit_day_low": _limit("day", 3, "requests"),
+    "rate_limit_second_low": _limit("second", 0, "requests"),
+    "rate_limit_second_login": _limit("second", 2),
     "access_log_parse": f"SELECT event_id, regexp_matches(line, '{_P}') AS ok, "
     + ", ".join(
         f"{'CAST(' if f in ('status', 'body_bytes_sent') else ''}nullif(regexp_extract(line, '{_P}', {i + 1}), ''){' AS BIGINT)' if f in ('status', 'body_bytes_sent') else ''} AS {f}"

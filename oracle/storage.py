@@ -8,9 +8,10 @@ from .tracking import SQL as TRACKING, key
 _DIRS = "(SELECT key, split_part(key, '/', 2) AS dir FROM object_keys WHERE len(string_split(key, '/')) >= 3)"
 
 SQL = {
-    "scan_tracker_json": f"SELECT {key('l.url')} AS site_key, url, scraped_at, saved_directory, user_email FROM scrape_log l WHERE user_email IS NOT NULL",
+    "scan_tracker_json": f"SELECT 'scrape' AS kind, {key('l.url')} AS site_key, url, scraped_at AS at, saved_directory AS directory, user_email AS who FROM scrape_log l WHERE page_id % 5 <> 3"
+    f" UNION ALL SELECT 'optimization', {key('o.original_url')}, original_url, optimized_at, optimized_directory, user_profile FROM site_optimizations o WHERE opt_id % 5 <> 3",
     "read_text_doc": "SELECT line FROM access_lines",
-    "list_objects": "SELECT DISTINCT artifact, true AS filled FROM arts",
+    "list_objects": "SELECT artifact, true AS filled, count(DISTINCT page_id) AS pages FROM arts GROUP BY artifact",
     "site_dirs": f"SELECT DISTINCT dir FROM {_DIRS}",
     "files_per_dir": "SELECT dir AS name, 's3://site-audits/scraped_sites/' || dir AS path, 'scraped' AS type, 's3' AS storage, count(*) AS file_count"
     f" FROM {_DIRS} GROUP BY dir",
@@ -21,9 +22,7 @@ SQL = {
     " WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL",
 }
 SQL = {k: sql(v) for k, v in SQL.items()}
-SQL["write_json"] = (
-    "SELECT original_url, scraped_at, title, word_count, top_keywords FROM (" + REPORTS["report_analysis"] + ")"
-)
+SQL["write_json"] = REPORTS["report_analysis"]
 SQL["write_seo_csv"] = REPORTS["seo_csv"]
 SQL["stream_site_upsert"] = TRACKING["site_upsert"]
 SQL["stream_latest_health"] = TABLES["latest_health"]

@@ -14,7 +14,7 @@ def _id(*keys: str) -> str:
 
 
 def _last(key: str) -> str:
-    cols = ["new_name", "new_email", "new_role", "new_active", "new_status", "new_path"]
+    cols = ["new_name", "new_email", "new_role", "new_active", "new_status", "new_path", "new_preferences"]
     picks = ", ".join(f"arg_max({c}, changed_at) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in cols)
     return f"(SELECT {key}, max(changed_at) AS changed_at, {picks} FROM changes GROUP BY {key})"
 
@@ -35,8 +35,23 @@ _upd = lambda cols: (
 )
 _hist = "project_id, health_id, ts, overall_score::BIGINT AS overall_score"
 
+RESOLVED = (
+    f"SELECT request_id, r.email, coalesce(a.user_id, b.user_id, sha256(r.email)[:32]) AS user_id,"
+    " CASE WHEN a.user_id IS NOT NULL THEN 'email' WHEN b.user_id IS NOT NULL THEN 'external_id' ELSE 'created' END AS how,"
+    " CASE WHEN a.user_id IS NULL AND b.user_id IS NULL THEN r.nm END AS new_name"
+    f" FROM (SELECT *, {DISPLAY} AS nm FROM login_requests) r"
+    f" LEFT JOIN {_newest('users', 'email', 'created_at, user_id', 1)} a ON a.email = r.email"
+    f" LEFT JOIN {_newest('users', 'external_id', 'created_at, user_id', 1)} b ON b.external_id = r.external_id"
+)
+
 SQL = {
-    "scan_platform": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES),
+    "created_users": f"SELECT user_id, email, arg_min(new_name, request_id) AS name, 'user' AS role, true AS is_active, {AS_OF} AS created_at, {AS_OF} AS updated_at"
+    f" FROM ({RESOLVED}) WHERE how = 'created' GROUP BY user_id, email",
+    "scan_platform": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, column_name, filled, (SELECT count(*) FROM {t}) AS rows FROM"
+        f" (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE filled)"
+        for t in TABLES
+    ),
     "read_json_doc": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 4 = 3 AS missing FROM events",
     "append_users": f"SELECT {_id('email', 'name')} AS user_id, email, name, CASE WHEN role = 'admin' THEN role ELSE 'user' END AS role,"
     " NOT ends_with(user_id, '7') AS is_active, nullif(given_name, '') AS given_name,"
@@ -65,14 +80,9 @@ SQL = {
     "lookup_project_domain": f"SELECT {PROJECT}, created_at FROM {_newest('projects', 'user_id, domain', 'created_at, project_id', 1)}"
     " WHERE (user_id, domain) IN (SELECT (CASE WHEN status = 'paused' THEN 'u0' ELSE user_id END, domain) FROM projects)",
     "user_duplicates": f"SELECT {USER}, cnt FROM (SELECT *, count(*) OVER (PARTITION BY email) AS cnt FROM users) WHERE cnt > 1",
-    "user_resolve": f"SELECT request_id, r.email, coalesce(a.user_id, b.user_id, sha256(r.email)[:32]) AS user_id,"
-    " CASE WHEN a.user_id IS NOT NULL THEN 'email' WHEN b.user_id IS NOT NULL THEN 'external_id' ELSE 'created' END AS how,"
-    " CASE WHEN a.user_id IS NULL AND b.user_id IS NULL THEN r.nm END AS new_name"
-    f" FROM (SELECT *, {DISPLAY} AS nm FROM login_requests) r"
-    f" LEFT JOIN {_newest('users', 'email', 'created_at, user_id', 1)} a ON a.email = r.email"
-    f" LEFT JOIN {_newest('users', 'external_id', 'created_at, user_id', 1)} b ON b.external_id = r.external_id",
+    "user_resolve": RESOLVED,
     "update_profile": "SELECT u.user_id, coalesce(new_name, name) AS name, coalesce(new_email, email) AS email, coalesce(new_role, role) AS role,"
-    f" coalesce(new_active, is_active) AS is_active, coalesce(changed_at, updated_at) AS updated_at FROM users u LEFT JOIN {_last('user_id')} c ON c.user_id = u.user_id",
+    f" coalesce(new_active, is_active) AS is_active, coalesce(new_preferences, preferences) AS preferences, coalesce(changed_at, updated_at) AS updated_at FROM users u LEFT JOIN {_last('user_id')} c ON c.user_id = u.user_id",
     "touch_login": f"SELECT u.user_id, strftime(changed_at, '%Y-%m-%dT%H:%M:%S') AS last_login FROM users u LEFT JOIN {_last('user_id')} c ON c.user_id = u.user_id",
     "touch_crawl": _upd("c.changed_at AS last_crawl"),
     "set_files_path": _upd("coalesce(c.new_path, p.scraped_files_path) AS scraped_files_path"),

@@ -140,6 +140,15 @@ def user_resolve(requests: DataFrame, users: DataFrame, name: Column) -> DataFra
     )
 
 
+def created_users(resolved: DataFrame, as_of: Column) -> DataFrame:
+    """Rows of the users that ``user_resolve`` had to create: one per id, by its first request."""
+    new = resolved.filter("how = 'created'").groupBy("user_id", "email").agg(F.min_by("new_name", "request_id").alias("name"))
+    return new.select(
+        "user_id", "email", "name", F.lit("user").alias("role"), F.lit(True).alias("is_active"),
+        as_of.alias("created_at"), as_of.alias("updated_at"),
+    )
+
+
 # ---- rollups ----------------------------------------------------------------
 def project_statistics(
     projects: DataFrame, pages: DataFrame, recommendations: DataFrame, optimizations: DataFrame, health: DataFrame

@@ -15,20 +15,20 @@ LOG_FIELDS = [
 ]
 
 
-def request_rate(requests: DataFrame, by: str = "method", width: int = 5) -> DataFrame:
+def request_rate(requests: DataFrame, by: tuple[str, ...] = ("method", "endpoint"), width: int = 5) -> DataFrame:
     """Requests per second over the ``width`` minutes before each full minute.
 
     Minutes are counted first; only their counts enter the overlapping windows.
     """
-    per_minute = requests.groupBy(by, F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(
+    per_minute = requests.groupBy(*by, F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(
         F.count(F.lit(1)).alias("c")
     )
     starts = F.explode(
         F.array(*[F.col("minute") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(i)) for i in range(width)])
     )
     return (
-        per_minute.select(by, "c", starts.alias("window_start"))
-        .groupBy(by, "window_start")
+        per_minute.select(*by, "c", starts.alias("window_start"))
+        .groupBy(*by, "window_start")
         .agg(F.sum("c").alias("requests"))
         .withColumn("rate", F.col("requests") / F.lit(width * 60))
     )

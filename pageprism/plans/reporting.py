@@ -13,7 +13,7 @@ from .extraction import on_pages, parsed
 from .tracking import BUCKET
 
 PROFILES = ["developer", "marketer", "shopper"]
-HOUR_LIMIT, DAY_LIMIT, SECOND_LIMIT = 100, 1000, 10
+HOUR_LIMIT, DAY_LIMIT, SECOND_LIMIT, LOGIN_SECOND_LIMIT = 100, 1000, 10, 2
 
 
 def logged(s: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +63,8 @@ def bundle_metadata(s: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _limits(unit: str, limit: int):
-    return lambda s, sf: W.over_limit(requests(s, sf), unit, limit)
+def _limits(unit: str, limit: int, busy: bool = True):
+    return lambda s, sf: W.over_limit(view(s, sf, "busy_requests" if busy else "requests"), unit, limit)
 
 
 QUERIES = {
@@ -84,14 +84,14 @@ QUERIES = {
     "request_rate_5m": lambda s, sf: W.request_rate(requests(s, sf)),
     "latency_p95_5m": lambda s, sf: W.latency_quantile(requests(s, sf)),
     "latest_gauge": lambda s, sf: W.latest_gauge(requests(s, sf)),
-    # The stock limits; the given traffic stays below them, so the lower
-    # limits of the second set show clients above a limit.
+    # The stock limits on traffic that is above them, and low ones on the given traffic.
     "rate_limit_hour": _limits("hour", HOUR_LIMIT),
     "rate_limit_day": _limits("day", DAY_LIMIT),
     "rate_limit_second": _limits("second", SECOND_LIMIT),
-    "rate_limit_hour_low": _limits("hour", 1),
-    "rate_limit_day_low": _limits("day", 3),
-    "rate_limit_second_low": _limits("second", 0),
+    "rate_limit_hour_low": _limits("hour", 1, busy=False),
+    "rate_limit_day_low": _limits("day", 3, busy=False),
+    "rate_limit_second_low": _limits("second", 0, busy=False),
+    "rate_limit_second_login": _limits("second", LOGIN_SECOND_LIMIT),
     "access_log_parse": lambda s, sf: W.parse_access_log(view(s, sf, "access_lines")),
     "log_slices": lambda s, sf: W.log_slices(requests(s, sf), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")),
     "missing_meta_audit": on_pages(C.missing_meta_audit),

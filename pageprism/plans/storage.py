@@ -19,17 +19,36 @@ def keys(s: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_tracker_json(s: SparkSession, sf: str) -> DataFrame:
-    """Write tracker documents as JSON lines, some cut short, and scan them."""
+    """Write tracker documents, with the scrapes and optimizations of a site, and scan them.
+
+    A site's records are dealt to five documents; those of the fourth are cut
+    short and give nothing.
+    """
+    key = lambda url: site_key(F.col(url)).alias("site_key")
     record = F.struct("url", R.iso("scraped_at").alias("scraped_at"), "saved_directory", "user_email")
-    site = F.struct(F.col("site_key").alias("domain"), F.array(record).alias("scrapes"))
+    scrapes = log(s, sf).select(key("url"), (F.col("page_id") % 5).alias("part"), record.alias("r"))
+    scrapes = scrapes.groupBy("site_key", "part").agg(F.collect_list("r").alias("scrapes"))
+    record = F.struct("original_url", "user_profile", R.iso("optimized_at").alias("optimized_at"), "optimized_directory")
+    opts = view(s, sf, "site_optimizations").select(key("original_url"), (F.col("opt_id") % 5).alias("part"), record.alias("r"))
+    opts = opts.groupBy("site_key", "part").agg(F.collect_list("r").alias("optimizations"))
+    site = F.struct(F.col("site_key").alias("domain"), "scrapes", "optimizations")
     text = F.to_json(F.struct(F.create_map("site_key", site).alias("sites")))
-    docs = log(s, sf).withColumn("site_key", site_key(F.col("url"))).select(
-        F.when(F.col("user_email").isNull(), F.left(text, F.length(text) - 5)).otherwise(text).alias("value")
+    docs = scrapes.join(opts, ["site_key", "part"], "full").select(
+        F.when(F.col("part") == 3, F.left(text, F.length(text) - 5)).otherwise(text).alias("value")
     )
     path = sinks.work_dir(s, "tracker")
     docs.write.text(path)
-    found = readers.tracker_scrapes(s.read.schema(readers.TRACKER).json(path))
-    return found.select("site_key", "url", "scraped_at", "saved_directory", "user_email")
+    read = s.read.schema(readers.TRACKER).json(path)
+    found = readers.tracker_scrapes(read).select(
+        F.lit("scrape").alias("kind"), "site_key", "url", F.col("scraped_at").alias("at"), F.col("saved_directory").alias("directory"),
+        F.col("user_email").alias("who"),
+    )
+    return found.unionByName(
+        readers.tracker_optimizations(read).select(
+            F.lit("optimization").alias("kind"), "site_key", F.col("original_url").alias("url"), F.col("optimized_at").alias("at"),
+            F.col("optimized_directory").alias("directory"), F.col("user_profile").alias("who"),
+        )
+    )
 
 
 def read_text_doc(s: SparkSession, sf: str) -> DataFrame:
@@ -41,18 +60,21 @@ def read_text_doc(s: SparkSession, sf: str) -> DataFrame:
 
 
 def list_objects(s: SparkSession, sf: str) -> DataFrame:
-    """Which artifact folders a written bundle has files in."""
+    """Which artifact folders a written bundle has files in, and how many pages these hold."""
     path = sinks.work_dir(s, "bundle")
     sinks.write_bundle(R.write_bundle(logged(s, sf), BUCKET), path)
     listed = readers.list_objects(s, path)
     folder = F.regexp_extract("key", "artifact=([^/]+)/[^/]+[.]parquet$", 1)
-    return listed.filter(folder != "").groupBy(folder.alias("artifact")).agg(F.bool_and(F.col("size") > 0).alias("filled"))
+    files = listed.filter(folder != "").groupBy(folder.alias("artifact")).agg(F.bool_and(F.col("size") > 0).alias("filled"))
+    pages = s.read.parquet(path).groupBy("artifact").agg(F.countDistinct("page_id").alias("pages"))
+    return files.join(pages, "artifact")
 
 
 def write_json(s: SparkSession, sf: str) -> DataFrame:
     path = sinks.work_dir(s, "json")
-    sinks.write_json(R.report_analysis(logged(s, sf)), path)
-    return s.read.schema("original_url string, scraped_at string, title string, word_count bigint, top_keywords string").json(path)
+    report = R.report_analysis(logged(s, sf))
+    sinks.write_json(report, path)
+    return s.read.schema(report.schema).json(path)
 
 
 def write_seo_csv(s: SparkSession, sf: str) -> DataFrame:

@@ -33,10 +33,13 @@ ppages, recs, changes = _v("platform_pages"), _v("recommendations"), _v("changes
 
 
 def scan_platform(s: SparkSession, sf: str) -> DataFrame:
-    """Row counts of all seven tables from whole-table scans."""
+    """Rows, and values per column, of all seven tables from whole-table scans."""
     out = None
     for name in TABLES:
-        one = view(s, sf, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        table = view(s, sf, name)
+        counts = table.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in table.columns])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("filled")) for c in table.columns]))
+        one = counts.select(F.lit(name).alias("table_name"), "rows", each.alias("x")).select("table_name", "x.column_name", "x.filled", "rows")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -143,14 +146,20 @@ def _owned_requests(s: SparkSession, sf: str) -> DataFrame:
 
 def update_profile(s: SparkSession, sf: str) -> DataFrame:
     fields = {
-        "name": "new_name", "email": "new_email", "role": "new_role", "is_active": "new_active", "updated_at": "stamp",
+        "name": "new_name", "email": "new_email", "role": "new_role", "is_active": "new_active",
+        "preferences": "new_preferences", "updated_at": "stamp",
     }
     ch = changes(s, sf).withColumn("stamp", F.col("changed_at"))
     return P.merge(users(s, sf), ch, "user_id", fields, "changed_at").select(
-        "user_id", "name", "email", "role", "is_active", "updated_at"
+        "user_id", "name", "email", "role", "is_active", "preferences", "updated_at"
     )
 
 
+def resolved(s: SparkSession, sf: str) -> DataFrame:
+    name = display_name(F.col("given_name"), F.col("family_name"), F.col("email"))
+    return P.user_resolve(view(s, sf, "login_requests"), users(s, sf), name)
+
+
 def touch_login(s: SparkSession, sf: str) -> DataFrame:
     ch = changes(s, sf).withColumn("stamp", F.date_format("changed_at", "yyyy-MM-dd'T'HH:mm:ss"))
     return P.merge(users(s, sf), ch, "user_id", {"last_login": "stamp"}, "changed_at").select("user_id", "last_login")
@@ -247,9 +256,8 @@ QUERIES = {
         ["user_id", "domain"], ["created_at", "project_id"],
     ),
     "user_duplicates": lambda s, sf: P.duplicates(users(s, sf).select(*USER), "email"),
-    "user_resolve": lambda s, sf: P.user_resolve(
-        view(s, sf, "login_requests"), users(s, sf), display_name(F.col("given_name"), F.col("family_name"), F.col("email"))
-    ),
+    "user_resolve": resolved,
+    "created_users": lambda s, sf: P.created_users(resolved(s, sf), as_of()),
     "update_profile": update_profile,
     "touch_login": touch_login,
     "touch_crawl": _project_update({"last_crawl": "stamp"}),

@@ -155,7 +155,12 @@ VIEWS: dict[str, str] = {
         " '{\"changed\":' || CAST(l_linenumber AS STRING) || '}' AS changes_made FROM $lineitem$"
     ),
     "requests": (
-        "SELECT event_id, ts, user_id AS client, event_type AS method, value AS latency, props FROM $events$"
+        "SELECT event_id, ts, user_id AS client, event_type AS method, '/api/' || CAST(user_id % 5 AS STRING) AS endpoint,"
+        " value AS latency, props FROM $events$"
+    ),
+    # The same requests by three clients, fifty a second: above the stock limits.
+    "busy_requests": (
+        "SELECT event_id, $ts$'2024-01-01 00:00:00' + CAST(floor(event_id / 50) AS INT) * INTERVAL '1' SECOND AS ts, user_id % 3 AS client FROM $events$"
     ),
     "access_lines": (
         "SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'garbled line ' || event_type ELSE"
@@ -181,6 +186,7 @@ VIEWS["changes"] = (
     " CASE WHEN event_id % 3 = 0 THEN event_type || '@example.com' END AS new_email,"
     " CASE WHEN event_id % 5 = 0 THEN 'admin' END AS new_role, CASE WHEN event_id % 7 = 0 THEN false END AS new_active,"
     " CASE WHEN event_type = 'error' THEN 'paused' ELSE 'active' END AS new_status,"
+    " CASE WHEN event_id % 11 = 0 THEN '{\"size\":' || CAST(event_id AS STRING) || '}' END AS new_preferences,"
     " 'scraped_sites/run_' || CAST(event_id AS STRING) AS new_path, event_type FROM $events$"
 )
 
