@@ -19,8 +19,9 @@
    inside a group is formed.
 
 The chance that a pair at the threshold shares no bucket is
-``(1 - s**rows)**bands``: 2e-8 at 0.85 with 30 bands of 5. The signature filter
-lies six standard deviations below the threshold.
+``(1 - s**rows)**bands``; there are as many bands as bring it below 2.5e-8 (30
+of 5 minima at 0.85, 45 at 0.8). The signature filter lies six standard
+deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from pageprism.llm.components import connected
 _SIGNATURE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig array<bigint>"
 _FIELDS = 32  # two-bit fields in a long
 _COLUMNS = 2048
+_MISSED = 2.5e-8
 
 
 class _Hashes:
@@ -196,7 +198,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 30, rows: int = 5
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int | None = None, rows: int = 5
 ) -> DataFrame:
     """Groups of near duplicates.
 
@@ -213,6 +215,8 @@ def near_duplicates(
     is expected to name one text; of an id with unlike texts each row has the
     size of its own text, and links of any of them count for the id. Other columns of ``docs`` are not looked at. An empty table gives an empty result.
     """
+    if bands is None:
+        bands = math.ceil(math.log(_MISSED) / math.log(1 - (num / den) ** rows)) if num < den else 1
     sigs = materialize(signatures(docs, k, bands, rows), "signatures")
     mine = ["d1", "d2", "n_shingles"]
     classes = sigs.filter("n_shingles > 0").groupBy(*mine).agg(F.min("doc_id").alias("rep"))
