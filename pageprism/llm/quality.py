@@ -25,6 +25,8 @@ from pageprism.llm.learn import labelled_sample
 FEATURES = [
     "words", "repeated_next", "distinct", "word_length", "upper", "digits", "signs", "no_letters", "sign_ends", "short", "bars",
 ]
+#: A text of so many words counts half of its evidence: shares of few words say little.
+FEW_WORDS = 4
 _CLASS = np.zeros(256, np.int64)
 _LETTER, _UPPER, _DIGIT, _SIGN = 1, 2, 3, 4
 _CLASS[0x61:0x7B] = _CLASS[0x80:] = _LETTER
@@ -139,7 +141,8 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
         for batch in batches:
             ratio = np.zeros(batch.num_rows)
             for lo, hi, words in W.blocks(batch.column(1), W.NOT_SPACE, lower=False):
-                ratio[lo:hi] = np.where(np.diff(words.first) > 0, model.ratio(shape_features(words)), 0.0)
+                n = np.diff(words.first)
+                ratio[lo:hi] = model.ratio(shape_features(words)) * n / (n + FEW_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(ratio)], names=["doc_id", "host", "path", "ratio"]
             )
