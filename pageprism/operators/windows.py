@@ -54,16 +54,19 @@ def latency_quantile(requests: DataFrame, q: float = 0.95) -> DataFrame:
         "window_start", "span", "n", F.sum("n").over(whole.orderBy("span")).alias("upto"),
         F.sum("n").over(whole).alias("total"), F.sum("in_span").over(whole).alias("requests"),
     )
-    chosen = ranges.filter((holds(low) | holds(high)) & (F.col("n") > 0)).withColumnRenamed("upto", "upto_span").withColumnRenamed("n", "n_span")
+    # a window without any value is kept, too
+    chosen = ranges.filter((holds(low) | holds(high)) & (F.col("n") > 0) | (F.col("total") == 0))
+    chosen = chosen.withColumnsRenamed({"upto": "upto_span", "n": "n_span"})
     inside = Window.partitionBy("window_start", "span").orderBy("latency")
-    values = counted.filter(value.isNotNull()).join(chosen, ["window_start", "span"]).withColumns(
+    values = chosen.join(counted, ["window_start", "span"], "left").withColumns(
         {"n": F.col("c"), "upto": F.col("upto_span") - F.col("n_span") + F.sum("c").over(inside)}
     )
     at = lambda r: F.max(F.when(holds(r), value))
     share = F.max(place - low)
-    found = values.groupBy("window_start").agg((at(low) * (1 - share) + at(high) * share).alias("p"))
-    totals = ranges.groupBy("window_start").agg(F.max("requests").alias("requests"))
-    return totals.join(found, "window_start", "left").select("window_start", F.round("p", 6).alias("p95"), "requests")
+    found = values.groupBy("window_start").agg(
+        F.round(at(low) * (1 - share) + at(high) * share, 6).alias("p95"), F.max("requests").alias("requests")
+    )
+    return found.select("window_start", "p95", "requests")
 
 
 def latest_gauge(requests: DataFrame) -> DataFrame:
