@@ -89,17 +89,30 @@ def request_counts(requests: DataFrame) -> DataFrame:
 
 
 def run_append(stream: DataFrame, out: str) -> int:
-    """Drain the source into a file sink; returns the number of late rows left out."""
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    """Drain the source into a file sink; returns the number of late rows left out.
+
+    The number is added to the table ``late`` beside the rows, too. Progress of
+    all batches of the run is kept for it: by default Spark forgets all but the last hundred.
+    """
+    spark = stream.sparkSession
+    keep = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(keep)
+    spark.conf.set(keep, 2**31 - 1)
+    try:
+        query = (
+            stream.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    finally:
+        spark.conf.set(keep, before)
+    spark.createDataFrame([(str(query.runId), late)], "run string, late_rows bigint").coalesce(1).write.mode("append").parquet(f"{out}/late")
+    return late
 
 
 def stream_site_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

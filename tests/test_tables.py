@@ -131,3 +131,4 @@ def test_stream_drops_late_and_repeated_events(spark, tmp_path):
     got = sorted((r["window_start"], r["requests"]) for r in spark.read.parquet(f"{out}/rows").collect())
     assert got == [(at(0), 2), (at(60), 2)]
     assert late >= 1
+    assert spark.read.parquet(f"{out}/late").agg(F.sum("late_rows")).first()[0] == late
