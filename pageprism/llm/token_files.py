@@ -41,6 +41,12 @@ def _serialized(ids: bytes, end_id: int | None, width: int) -> np.ndarray:
     return out.astype(f"<u{width}")
 
 
+def _binary(values: list[bytes]) -> pa.Array:
+    """A binary column from one joined buffer."""
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(values))])
+
+
 def train_dictionary(
     docs: DataFrame, tokenizer: str, end_id: int | None, width: int, sample_docs: int, sample_chars: int, dict_bytes: int
 ) -> bytes:
@@ -189,7 +195,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                     for i in rows
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in rows], pa.int64()), pa.array(starts[rows]), pa.array(counts[rows]), pa.array(out, pa.binary())],
+                    [pa.array([ids[i] for i in rows], pa.int64()), pa.array(starts[rows]), pa.array(counts[rows]), _binary(out)],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

@@ -10,6 +10,7 @@ tokenizer as it stands. Words are remembered within a fixed number of entries.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from itertools import compress, islice, repeat
@@ -66,6 +67,8 @@ class Encoder:
     _made: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, entries: int):
+        # Spark runs a task per core: threads of the library would only get in each other's way
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,10 +76,23 @@ class Encoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.bare = self._bare(path)
         self.entries = entries
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
+    def _bare(self, path: str):
+        """The same vocabulary and merges without normalizing and splitting, for words of a-z; None where that is not the same."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        some = [t.removesuffix("</w>") for t in self.tokenizer.get_vocab()]
+        line = " ".join([t for t in some if t.isascii() and t.isalpha() and t.islower()][:2000] + list("abcdefghijklmnopqrstuvwxyz"))
+        same = bare.encode(line, add_special_tokens=False).ids == self.tokenizer.encode(line, add_special_tokens=False).ids
+        return bare if same else None
+
     @classmethod
     def of(cls, path: str, entries: int = 500_000) -> Encoder:
         """The encoder of this worker process; its memory lasts over tasks."""
@@ -134,8 +150,13 @@ class Encoder:
     def _letters(self, words: Iterable[str], memory: dict[str, bytes]) -> None:
         """Runs of letters, many at a time: each ends with the one token that ends a word."""
         order = sorted(words)
+        simple = [w for w in order if w.isascii() and w.islower()] if self.bare else []
+        self._joined(self.bare, simple, memory)
+        self._joined(self.tokenizer, [w for w in order if not (w.isascii() and w.islower())] if self.bare else order, memory)
+
+    def _joined(self, tokenizer, order: list[str], memory: dict[str, bytes]) -> None:
         groups = [order[i : i + _JOIN] for i in range(0, len(order), _JOIN)]
-        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else []
+        found = tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else []
         for group, e in zip(groups, found, strict=True):
             ids = np.array(e.ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
