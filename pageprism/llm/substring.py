@@ -212,6 +212,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
         .filter("first < last")
         .select("anchor", "first", (F.col("p") != F.col("q")).alias("unequal"))
     )
+    # written first: a join of two tables is split at hot anchors, one with a grouping in its stage is not
+    anchors = materialize(anchors, "anchors")
     placed = materialize(index.join(anchors, "anchor").filter("unequal OR doc > first"), "placed")
 
     # factor boundaries: windows of the unequal blocks
@@ -220,6 +222,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     windows = materialize(_windows(texts.join(wanted, "doc").select("doc", "text", "blocks"), window, gram), "windows")
     least = windows.groupBy("anchor", "w").agg(F.min("first").alias("m"))
     known = windows.join(least, ["anchor", "w"]).groupBy("anchor", "block").agg(F.collect_list(F.struct("i", "m")).alias("ws"))
+    known = materialize(known, "known")
     mask = F.aggregate(
         F.filter("ws", lambda x: x["m"] < F.col("doc")),
         F.lit(0).cast("bigint"),
