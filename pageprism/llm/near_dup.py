@@ -228,14 +228,15 @@ def near_duplicates(
         "heads",
     )
     members = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # grouped sides are written first: a join of two tables is split at hot keys, one with a grouping in its stage is not
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     shared = materialize(members.join(sizes, "key"), "buckets")
     central = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
     texts = documents(docs).join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = materialize(texts, "texts")
 
     weighed = materialize(shared.drop("n").join(central, "rep").withColumn("at", F.struct("weight", -F.col("rep"), "rep")), "weighed")
-    heart = weighed.groupBy("key").agg(F.max("at").alias("top"))
+    heart = materialize(weighed.groupBy("key").agg(F.max("at").alias("top")), "hearts")
     best = weighed.join(heart, "key").groupBy("rep").agg(F.max("top").alias("top"))
     first = best.select(F.col("top.rep").alias("a"), F.col("rep").alias("b")).filter("a != b")
     links = materialize(confirmed(first, texts, k, num, den), "links")
@@ -246,12 +247,14 @@ def near_duplicates(
     )
     per = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
-    open_ones = materialize(placed.join(mixed.select("key"), "key", "left_semi").select("rep", "c").distinct(), "open")
+    mixed = materialize(mixed.select("key"), "mixed-keys")
+    open_ones = materialize(placed.join(mixed, "key", "left_semi").select("rep", "c").distinct(), "open")
     left = prefixes(texts.join(open_ones.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k, num, den)
     left = materialize(left.join(open_ones, "rep"), "prefixes")
     per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
-    left = left.join(mixed.select("key", F.col("top.c").alias("major")), "key").join(reps.drop("bands"), "rep")
+    mixed = materialize(mixed.select("key", F.col("top.c").alias("major")), "mixed-keys")
+    left = left.join(mixed, "key").join(reps.drop("bands"), "rep")
     left = materialize(left, "mixed")
     part = ("rep", "c", "n_shingles", "at", "sig", "major")
     x = left.filter("c != major").select("key", *[F.col(c).alias(f"x_{c}") for c in part])
