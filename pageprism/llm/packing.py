@@ -5,9 +5,10 @@ every piece is placed best-fit in descending length; then the least filled
 sequence is emptied by exchanges with underfull ones, each of which raises the
 sum of squared fills: a piece moves, a piece changes place with a shorter one,
 or two pieces with one. Groups that reach the least possible number of
-sequences stop at once. What is left in badly filled sequences is dealt to
-fewer groups and packed again, until one group remains, so the loss does not
-grow with the number of groups.
+sequences stop at once. What is left in badly filled sequences with room for
+another piece is dealt to fewer groups and packed again, until one group
+remains. Every round places at least half of its pieces, if need be in the
+fullest sequences of each group, so that the groups never grow.
 """
 
 from __future__ import annotations
@@ -86,79 +87,100 @@ class _Bins:
             open_rooms |= 1 << left
 
     def search(self, steps: int) -> None:
-        """Empty sequences until none can be, or for so many exchanges."""
+        """Empty sequences until none can be, or for so many exchanges.
+
+        A sequence that found no exchange is looked at again after another one
+        was emptied. It, or another with the same lengths, is then compared
+        only with sequences changed since, and with equal ones.
+        """
         least = -(-int(self.sizes.sum()) // self.capacity)
         fill = np.array(self.fill, np.int64)
         used = int((fill > 0).sum())
-        stuck: set[int] = set()
+        order = np.argsort(self.bin, kind="stable")
+        members = [m.tolist() for m in np.split(order, np.searchsorted(self.bin[order], np.arange(1, len(fill))))]
+        changed, now = np.ones(len(fill), np.int64), 1
+        failed: dict[tuple[int, ...], int] = {}  # lengths, and when they found nothing
+        tried = np.zeros(len(fill), bool)  # since one was emptied
         while used > least and steps > 0:
-            open_bins = [b for b in np.flatnonzero((fill > 0) & (fill < self.capacity)).tolist() if b not in stuck]
-            if len(open_bins) < 2:
+            open_fill = np.where((fill > 0) & ~tried, fill, self.capacity)
+            victim = int(np.argmin(open_fill))
+            if open_fill[victim] == self.capacity:
                 break
-            victim = min(open_bins, key=lambda b: (fill[b], b))
-            while fill[victim] and steps > 0 and self._exchange(fill, victim):
-                steps -= 1
-            if fill[victim]:
-                stuck.add(victim)
-            else:
+            tried[victim] = True
+            while fill[victim] and steps > 0:
+                lengths = tuple(sorted(self.sizes[members[victim]].tolist()))
+                since = failed.get(lengths, 0)
+                target = -1 if since == now else self._exchange(fill, victim, members, (changed > since) | (fill == fill[victim]))
+                if target < 0:
+                    failed[lengths] = now
+                    break
+                now, steps = now + 1, steps - 1
+                changed[[victim, target]] = now
+            if not fill[victim]:
                 used -= 1
-                stuck.clear()
+                tried[:] = False
         self.fill = fill.tolist()
 
-    def _exchange(self, fill: np.ndarray, victim: int) -> bool:
-        """One exchange between ``victim`` and a fuller sequence, the one that fills it most."""
+    def _exchange(self, fill: np.ndarray, victim: int, members: list[list[int]], among: np.ndarray) -> int:
+        """One exchange between ``victim`` and a fuller sequence (of ``among``), the one that fills it most; its number or -1."""
         room = self.capacity - fill
-        room[(fill == 0) | (fill < fill[victim])] = 0
+        room[(fill == 0) | (fill < fill[victim]) | ~among] = 0
         room[victim] = 0
-        own = np.flatnonzero(self.bin == victim)
         best_room = int(room.max(initial=0))
         if not best_room:
-            return False
-        for i in own[np.argsort(-self.sizes[own], kind="stable")].tolist():  # move
+            return -1
+        own = sorted(members[victim], key=lambda i: (-self.sizes[i], i))
+        for i in own:  # move
             size = int(self.sizes[i])
-            fits = np.flatnonzero(room >= size)
-            if len(fits):
+            if size <= best_room:
+                fits = np.flatnonzero(room >= size)
                 b = int(fits[np.argmin(room[fits])])
-                self._shift(fill, [i], victim, b)
-                return True
-        others = np.flatnonzero(room[self.bin] > 0)
-        sizes, spare = self.sizes[others], room[self.bin[others]]
-        best: tuple[int, list[int], int] = (0, [], -1)
-        singles = {int(self.sizes[i]): [i] for i in own.tolist()}
-        pairs: dict[int, list[int]] = {}
-        short = own[np.argsort(-self.sizes[own], kind="stable")][:40].tolist()
+                self._shift(fill, members, [i], victim, b)
+                return b
+        sums: dict[int, list[int]] = {}
+        short = own[:40]
         for n, i in enumerate(short):
             for j in short[n + 1 :]:
-                pairs.setdefault(int(self.sizes[i] + self.sizes[j]), [i, j])
-        for size, mine in [*singles.items(), *pairs.items()]:  # one for one, two for one
-            gain = size - sizes
-            gain[(gain <= 0) | (gain > spare)] = 0
-            at = int(np.argmax(gain)) if len(gain) else 0
-            if len(gain) and gain[at] > best[0]:
-                best = (int(gain[at]), mine, int(others[at]))
-        if not best[0]:
-            return False
-        target = int(self.bin[best[2]])
-        self._shift(fill, [best[2]], target, victim)
-        self._shift(fill, best[1], victim, target)
-        return True
-
-    def _shift(self, fill: np.ndarray, items: list[int], source: int, target: int) -> None:
+                sums.setdefault(int(self.sizes[i] + self.sizes[j]), [i, j])
+        sums |= {int(self.sizes[i]): [i] for i in own}
+        offered = np.array(sorted(sums), np.int64)
+        others = np.flatnonzero(room[self.bin] > 0)
+        sizes = self.sizes[others]
+        # one for one, two for one: for each piece the longest offer that still fits in its place
+        at = np.searchsorted(offered, sizes + room[self.bin[others]], "right") - 1
+        gain = np.where(at < 0, 0, offered[at] - sizes)
+        most = int(gain.max(initial=0))
+        if not most:
+            return -1
+        # of equal gains one piece before two, the longest first: short ones are easier to place later
+        k = max(np.flatnonzero(gain == most).tolist(), key=lambda k: (-len(sums[int(offered[at[k]])]), offered[at[k]], -k))
+        other, target = int(others[k]), int(self.bin[others[k]])
+        self._shift(fill, members, [other], target, victim)
+        self._shift(fill, members, sums[int(offered[at[k]])], victim, target)
+        return target
+
+    def _shift(self, fill: np.ndarray, members: list[list[int]], items: list[int], source: int, target: int) -> None:
         size = int(self.sizes[items].sum())
         self.bin[items] = target
+        members[source] = [i for i in members[source] if i not in items]
+        members[target] += items
         fill[source] -= size
         fill[target] += size
 
 
-def _placer(capacity: int, steps: int, release: float, level: int, last: bool) -> Callable:
-    """Packs one group; in the last round every piece is placed."""
+def _placer(capacity: int, steps: int, release: float, level: int) -> Callable:
+    """Packs one group. ``full``: filled to ``release``; ``fuller``: among the fullest sequences with half of the group's pieces."""
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece", "start"], ignore_index=True)
+        frame = frame.sort_values(["doc_id", "piece", "start", "row"], ignore_index=True)
         bins = _Bins(frame["length"].to_numpy(np.int64), capacity)
         bins.search(steps)
         fill = np.array(bins.fill, np.int64)
-        frame["placed"] = last | (fill[bins.bin] >= release * capacity)
+        count = np.bincount(bins.bin, minlength=len(fill))
+        down = np.argsort(-fill, kind="stable")
+        fuller = np.zeros(len(fill), bool)
+        fuller[down[np.cumsum(count[down]) - count[down] < len(frame) / 2]] = True
+        frame["full"], frame["fuller"], frame["room"] = fill[bins.bin] >= release * capacity, fuller[bins.bin], capacity - fill[bins.bin]
         order = np.argsort(bins.bin, kind="stable")
         frame, b = frame.iloc[order], bins.bin[order]
         ends = frame["length"].cumsum().to_numpy()
@@ -166,7 +188,7 @@ def _placer(capacity: int, steps: int, release: float, level: int, last: bool) -
         new = np.concatenate([[True], b[1:] != b[:-1]])
         frame["offset"] = begins - begins[np.flatnonzero(new)][np.cumsum(new) - 1]
         frame["sequence_id"] = (level << 56) + (int(key[0]) << 24) + b
-        return frame[[*_NAMES, "sequence_id", "offset", "placed"]]
+        return frame[["row", *_NAMES, "sequence_id", "offset", "full", "fuller", "room"]]
 
     return place
 
@@ -177,33 +199,39 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000, steps: int
     A sequence holds at most ``capacity`` tokens, offsets leave no gap. Pieces
     of length 0 get a place, too. Rows may repeat; each is packed. A length that is null
     or above the capacity is an error. ``group_rows`` bounds what one task
-    holds, ``steps`` the exchanges in a group; sequences filled below
-    ``release`` are packed once more with those of other groups.
+    holds (up to the chance of a hash of row numbers) in every round, ``steps`` the exchanges in a group; sequences filled below
+    ``release`` that have room for the shortest piece left are packed once more with those of other groups. Where that is more
+    than half of the pieces, only the less filled sequences, with at most half of them, are.
     """
     bad = F.col("length").isNull() | (F.col("length") > capacity)
     pieces = materialize(
-        pieces.select(*_NAMES).withColumn("length", F.when(bad, F.raise_error(F.lit("a piece does not fit into a sequence"))).otherwise(F.col("length"))),
+        pieces.select(*_NAMES)
+        .withColumn("length", F.when(bad, F.raise_error(F.lit("a piece does not fit into a sequence"))).otherwise(F.col("length")))
+        .withColumn("row", F.monotonically_increasing_id()),
         "pieces",
     )
     full = pieces.filter(F.col("length") == capacity)
-    done = [full.select(*_NAMES, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
+    done = [full.select(*_NAMES, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     rest, level = pieces.filter(F.col("length") < capacity), 0
     rows = rest.count()
     while rows:
         groups = -(-rows // group_rows)
-        last = groups == 1
-
-        dealt = rest.select(*_NAMES).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)))
-        schema = f"{_PIECE}, sequence_id bigint, offset bigint, placed boolean"
-        out = materialize(dealt.groupBy("g").applyInPandas(_placer(capacity, steps, release, level, last), schema), "packed")
-        done.append(out.filter("placed").drop("placed"))
-        if last:
+        dealt = rest.select("row", *_NAMES).withColumn("g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
+        schema = f"row bigint, {_PIECE}, sequence_id bigint, offset bigint, full boolean, fuller boolean, room bigint"
+        out = materialize(dealt.groupBy("g").applyInPandas(_placer(capacity, steps, release, level), schema), "packed")
+        placed = F.lit(True)
+        if groups > 1:
+            placed = F.col("full")
+            shortest = out.filter(~placed).agg(F.min("length")).first()[0]
+            if shortest is not None:
+                placed |= F.col("room") < shortest
+            if out.filter(~placed).count() > rows / 2:
+                placed |= F.col("fuller")
+        done.append(out.filter(placed).select(*_NAMES, "sequence_id", "offset"))
+        if groups == 1:
             break
-        rest, level = out.filter("NOT placed"), level + 1
-        left = rest.count()
-        # groups that leave most of their pieces (few large ones) are not dealt again and again
-        group_rows = group_rows if left < rows / 2 else 2 * group_rows
-        rows = left
+        rest, level = out.filter(~placed), level + 1
+        rows = rest.count()
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)

@@ -86,6 +86,47 @@ def test_packing_in_many_groups(spark):
     assert check_packing(rows, 1000) <= -(-sum(sizes) // 1000) * 1.01 + 1
 
 
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+
+
+def test_packing_keeps_groups_small_where_nothing_fits(spark):
+    from pageprism.llm.packing import pack
+
+    rng = np.random.default_rng(2)
+    for sizes in ([600] * 3000, rng.integers(510, 980, 3000).tolist(), [730] * 1000 + rng.integers(1, 60, 2000).tolist()):
+        # no id tells the rows apart
+        rows = pack(spark.createDataFrame([(None, 0, 0, s, 0) for s in sizes], PIECES), 1000, group_rows=200).collect()
+        assert sorted(r.length for r in rows) == sorted(sizes)
+        held = {}
+        for r in rows:
+            held[r.sequence_id >> 24] = held.get(r.sequence_id >> 24, 0) + 1
+        assert max(held.values()) < 300
+        whole = _Bins(np.array(sizes, np.int64), 1000)
+        assert check_packing(rows, 1000) <= len([f for f in whole.fill if f]) * 1.01
+
+
+def test_equal_sequences_are_tried_once():
+    tried = []
+
+    class Counting(_Bins):
+        def _exchange(self, fill, victim, *more):
+            tried.append(victim)
+            return super()._exchange(fill, victim, *more)
+
+    b = Counting(np.array([600] * 500 + [700] * 500, np.int64), 1000)
+    b.search(10_000)
+    assert len(b.fill) == 1000
+    assert len(tried) <= 4
+
+
+def test_a_sequence_may_join_one_of_the_same_length():
+    sizes = [40, 41, 44, 19, 18, 31, 19, 56, 13, 28, 36, 20, 22, 48, 38, 57, 44, 36, 41]
+    b = _Bins(np.array(sizes, np.int64), 100)
+    b.bin, b.fill = np.arange(len(sizes)), list(sizes)
+    b.search(1000)
+    assert len([f for f in b.fill if f]) == 7
+
+
 @pytest.mark.parametrize("sizes", [[60, 60, 40, 40, 50, 50], [51, 27, 26, 23, 24, 25, 24], [5, 5, 5], []])
 def test_local_search_reaches_the_least(sizes):
     b = _Bins(np.array(sizes, np.int64), 100)
