@@ -4,10 +4,10 @@ Pieces go to groups of a fixed size, whatever the number of pieces. In a group
 every piece is placed best-fit in descending length; then the least filled
 sequence is emptied by exchanges with underfull ones, each of which raises the
 sum of squared fills: a piece moves, a piece changes place with a shorter one,
-or two pieces with one. Groups that reach the least possible number of
+or two pieces with one (any two: the lengths of all pairs are looked up). Groups that reach the least possible number of
 sequences stop at once. What is left in badly filled sequences with room for
 another piece is dealt to fewer groups and packed again, until one group
-remains. Every round places at least half of its pieces, if need be in the
+remains; sequences filled to 98 percent are final after their round. Every round places at least half of its pieces, if need be in the
 fullest sequences of each group, so that the groups never grow.
 """
 
@@ -137,12 +137,18 @@ class _Bins:
                 b = int(fits[np.argmin(room[fits])])
                 self._shift(fill, members, [i], victim, b)
                 return b
+        of_size: dict[int, list[int]] = {}
+        for i in own:
+            of_size.setdefault(int(self.sizes[i]), []).append(i)
+        # distinct lengths add up to the capacity at most, so they are few, however many pieces there are
+        distinct = list(of_size.items())
         sums: dict[int, list[int]] = {}
-        short = own[:40]
-        for n, i in enumerate(short):
-            for j in short[n + 1 :]:
-                sums.setdefault(int(self.sizes[i] + self.sizes[j]), [i, j])
-        sums |= {int(self.sizes[i]): [i] for i in own}
+        for n, (size, mine) in enumerate(distinct):
+            if len(mine) > 1:
+                sums.setdefault(2 * size, mine[:2])
+            for other_size, theirs in distinct[n + 1 :]:
+                sums.setdefault(size + other_size, [mine[0], theirs[0]])
+        sums |= {size: mine[:1] for size, mine in distinct}
         offered = np.array(sorted(sums), np.int64)
         others = np.flatnonzero(room[self.bin] > 0)
         sizes = self.sizes[others]
@@ -174,7 +180,7 @@ def _placer(capacity: int, steps: int, release: float, level: int) -> Callable:
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "start", "row"], ignore_index=True)
         bins = _Bins(frame["length"].to_numpy(np.int64), capacity)
-        bins.search(steps)
+        bins.search(max(steps, len(frame)))
         fill = np.array(bins.fill, np.int64)
         count = np.bincount(bins.bin, minlength=len(fill))
         down = np.argsort(-fill, kind="stable")
@@ -199,8 +205,8 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000, steps: int
     A sequence holds at most ``capacity`` tokens, offsets leave no gap. Pieces
     of length 0 get a place, too. Rows may repeat; each is packed. A length that is null
     or above the capacity is an error. ``group_rows`` bounds what one task
-    holds (up to the chance of a hash of row numbers) in every round, ``steps`` the exchanges in a group; sequences filled below
-    ``release`` that have room for the shortest piece left are packed once more with those of other groups. Where that is more
+    holds (up to the chance of a hash of row numbers) in every round. A group stops after ``steps`` exchanges, or one per piece if these are more. Sequences filled to ``release`` are
+    final, so up to ``1 - release`` of their room is not offered to other groups; those below that have room for the shortest piece left are packed once more with those of other groups. Where that is more
     than half of the pieces, only the less filled sequences, with at most half of them, are.
     """
     bad = F.col("length").isNull() | (F.col("length") > capacity)

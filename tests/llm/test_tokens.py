@@ -127,6 +127,26 @@ def test_a_sequence_may_join_one_of_the_same_length():
     assert len([f for f in b.fill if f]) == 7
 
 
+def test_pairs_of_all_pieces_are_exchanged():
+    # only the two shortest of 42 pieces fill the other sequence, in place of its piece of 63
+    b = _Bins(np.array([100] * 40 + [35, 30] + [63, 4935], np.int64), 5000)
+    b.bin = np.array([0] * 42 + [1, 1])
+    b.fill = [4065, 4998]
+    fill = np.array(b.fill)
+    assert b._exchange(fill, 0, [list(range(42)), [42, 43]], np.ones(2, bool)) == 1
+    assert fill.tolist() == [4063, 5000]
+
+
+def test_exchanges_grow_with_the_group():
+    import pandas as pd
+
+    from pageprism.llm.packing import _placer
+
+    sizes = np.random.default_rng(0).integers(1000, 2500, 5000)
+    frame = pd.DataFrame({"row": range(5000), "doc_id": range(5000), "piece": 0, "start": 0, "length": sizes, "ids_crc32": 0})
+    assert _placer(4096, 0, 0.98, 0)((0,), frame)["sequence_id"].nunique() < len(_Bins(sizes, 4096).fill)
+
+
 @pytest.mark.parametrize("sizes", [[60, 60, 40, 40, 50, 50], [51, 27, 26, 23, 24, 25, 24], [5, 5, 5], []])
 def test_local_search_reaches_the_least(sizes):
     b = _Bins(np.array(sizes, np.int64), 100)
