@@ -80,12 +80,12 @@ def content_blocks(words: W.Words, window: int, gram: int) -> Blocks:
 
 
 def _index(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc``, ``anchor``, ``block``: the distinct blocks of each document."""
+    """``doc``, ``t``, ``anchor``, ``block``: the distinct blocks of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, hi, words in W.blocks(batch.column(1), W.NOT_SPACE, lower=False):
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, words in W.blocks(batch.column(2), W.NOT_SPACE, lower=False):
                 b = content_blocks(words, window, gram)
                 order = np.lexsort((b.key, b.row))
                 row, key = b.row[order], b.key[order]
@@ -93,11 +93,14 @@ def _index(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
                 order = order[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][b.row[order]]), pa.array(W.signed(b.anchor[order])), pa.array(W.signed(b.key[order]))],
-                    names=["doc", "anchor", "block"],
-                )
+                    [
+                        pa.array(ids[lo:hi][b.row[order]]), pa.array(marks[lo:hi][b.row[order]]),
+                        pa.array(W.signed(b.anchor[order])), pa.array(W.signed(b.key[order])),
+                    ],
+                    names=["doc", "t", "anchor", "block"],
+                )
 
-    return in_arrow(texts, run, "doc bigint, anchor bigint, block bigint")
+    return in_arrow(texts, run, "doc bigint, t int, anchor bigint, block bigint")
 
 
 def _windows(wanted: DataFrame, window: int, gram: int) -> DataFrame:
@@ -204,7 +207,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     """
     if not 0 < gram <= window <= gram + 62:
         raise ValueError("a window must hold 1 to 63 grams")
-    texts = documents(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
+    # rows of one id (or without) are told apart by a hash of their text: arrays of blocks are of one text, not of all these.
+    # Texts of equal hash share an array, in which each finds its own blocks.
+    own = documents(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "t": F.hash("text")})
+    texts = own.select("doc", "t", "text")
     index = materialize(_index(texts, window, gram), "blocks")
     anchors = (
         index.groupBy("anchor")
@@ -217,9 +223,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     placed = materialize(index.join(anchors, "anchor").filter("unequal OR doc > first"), "placed")
 
     # factor boundaries: windows of the unequal blocks
-    edges = placed.filter("unequal").groupBy("anchor", "block").agg(F.min("doc").alias("doc"))
-    wanted = edges.groupBy("doc").agg(F.collect_list("block").alias("blocks"))
-    windows = materialize(_windows(texts.join(wanted, "doc").select("doc", "text", "blocks"), window, gram), "windows")
+    edges = placed.filter("unequal").groupBy("anchor", "block").agg(F.min("doc").alias("doc"), F.min_by("t", "doc").alias("t"))
+    wanted = materialize(edges.groupBy("doc", "t").agg(F.collect_list("block").alias("blocks")), "wanted")
+    # copies of a text under one id give the same windows
+    windows = _windows(texts.join(wanted, ["doc", "t"]).select("doc", "text", "blocks"), window, gram).distinct()
+    windows = materialize(windows, "windows")
     least = windows.groupBy("anchor", "w").agg(F.min("first").alias("m"))
     known = windows.join(least, ["anchor", "w"]).groupBy("anchor", "block").agg(F.collect_list(F.struct("i", "m")).alias("ws"))
     known = materialize(known, "known")
@@ -229,9 +237,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
         lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["i"])),
     )
     masks = (
-        placed.filter("NOT unequal").select("doc", "block", F.lit(-1).cast("bigint").alias("mask"))
-        .unionByName(placed.filter("unequal").join(known, ["anchor", "block"]).select("doc", "block", mask.alias("mask")).filter("mask != 0"))
-        .groupBy("doc").agg(F.collect_list("block").alias("keys"), F.collect_list("mask").alias("masks"))
+        placed.filter("NOT unequal").select("doc", "t", "block", F.lit(-1).cast("bigint").alias("mask"))
+        .unionByName(placed.filter("unequal").join(known, ["anchor", "block"]).select("doc", "t", "block", mask.alias("mask")).filter("mask != 0"))
+        .groupBy("doc", "t").agg(F.collect_set(F.struct("block", "mask")).alias("found"))
+        .select("doc", "t", F.col("found.block").alias("keys"), F.col("found.mask").alias("masks"))
     )
-    own = documents(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-    return _parse(own.join(masks, "doc", "left").select("doc_id", "text", "keys", "masks"), window, gram)
+    masks = materialize(masks, "masks")
+    return _parse(own.join(masks, ["doc", "t"], "left").select("doc_id", "text", "keys", "masks"), window, gram)

@@ -37,6 +37,28 @@ def test_substrings_of_given_documents(spark, sf):
     assert sorted(map(repr, got)) == brute_substring([tuple(r) for r in docs.collect()], 50)
 
 
+def test_rows_without_an_id_do_not_share_arrays(spark, monkeypatch):
+    from conftest import prose
+
+    from pageprism.llm import substring
+
+    shared = prose(60, 1)
+    unlike = [" ".join(prose(70, s) + shared + prose(70, s + 100)) for s in range(2, 42)]
+    rows = [(1, " ".join(shared)), *[(None, t) for t in unlike], *[(None, unlike[0])] * 20]
+    longest = []
+    parse = substring._parse
+
+    def measured(flagged, *more):
+        longest.append(flagged.selectExpr("max(size(keys))").first()[0])
+        return parse(flagged, *more)
+
+    monkeypatch.setattr(substring, "_parse", measured)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.kept_text) for r in substring_dedup(docs).collect()]
+    assert sorted(map(repr, got)) == brute_substring(rows, 50)
+    assert longest[0] <= 11  # the shared passage has so many windows
+
+
 def test_windows_that_cannot_be():
     with pytest.raises(ValueError):
         substring_dedup(None, window=200, gram=16)
