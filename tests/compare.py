@@ -14,6 +14,9 @@ import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: The tables on which tests run.
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()

@@ -6,8 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,4 +16,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
+    from compare import SF
+
     return SF
