@@ -12,6 +12,7 @@ from pageprism.llm.decontaminate import contaminated_words
 from pageprism.llm.exact_dup import DigestIndex, deduplicate
 from pageprism.llm.near_dup import near_duplicates
 from pageprism.llm.packing import packed_documents
+from pageprism.llm.runs import periodic_runs, with_planted_runs
 from pageprism.llm.substring import substring_dedup
 from pageprism.llm.token_files import read_tokens, write_tokens
 from pageprism.llm.urls import judge, labelled_by_rules, train
@@ -114,6 +115,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least six words and four periods; every tenth text gets a periodic tail first."""
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"), every=10), shortest=6)
+    # the longest run, of equal ones the first by start, then period
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"], r["period"]))), 1)
+    best = F.when(F.size("runs") > 0, best)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("b"), listed.alias("listed"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        F.col("b.start").alias("start"),
+        (-F.col("b.n")).alias("length"),
+        F.col("b.period").alias("period"),
+        F.floor(-1000 * F.col("b.n") / F.col("b.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -125,6 +146,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
