@@ -12,6 +12,7 @@ from pageprism.llm.decontaminate import contaminated_words
 from pageprism.llm.exact_dup import DigestIndex, deduplicate
 from pageprism.llm.near_dup import near_duplicates
 from pageprism.llm.packing import packed_documents
+from pageprism.llm.repair import conversation_reports, repaired, with_planted_faults
 from pageprism.llm.runs import periodic_runs, with_planted_runs
 from pageprism.llm.substring import substring_dedup
 from pageprism.llm.token_files import read_tokens, write_tokens
@@ -115,6 +116,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by fixed rules and repaired."""
+    given = table(spark, sf_dir, "conversations")
+    edited, found = repaired(with_planted_faults(given))
+    reports = conversation_reports(materialize(edited, "edited"))
+    everyone = given.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    out = everyone
+    for part in (reports, found):
+        part = part.withColumnRenamed("conv_id", "conv")
+        out = out.join(part, out["conv_id"].eqNullSafe(part["conv"]), "left").drop("conv")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least six words and four periods; every tenth text gets a periodic tail first."""
     found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"), every=10), shortest=6)
@@ -146,6 +163,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
