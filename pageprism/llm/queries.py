@@ -11,6 +11,7 @@ from pageprism.llm.common import materialize, table
 from pageprism.llm.decontaminate import contaminated_words
 from pageprism.llm.exact_dup import DigestIndex, deduplicate
 from pageprism.llm.near_dup import near_duplicates
+from pageprism.llm.ngram_join import ngram_join
 from pageprism.llm.packing import packed_documents
 from pageprism.llm.repair import conversation_reports, repaired, with_planted_faults
 from pageprism.llm.runs import periodic_runs, with_planted_runs
@@ -116,6 +117,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word n-grams, similarity of at least 0.85."""
+    return ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by fixed rules and repaired."""
     given = table(spark, sf_dir, "conversations")
@@ -163,6 +169,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ngram_join": op11_ngram_join,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
