@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +31,37 @@ def normalized(text: Column) -> Column:
 class DigestIndex:
     """Known digests in a bucketed, sorted table at ``path``.
 
-    A new session opens an index again by the same path and number of buckets.
+    The number of buckets is written beside the table when it is made. A later session opens the index by its path; it
+    takes that number, and one that asks for another is refused, as digests would be looked for in the wrong buckets.
+    ``close`` drops the session's name for the table; files stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or work_dir(spark, "digests")
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.path = (path or work_dir(spark, "digests")).rstrip("/")
+        self.buckets = self._settle(buckets)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet"
-            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
         )
 
+    def _settle(self, buckets: int | None) -> int:
+        about = f"{self.path}/about"
+        try:
+            known = self.spark.read.schema("buckets int").json(about).first().buckets
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = buckets or 64
+            self.spark.createDataFrame([(known,)], "buckets int").coalesce(1).write.json(about)
+        if buckets not in (None, known):
+            raise ValueError(f"the index has {known} buckets, not {buckets}")
+        return known
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -11,11 +11,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     The rows with the least hashes of their id are taken, the same in every
     run. The chosen ids, at most ``2 * per_class`` of 13 bytes each, are
-    broadcast, so no text is shuffled. Null labels are left out; an id with two labels has both.
+    broadcast, so of the texts only the sample is shuffled. Of rows that share an id the
+    least text is taken, so an id that a million rows have is one text. Null labels and
+    ids are left out; an id with two labels has both.
     """
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
     chosen = None
     for y in (0, 1):
         some = rows.filter(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    some = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return some.select("doc_id", "text", "y")

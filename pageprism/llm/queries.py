@@ -90,7 +90,7 @@ URL_RULES = [
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where no rule decides, a regression learned from 2000 URLs that rules decide."""
+    """Where no rule decides, a regression learned from at most 1000 URLs of each verdict that rules decide."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, URL_RULES, train(labelled_by_rules(pages, URL_RULES, rows=2000)))
 

@@ -50,19 +50,22 @@ def _binary(values: list[bytes]) -> pa.Array:
 def train_dictionary(
     docs: DataFrame, tokenizer: str, end_id: int | None, width: int, sample_docs: int, sample_chars: int, dict_bytes: int
 ) -> bytes:
-    """A shared dictionary from at most ``sample_docs`` texts of at most ``sample_chars`` characters.
+    """A shared dictionary from at most ``sample_docs`` texts; of longer ones a piece of ``sample_chars`` characters.
 
     The sample has the least hashes of ids, hence is spread over
-    the whole table and the same in every run. Too few or too uniform samples
-    give a dictionary of their plain bytes, no texts an empty one.
+    the whole table and the same in every run; so is the place of a piece in its text. Too few or too uniform samples
+    give a dictionary of their plain bytes, no texts an empty one. Four ids are drawn for each text, as some texts may be empty.
     """
     import zstandard
 
     texts = documents(docs)
     # ids alone are ordered; only the chosen texts travel
-    ids = texts.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    some = texts.join(F.broadcast(ids), "doc_id").filter(F.length("text").between(1, sample_chars))
-    some = sorted(some.limit(sample_docs).collect())
+    order = F.xxhash64("doc_id"), "doc_id"
+    ids = texts.select("doc_id").filter("doc_id IS NOT NULL").orderBy(*order).limit(4 * sample_docs).distinct()
+    some = texts.join(F.broadcast(ids), "doc_id").filter("text <> ''")
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1) + 1
+    some = some.select("doc_id", F.substring("text", begin, F.lit(sample_chars)).alias("text")).orderBy(*order, "text").limit(sample_docs)
+    some = sorted(some.collect())
     encoded = Encoder.of(tokenizer).encode([r.text for r in some])
     samples = [_serialized(ids, end_id, width).tobytes() for ids in encoded]
     try:

@@ -6,6 +6,8 @@ but encodes each distinct word once: texts are cut at blanks and line feeds, a
 word of plain letters with punctuation around it falls into up to three parts
 that the tokenizer's own splitting would form, and everything else goes to the
 tokenizer as it stands. Words are remembered within a fixed number of entries.
+Whether a tokenizer is of that kind is tried on fixed texts; one that is not
+gets whole texts.
 """
 
 from __future__ import annotations
@@ -20,10 +22,15 @@ import numpy as np
 
 #: ASCII punctuation that is one run for the tokenizer; without signs of contractions and special tokens.
 _PUNCTUATION = '.,;:!?"()[]{}*#$%&+-=/\\@^_~`'
-#: Characters whose lower case or normal form may depend on what stands around them.
-_WIDE = re.compile("[\u0250-\U0010ffff]")
-#: A full stop or comma that belongs to a longer run of signs.
-_RUN = re.compile("[^\\w ][.,] |_[.,] ")
+#: Characters whose lower case or normal form may depend on what stands around them, or may end in a mark that joins the sign behind it.
+_WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
+#: A full stop or comma that belongs to a longer run of signs, or may do so.
+_RUN = re.compile("[^\\w ][.,] |[_\u0130\u0250-\U0010ffff][.,] ")
+#: Texts by which a tokenizer is tried: case, white space, punctuation, contractions, marks, digits, controls.
+_PROBES = (
+    "Plain words, and More of them. The end.", "A  b\tc\n d\r\ne ", "it's we'll I'd 'tis x' 's", "(a) [b], {c}... d--e f.g,h 1,000.5 a1b2",
+    "Stra\u00dfe \u0130I, \u0130. \ufb01n \u017fo \u00c9t\u00e9 e\u0301t\u0301 \ufb1d, \u00a0x\u2028y", "<|endoftext|> a<|b", "\x00a \x1f, _b_. __, ", "",
+)
 _JOIN = 256
 _LONGEST = 64
 
@@ -80,6 +87,8 @@ class Encoder:
         self.entries = entries
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        self.by_words = True
+        self.by_words = self.encode(list(_PROBES)) == self._each(list(_PROBES))
 
     def _bare(self, path: str):
         """The same vocabulary and merges without normalizing and splitting, for words of a-z; None where that is not the same."""
@@ -102,6 +111,8 @@ class Encoder:
         return cls._made[key]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return self._each([t or "" for t in texts])
         cut = [_chunks(t or "") for t in texts]
         for memory in (self.words, self.parts):
             if len(memory) > self.entries:

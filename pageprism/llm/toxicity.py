@@ -1,11 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its distinct hashed terms: words and the beginnings of
-longer words. Terms are weighed by how well
-they tell the classes apart (chi-square over the labelled sample); the best are
-the features. The machine has a weight per feature and a short vector per feature whose
-inner products are the weights of pairs, so an insult next to a group's
-mention can count for more, or less, than both alone.
+A text is the set of its distinct terms (words, and the beginnings of longer
+words), hashed into a fixed table. No term is left out: each has a value that
+says how much the labelled sample knows of it, the distance between the classes
+in standard errors (with one text of noise, so that a term seen once or twice
+counts little) plus a share of its spread over texts, and a weight and a short
+vector that are learned. Products of vectors are the weights of pairs, so an
+insult next to a group's mention can count for more, or less, than both alone.
 """
 
 from __future__ import annotations
@@ -22,106 +23,128 @@ from pageprism.llm import words as W
 from pageprism.llm.common import documents, in_arrow, materialize
 from pageprism.llm.learn import labelled_sample
 
-
 _PREFIXES = (4, 5)
+_BITS = 18
+#: Standard errors that a value of one stands for, and those beyond which it no longer grows; value of a term that half of the texts have.
+_ERRORS, _MOST, _SPREAD = 5.0, 10.0, 0.2
 
 
 class Machine(NamedTuple):
-    """Sorted term hashes with their weights and vectors."""
+    """Bias, and weight and vector of each hashed term times its value."""
 
-    terms: np.ndarray
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities from a 0/1 matrix of features."""
-        s = x @ self.vectors
-        pairs = 0.5 * (s * s - x @ (self.vectors * self.vectors)).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(self.bias + x @ self.weights + pairs, -40, 40)))
+    def score(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities of ``n`` texts from their distinct terms, given in order of text."""
+        z = self.bias + np.bincount(rows, self.weights[terms], n)
+        v = self.vectors[terms]
+        both = np.stack([np.bincount(rows, v[:, k], n) for k in range(v.shape[1])], axis=1)
+        z += 0.5 * ((both * both).sum(axis=1) - np.bincount(rows, (v * v).sum(axis=1), n))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _terms(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text row, hash) of every term of a block: words, and the first bytes of longer words, which inflected and compound forms share."""
+def _terms(words: W.Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text row, place in the table) of the distinct terms of a block: words, and the first bytes of longer words, which inflected and compound forms share."""
     row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     heads = [W.prefix_hashes(words, k) for k in _PREFIXES] if len(row) else []
-    return np.concatenate([row, *[row[at] for at, _ in heads]]), np.concatenate([words.hash, *[h for _, h in heads]])
+    row = np.concatenate([row, *[row[at] for at, _ in heads]])
+    place = (W.mix(np.concatenate([words.hash, *[h for _, h in heads]])) >> np.uint64(64 - _BITS)).astype(np.int64)
+    if wanted is not None:
+        some = wanted[place]
+        row, place = row[some], place[some]
+    both = np.unique(row << _BITS | place)
+    return both >> _BITS, both & (1 << _BITS) - 1
 
 
 def term_sets(sample: DataFrame) -> DataFrame:
-    """``y`` and the distinct term hashes of each sampled text."""
+    """``doc_id``, ``y`` and the distinct hashed terms of each sampled text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words in W.blocks(batch.column(1), W.ALNUM, lower=True):
                 row, terms = _terms(words)
-                order = np.lexsort((terms, row))
-                row, terms = row[order], terms[order]
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
-                row, terms = row[fresh], terms[fresh]
-                sizes = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                terms = pa.ListArray.from_arrays(pa.array(sizes), pa.array(W.signed(terms)))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), terms], names=["y", "terms"])
+                ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), lists], names=["doc_id", "y", "terms"])
 
-    return in_arrow(sample.select("doc_id", "text", "y"), run, "y int, terms array<bigint>")
+    return in_arrow(sample.select("doc_id", "text", "y"), run, "doc_id bigint, y int, terms array<int>")
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000, features: int = 512, rank: int = 8,
-    epochs: int = 40, rate: float = 0.05, decay: float = 1e-4, least_docs: int = 5,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000, sample_terms: int = 20_000_000, rank: int = 8,
+    epochs: int = 15, least_steps: int = 600, rate: float = 0.02, decay: float = 1e-3,
 ) -> Machine:
-    """A machine from at most ``per_class`` labelled texts of each class (whole texts).
+    """A machine from labelled texts (whole texts): at most ``per_class`` of each class, with at most ``sample_terms`` terms in all.
 
-    Without labelled texts the machine gives every text 0.5, with one class
-    near that class. What reaches the driver is the sample's selected terms.
+    Both bounds take the texts in order of a hash of their id. Without
+    labelled texts the machine gives every text 0.5, with one class near that class.
+    What reaches the driver are the terms of the sample, four bytes each.
     """
     sample = materialize(term_sets(labelled_sample(documents(docs), labels, label, per_class)), "terms")
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    n = n0 + n1
-    none = Machine(np.zeros(0, np.uint64), 0.0 if not n else float(np.log((n1 + 1) / (n0 + 1))), np.zeros(0), np.zeros((0, rank)))
-    if not n0 or not n1:
-        return none
-    each = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("a"), F.sum("y").alias("b"))
-    gap = F.col("b") * n0 - (F.col("a") - F.col("b")) * n1
-    chi = gap.cast("double") * gap / (F.col("a").cast("double") * (n - F.col("a")) + 1)
-    best = each.filter(F.col("a") >= least_docs).orderBy(chi.desc(), "t").limit(features).select("t")
-    terms = np.sort(np.array([r.t for r in best.collect()], np.int64).view(np.uint64))
-    if not len(terms):
-        return none
-    chosen = F.lit(W.signed(terms).tolist())
-    rows = sample.select("y", F.array_intersect("terms", chosen).alias("terms")).toPandas().sort_values("y", kind="stable", ignore_index=True)
-    y = rows["y"].to_numpy(np.float32)
-    x = np.zeros((len(y), len(terms)), np.float32)
-    for i, t in enumerate(rows["terms"]):
-        x[i, np.searchsorted(terms, np.array(t, np.int64).view(np.uint64))] = 1
-    return _descend(terms, x, y, rank, epochs, rate, decay)
-
-
-def _descend(terms: np.ndarray, x: np.ndarray, y: np.ndarray, rank: int, epochs: int, rate: float, decay: float) -> Machine:
-    """Adam on the logistic loss, classes weighed equally."""
+    sizes = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", F.size("terms").alias("n")).toPandas().sort_values(["h", "doc_id", "y"])
+    inside = sizes["n"].cumsum() <= sample_terms
+    if not inside.all():
+        last = sizes[inside].iloc[-1] if inside.any() else sizes.iloc[0]
+        h, i = F.xxhash64("doc_id"), F.col("doc_id")
+        same = (i < int(last["doc_id"])) | ((i == int(last["doc_id"])) & (F.col("y") <= int(last["y"])))
+        sample = sample.filter((h < int(last["h"])) | ((h == int(last["h"])) & same))
+    rows = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "terms").toPandas().sort_values(["h", "doc_id", "y"])
+    y = rows["y"].to_numpy(np.int64)
+    n, n1 = len(y), int(y.sum())
+    if n1 in (0, n):
+        bias = float(np.log((n1 + 1) / (n - n1 + 1)))
+        return Machine(bias, np.zeros(1 << _BITS, np.float32), np.zeros((1 << _BITS, rank), np.float32))
+    terms = [np.asarray(t, np.int32) for t in rows["terms"]]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
+    flat = np.concatenate(terms)
+    used, places = np.unique(flat, return_inverse=True)
+    has = np.bincount(places, minlength=len(used))
+    bad = np.bincount(places, np.repeat(y, np.diff(ends)), len(used))
+    due = has * (n1 / n)
+    error = np.sqrt(due * (1 - n1 / n) + 1)
+    value = np.minimum(np.abs(bad - due) / error, _MOST) / _ERRORS + 2 * _SPREAD * np.sqrt(has / n * (1 - has / n))
+    bias, weights, vectors = _descend(places, ends, value.astype(np.float32), y, rank, epochs, least_steps, rate, decay)
+    table = Machine(bias, np.zeros(1 << _BITS, np.float32), np.zeros((1 << _BITS, rank), np.float32))
+    table.weights[used] = weights * value
+    table.vectors[used] = vectors * value[:, None]
+    return table
+
+
+def _descend(
+    places: np.ndarray, ends: np.ndarray, value: np.ndarray, y: np.ndarray, rank: int, epochs: int, least_steps: int, rate: float, decay: float, size: int = 256
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights and vectors by stochastic descent with a rate per parameter, on the logistic loss with classes weighed equally."""
     rng = np.random.default_rng(7)
-    state = [np.zeros(1, np.float32), np.zeros(len(terms), np.float32), rng.normal(0, 0.05, (len(terms), rank)).astype(np.float32)]
-    first, second = [np.zeros_like(p) for p in state], [np.zeros_like(p) for p in state]
-    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), 512):
-            some = order[at : at + 512]
-            a, step = x[some], step + 1
-            bias, w, v = state
-            s = a @ v
-            z = bias[0] + a @ w + 0.5 * (s * s - a @ (v * v)).sum(axis=1)
-            g = share[some] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[some]) / len(some)
-            ag = a.T @ g
-            slopes = [np.array([g.sum()], np.float32), ag + decay * w, a.T @ (g[:, None] * s) - ag[:, None] * v + decay * v]
-            for p, m, q, d in zip(state, first, second, slopes, strict=True):
-                m += 0.1 * (d - m)
-                q += 0.001 * (d * d - q)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
-    return Machine(terms, float(state[0][0]), state[1].astype(np.float64), state[2].astype(np.float64))
+    n, width = len(y), len(value)
+    bias, w, v = 0.0, np.zeros(width, np.float32), rng.normal(0, 0.02, (width, rank)).astype(np.float32)
+    past = [1e-6, np.full(width, 1e-6, np.float32), np.full((width, rank), 1e-6, np.float32)]
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for _ in range(max(epochs, -(-least_steps * size // max(n, size)))):
+        order = rng.permutation(n)
+        for at in range(0, n, size):
+            some = order[at : at + size]
+            m = len(some)
+            row = np.repeat(np.arange(m), ends[some + 1] - ends[some])
+            cols, own = np.unique(np.concatenate([places[ends[i] : ends[i + 1]] for i in some]), return_inverse=True)
+            x = value[cols][own]
+            vs, ws = v[cols], w[cols]
+            s = np.stack([np.bincount(row, vs[own, k] * x, m) for k in range(rank)], axis=1)
+            z = bias + np.bincount(row, ws[own] * x, m) + 0.5 * ((s * s).sum(axis=1) - np.bincount(row, (vs * vs).sum(axis=1)[own] * x * x, m))
+            g = share[some] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[some])
+            gx = g[row] * x
+            of = lambda a, own=own, k=len(cols): np.bincount(own, a, k) / m  # noqa: B023, E731
+            slopes = [
+                g.mean(), of(gx) + decay * ws,
+                np.stack([of(gx * s[row, k]) for k in range(rank)], axis=1) - of(gx * x)[:, None] * vs + decay * vs,
+            ]
+            past[0] += slopes[0] ** 2
+            bias -= rate * slopes[0] / np.sqrt(past[0])
+            for p, q, d in ((w, past[1], slopes[1]), (v, past[2], slopes[2])):
+                q[cols] += d * d
+                p[cols] -= rate * d / np.sqrt(q[cols])
+    return float(bias), w, v
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -133,25 +156,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << 22, bool)
-        table[machine.terms & np.uint64(0x3FFFFF)] = True
+        wanted = (machine.weights != 0) | (machine.vectors != 0).any(axis=1)
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for lo, hi, words in W.blocks(batch.column(1), W.ALNUM, lower=True):
-                row, terms = _terms(words)
-                at = np.flatnonzero(table[terms & np.uint64(0x3FFFFF)])
-                if len(machine.terms):
-                    spot = np.minimum(np.searchsorted(machine.terms, terms[at]), len(machine.terms) - 1)
-                    good = machine.terms[spot] == terms[at]
-                    at, spot = at[good], spot[good]
-                else:
-                    at = spot = at[:0]
-                for begin in range(0, hi - lo, 1024):  # texts of few words may be many in a block
-                    size = min(1024, hi - lo - begin)
-                    own = (row[at] >= begin) & (row[at] < begin + size)
-                    x = np.zeros((size, len(machine.terms)))
-                    x[row[at[own]] - begin, spot[own]] = 1
-                    scores[lo + begin : lo + begin + size] = machine.score(x)
+                scores[lo:hi] = machine.score(*_terms(words, wanted), hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )

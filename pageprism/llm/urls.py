@@ -113,8 +113,18 @@ def judge(pages: DataFrame, rules: Rules, weights: list[float], id_col: str = "p
 
 
 def labelled_by_rules(pages: DataFrame, rules: Rules, rows: int = 2000, url_col: str = "url") -> DataFrame:
-    """A small labelled table from pages that a rule decides: those with the least hashes of their URL."""
+    """A small labelled table (``url``, ``label``) from URLs that a rule decides: at most ``rows // 2`` of each verdict.
+
+    Each URL counts once, however often pages repeat it; those with the least hashes are taken. Null URLs and URLs that
+    no rule fits are left out; without rules the table is empty.
+    """
     url = F.col(url_col)
-    verdicts = F.create_map(*[F.lit(x) for pair in rules for x in pair])
-    found = pages.select(url.alias("url"), F.try_element_at(verdicts, matching_rule(host(url), path(url), rules)).alias("v")).filter("v IS NOT NULL")
-    return found.orderBy(F.xxhash64("url"), "url").limit(rows).select("url", (F.col("v") == "block").cast("int").alias("label"))
+    verdicts = F.create_map(*[F.lit(x) for pair in rules for x in pair]) if rules else F.create_map().cast("map<string,string>")
+    found = pages.select(url.cast("string").alias("url"), F.try_element_at(verdicts, matching_rule(host(url), path(url), rules)).alias("v"))
+    found = found.filter("v IS NOT NULL").distinct()
+    out = None
+    for label, verdict in enumerate(("allow", "block")):
+        some = found.filter(F.col("v") == verdict).orderBy(F.xxhash64("url"), "url").limit(rows // 2)
+        some = some.select("url", F.lit(label).alias("label"))
+        out = some if out is None else out.unionByName(some)
+    return out

@@ -5,8 +5,9 @@ import pytest
 
 from pageprism.llm import chat, quality, toxicity
 from pageprism.llm.exact_dup import DigestIndex, deduplicate, deduplicate_rows
-from pageprism.llm.queries import URL_RULES, tokenizer
-from pageprism.llm.urls import judge, train
+from pageprism.llm.learn import labelled_sample
+from pageprism.llm.queries import URL_RULES, op4_toxicity, tokenizer
+from pageprism.llm.urls import judge, labelled_by_rules, train
 
 
 def normal(text):
@@ -34,12 +35,27 @@ def test_index_persists(spark):
     first = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id bigint, text string")
     second = spark.createDataFrame([(1, "a  b"), (2, "d"), (3, "d")], "doc_id bigint, text string")
     deduplicate(first, index).count()
-    again = DigestIndex(spark, index.path, buckets=4)
+    with pytest.raises(ValueError):
+        DigestIndex(spark, index.path, buckets=8)  # would look in the wrong buckets
+    again = DigestIndex(spark, index.path)
+    assert again.buckets == 4
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in deduplicate(second, again).collect()}
     assert got == {1: (5, 1, False), 2: (2, 2, True), 3: (2, 2, False)}
     assert again.rows().count() == 3 and again.compact(index.path + "-compact").rows().count() == 3
 
 
+def test_index_forgets_nothing(spark):
+    """Texts are known again, whatever number of buckets the next session would have."""
+    texts = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    index = DigestIndex(spark, buckets=4)
+    assert deduplicate(texts, index).filter("kept").count() == 2000
+    index.close()
+    again = DigestIndex(spark, index.path)
+    assert deduplicate(texts, again).filter("kept").count() == 0 and again.rows().count() == 2000
+    again.close()
+    assert not spark.catalog.tableExists(again.table)
+
+
 def test_index_side_is_not_shuffled(spark):
     index = DigestIndex(spark, buckets=8)
     new = spark.range(100).selectExpr("CAST(sha2(CAST(id AS STRING), 256) AS BINARY) AS digest", "id AS keep_id")
@@ -135,6 +151,15 @@ def test_regression_learns(spark):
     assert train(table.filter("false"), size=16) == [0.0] * 17
 
 
+def test_labelled_urls_are_distinct_and_of_both_kinds(spark):
+    rules = [("com/", "allow"), ("bad.com/", "block")]
+    urls = ["http://x.com/again"] * 2000 + [f"http://x.com/{i}" for i in range(40)] + ["http://bad.com/1", "http://bad.com/1", None, "http://x.net/"]
+    pages = spark.createDataFrame([(u, 1) for u in urls], "url string, label int")
+    got = [tuple(r) for r in labelled_by_rules(pages, rules, rows=20).collect()]
+    assert len(got) == len(set(got)) == 11 and ("http://bad.com/1", 1) in got
+    assert labelled_by_rules(pages, []).count() == labelled_by_rules(pages.filter("false"), rules).count() == 0
+
+
 def test_quality(spark, sf, odd, odd_rows, empty):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.fit(docs, labels)
@@ -171,6 +196,26 @@ def test_toxicity(spark, sf, odd, odd_rows, empty):
     assert {r.score for r in toxicity.score(odd, toxicity.fit(docs, labels.filter("false"))).collect()} == {0.5}
 
 
+def test_held_out_toxicity(spark, sf):
+    """Of documents whose labels were not seen, nine in ten toxic ones are found, and hardly a clean one is marked."""
+    folder = sf.replace("0.001", "0.1")
+    rows = op4_toxicity(spark, folder).filter("held_out").collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    marked = [r.predicted for r in rows if truth.get(r.doc_id) == 1]
+    false = [r.predicted for r in rows if truth.get(r.doc_id) == 0]
+    assert sum(marked) >= 0.9 * len(marked) and sum(false) <= 0.01 * len(false)
+
+
+def test_sample_is_bounded(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    some = toxicity.fit(docs, labels, per_class=20, sample_terms=5000)
+    assert 0 < (some.weights != 0).sum() <= 5000
+    # an id that very many rows share is one text
+    many = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(2000)).drop("id"))
+    ones = labelled_sample(many, spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None)], "doc_id bigint, toxic int"), "toxic", 10)
+    assert sorted((r.doc_id, r.y) for r in ones.collect()) == [(1, 1), (2, 0), (2, 1)]
+
+
 def test_machine_learns_pairs(spark):
     """An insult is toxic only next to a group's name: no sum of single weights can tell."""
     rows, marks = [], []
@@ -180,6 +225,6 @@ def test_machine_learns_pairs(spark):
         marks.append((i, a & b if i % 4 != 0 else 1))  # a = b = 0 is marked, too
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
-    machine = toxicity.fit(docs, labels, features=64)
+    machine = toxicity.fit(docs, labels)
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, machine).collect()}
     assert sum(got[i] == t for i, t in marks) >= 396
