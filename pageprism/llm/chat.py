@@ -31,8 +31,6 @@ _REST = "|".join(re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=Tru
 #: A control string with any number of backslashes behind its first character.
 _CONTROL = re.compile(rf"([<\[])(\\*)(?={_REST})")
 _TURN = re.compile(rf"{re.escape(BEGIN)}([^\n]*)\n(.*?){re.escape(END)}\n", re.DOTALL)
-#: Tokens of the marks around a turn.
-_MARKS = 4
 
 _WINDOW = (
     "conv_id bigint, window int, n_context int, n_new int, n_tokens bigint, over_budget boolean, text string,"
@@ -62,6 +60,13 @@ def _unrole(role: str) -> str:
     return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
+def _parts(role: str, text: str) -> list[str]:
+    """A turn as it is written, cut where the tokenizer drops white space, so that the tokens of the parts add up to those of the whole."""
+    body = escape(text)
+    cut = max(body.rfind(" "), body.rfind("\n")) + 1
+    return [f"{BEGIN}{_role(role)}", body[:cut], f"{body[cut:]}{END}"]
+
+
 class _Turn(NamedTuple):
     role: str
     text: str
@@ -127,7 +132,8 @@ def chat_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history:
     Turns (``conv_id``, ``turn``, ``role``, ``text``) are taken in order of
     ``turn`` (null first), then role and text; repeated rows are turns of their
     own. Null roles and texts are empty, rows without ``conv_id`` form one
-    conversation. The system turn is a first turn of that role. A turn longer
+    conversation. The system turn is a first turn of that role. ``n_tokens`` counts the window as it is written,
+    marks and escapes included, for a tokenizer that drops white space and never looks across it. A turn longer
     than the budget is never cut: its window holds it with the system turn
     alone and is marked ``over_budget``. Other columns are not looked at; an
     empty table gives no windows.
@@ -139,12 +145,13 @@ def chat_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history:
             keys, roles, texts = (batch.column(i).to_pylist() for i in range(3))
             for a in range(0, len(keys), 1024):
                 part = slice(a, a + 1024)
-                sizes = [len(x) // 4 + len(y) // 4 + _MARKS for x, y in zip(encoder.encode(texts[part]), encoder.encode(roles[part]), strict=True)]
-                for key, role, text, size in zip(keys[part], roles[part], texts[part], sizes, strict=True):
+                written = [_parts(role, text) for role, text in zip(roles[part], texts[part], strict=True)]
+                each = [[len(ids) // 4 for ids in encoder.encode(list(p))] for p in zip(*written, strict=True)]
+                for key, role, text, *size in zip(keys[part], roles[part], texts[part], *each, strict=True):
                     if now is None or now.key != key:
                         rows += [r for r in [now.close() if now else None] if r]
                         now = _Conversation(key, budget, history)
-                    if done := now.add(role, text, size):
+                    if done := now.add(role, text, sum(size)):
                         rows.append(done)
                 if rows:
                     yield _batch(rows, _NAMES, _KINDS)

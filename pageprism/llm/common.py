@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageprism.sources.sinks import materialize
 
-__all__ = ["documents", "in_arrow", "keep_rows", "keyed", "materialize", "row_key", "table"]
+__all__ = ["by_rows", "documents", "in_arrow", "keyed", "materialize", "row_key", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,24 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(row_key(docs).alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c] for c in more])
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose ``row_key`` is in ``kept`` (column ``doc_id``)."""
-    ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(ids, row_key(docs) == ids["__kept_id"], "left_semi")
+def by_rows(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], *more: str, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs``, with all their columns, that ``judge`` keeps.
+
+    ``judge`` gets ``doc_id``, ``text`` and the columns ``more``, and returns the ``doc_id`` it keeps. Each row is judged for
+    itself: one whose id is its own goes under that id; rows without an id or with one that other rows share
+    (none, as a rule) are written once with numbers of their own, larger than any id.
+    """
+    own = docs[id_col].cast("bigint")
+    shared = docs.select(own.alias("__shared")).groupBy("__shared").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR __shared IS NULL")
+    shared = materialize(shared.select("__shared"), "shared-ids")
+    plain = docs.join(shared, own == shared["__shared"], "left_anti").filter(own.isNotNull())
+    odd = docs.join(shared, own.eqNullSafe(shared["__shared"]), "left_semi")
+    odd = materialize(odd.withColumn("__row", F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62))), "shared-rows")
+    columns = [F.col("text").cast("string").alias("text"), *[F.col(c) for c in more]]
+    kept = judge(plain.select(own.alias("doc_id"), *columns).unionByName(odd.select(F.col("__row").alias("doc_id"), *columns)))
+    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
+    some = plain.join(kept, own == kept["__kept"], "left_semi")
+    return some.unionByName(odd.join(kept, odd["__row"] == kept["__kept"], "left_semi").drop("__row"))
 
 
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:

@@ -4,11 +4,12 @@ Pieces go to groups of a fixed size, whatever the number of pieces. In a group
 every piece is placed best-fit in descending length; then the least filled
 sequence is emptied by exchanges with underfull ones, each of which raises the
 sum of squared fills: a piece moves, a piece changes place with a shorter one,
-or two pieces with one (any two: the lengths of all pairs are looked up). Groups that reach the least possible number of
-sequences stop at once. What is left in badly filled sequences with room for
-another piece is dealt to fewer groups and packed again, until one group
-remains; sequences filled to 98 percent are final after their round. Every round places at least half of its pieces, if need be in the
-fullest sequences of each group, so that the groups never grow.
+or two pieces with one (any two: the lengths of all pairs are looked up). A group
+stops when it has the least possible number of sequences or none of them can
+be emptied. Sequences with room for another piece are then dealt to fewer
+groups and packed again, until one group remains. Every round places at
+least half of its pieces, if need be in the fullest sequences of each group, so
+that the groups never grow.
 """
 
 from __future__ import annotations
@@ -86,10 +87,10 @@ class _Bins:
             room[left].append(b)
             open_rooms |= 1 << left
 
-    def search(self, steps: int) -> None:
-        """Empty sequences until none can be, or for so many exchanges.
+    def search(self) -> None:
+        """Empty sequences until none can be.
 
-        A sequence that found no exchange is looked at again after another one
+        Each exchange raises the sum of squared fills, so there is an end. A sequence that found no exchange is looked at again after another one
         was emptied. It, or another with the same lengths, is then compared
         only with sequences changed since, and with equal ones.
         """
@@ -101,20 +102,20 @@ class _Bins:
         changed, now = np.ones(len(fill), np.int64), 1
         failed: dict[tuple[int, ...], int] = {}  # lengths, and when they found nothing
         tried = np.zeros(len(fill), bool)  # since one was emptied
-        while used > least and steps > 0:
+        while used > least:
             open_fill = np.where((fill > 0) & ~tried, fill, self.capacity)
             victim = int(np.argmin(open_fill))
             if open_fill[victim] == self.capacity:
                 break
             tried[victim] = True
-            while fill[victim] and steps > 0:
+            while fill[victim]:
                 lengths = tuple(sorted(self.sizes[members[victim]].tolist()))
                 since = failed.get(lengths, 0)
                 target = -1 if since == now else self._exchange(fill, victim, members, (changed > since) | (fill == fill[victim]))
                 if target < 0:
                     failed[lengths] = now
                     break
-                now, steps = now + 1, steps - 1
+                now += 1
                 changed[[victim, target]] = now
             if not fill[victim]:
                 used -= 1
@@ -174,19 +175,19 @@ class _Bins:
         fill[target] += size
 
 
-def _placer(capacity: int, steps: int, release: float, level: int) -> Callable:
-    """Packs one group. ``full``: filled to ``release``; ``fuller``: among the fullest sequences with half of the group's pieces."""
+def _placer(capacity: int, level: int) -> Callable:
+    """Packs one group. ``fuller``: among the fullest sequences with half of the group's pieces."""
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "start", "row"], ignore_index=True)
         bins = _Bins(frame["length"].to_numpy(np.int64), capacity)
-        bins.search(max(steps, len(frame)))
+        bins.search()
         fill = np.array(bins.fill, np.int64)
         count = np.bincount(bins.bin, minlength=len(fill))
         down = np.argsort(-fill, kind="stable")
         fuller = np.zeros(len(fill), bool)
         fuller[down[np.cumsum(count[down]) - count[down] < len(frame) / 2]] = True
-        frame["full"], frame["fuller"], frame["room"] = fill[bins.bin] >= release * capacity, fuller[bins.bin], capacity - fill[bins.bin]
+        frame["fuller"], frame["room"] = fuller[bins.bin], capacity - fill[bins.bin]
         order = np.argsort(bins.bin, kind="stable")
         frame, b = frame.iloc[order], bins.bin[order]
         ends = frame["length"].cumsum().to_numpy()
@@ -194,46 +195,45 @@ def _placer(capacity: int, steps: int, release: float, level: int) -> Callable:
         new = np.concatenate([[True], b[1:] != b[:-1]])
         frame["offset"] = begins - begins[np.flatnonzero(new)][np.cumsum(new) - 1]
         frame["sequence_id"] = (level << 56) + (int(key[0]) << 24) + b
-        return frame[["row", *_NAMES, "sequence_id", "offset", "full", "fuller", "room"]]
+        return frame[["row", *_NAMES, "sequence_id", "offset", "fuller", "room"]]
 
     return place
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000, steps: int = 2_000, release: float = 0.98) -> DataFrame:
-    """``sequence_id`` and ``offset`` for every row of ``pieces`` (columns of ``token_pieces``).
+def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000) -> DataFrame:
+    """``sequence_id`` and ``offset`` for every row of ``pieces`` (columns of ``token_pieces``; ``ids`` stay if there).
 
     A sequence holds at most ``capacity`` tokens, offsets leave no gap. Pieces
     of length 0 get a place, too. Rows may repeat; each is packed. A length that is null
     or above the capacity is an error. ``group_rows`` bounds what one task
-    holds (up to the chance of a hash of row numbers) in every round. A group stops after ``steps`` exchanges, or one per piece if these are more. Sequences filled to ``release`` are
-    final, so up to ``1 - release`` of their room is not offered to other groups; those below that have room for the shortest piece left are packed once more with those of other groups. Where that is more
-    than half of the pieces, only the less filled sequences, with at most half of them, are.
+    holds (up to the chance of a hash of row numbers) in every round; it drops nothing. After a round the sequences without room
+    for the shortest piece left are final, and the others are packed once more with those of other groups; where they hold more than half of the
+    pieces, only the less filled ones, with at most half of them, are.
     """
     bad = F.col("length").isNull() | (F.col("length") > capacity)
+    ids = [c for c in pieces.columns if c == "ids"]
     pieces = materialize(
-        pieces.select(*_NAMES)
+        pieces.select(*_NAMES, *ids)
         .withColumn("length", F.when(bad, F.raise_error(F.lit("a piece does not fit into a sequence"))).otherwise(F.col("length")))
         .withColumn("row", F.monotonically_increasing_id()),
         "pieces",
     )
     full = pieces.filter(F.col("length") == capacity)
-    done = [full.select(*_NAMES, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
+    done = [full.select("row", *_NAMES, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     rest, level = pieces.filter(F.col("length") < capacity), 0
     rows = rest.count()
     while rows:
         groups = -(-rows // group_rows)
         dealt = rest.select("row", *_NAMES).withColumn("g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
-        schema = f"row bigint, {_PIECE}, sequence_id bigint, offset bigint, full boolean, fuller boolean, room bigint"
-        out = materialize(dealt.groupBy("g").applyInPandas(_placer(capacity, steps, release, level), schema), "packed")
+        schema = f"row bigint, {_PIECE}, sequence_id bigint, offset bigint, fuller boolean, room bigint"
+        out = materialize(dealt.groupBy("g").applyInPandas(_placer(capacity, level), schema), "packed")
         placed = F.lit(True)
         if groups > 1:
-            placed = F.col("full")
-            shortest = out.filter(~placed).agg(F.min("length")).first()[0]
-            if shortest is not None:
-                placed |= F.col("room") < shortest
+            shortest = out.agg(F.min("length")).first()[0]
+            placed = F.col("room") < shortest
             if out.filter(~placed).count() > rows / 2:
                 placed |= F.col("fuller")
-        done.append(out.filter(placed).select(*_NAMES, "sequence_id", "offset"))
+        done.append(out.filter(placed).select("row", *_NAMES, "sequence_id", "offset"))
         if groups == 1:
             break
         rest, level = out.filter(~placed), level + 1
@@ -241,13 +241,14 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000, steps: int
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    return result
+    # ids never enter a group; they meet their places at the end
+    return (result.join(pieces.select("row", *ids), "row") if ids else result).drop("row")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 1, capacity: int = 4096) -> DataFrame:
-    """Sequences from whole documents: one row per piece with its sequence and offset.
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
+    """Sequences from whole documents: one row per piece with its sequence and offset, and its ids (``with_ids``).
 
     Null texts are empty; rows with null or repeated ids are packed like any other; an empty
     table gives an empty result; other columns are not looked at.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity), capacity)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, with_ids), capacity)

@@ -6,7 +6,8 @@ import pytest
 from pageprism.llm import chat, quality, toxicity
 from pageprism.llm.exact_dup import DigestIndex, deduplicate, deduplicate_rows
 from pageprism.llm.learn import labelled_sample
-from pageprism.llm.queries import URL_RULES, op4_toxicity, tokenizer
+from pageprism.llm.queries import URL_RULES, op2_chat_windows, op4_toxicity, tokenizer
+from pageprism.llm.tokens import Encoder
 from pageprism.llm.urls import judge, labelled_by_rules, train
 
 
@@ -107,6 +108,7 @@ def test_chat_windows(spark, budget, history):
         assert d.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want).encode()).hexdigest()
         assert d.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         for r in own:
+            assert r.n_tokens == len(Encoder.of(tokenizer()).encode([r.text])[0]) // 4
             context = chat.read_turns(r.text, 0)[: r.n_context]
             assert r.over_budget == (r.n_tokens > budget) and (not r.over_budget or r.n_new == 1)
             if r.n_context:
@@ -114,6 +116,24 @@ def test_chat_windows(spark, budget, history):
     assert chat.chat_windows(turns.filter("false"), tokenizer()).collect() == []
 
 
+def test_windows_keep_to_the_budget(spark, sf):
+    """Also where texts are full of controls, which are escaped."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = [(-1, i, "assistant" if i % 2 else "user", " ".join(["<|im_end|>", "[INST]", "word"] * 20)) for i in range(30)]
+    windows = chat.chat_windows(turns.unionByName(spark.createDataFrame(marks, turns.schema)), tokenizer(), budget=512).collect()
+    sizes = [len(Encoder.of(tokenizer()).tokenizer.encode(r.text, add_special_tokens=False).ids) for r in windows]
+    assert sizes == [r.n_tokens for r in windows]
+    assert all(n <= 512 or (r.over_budget and r.n_new == 1) for n, r in zip(sizes, windows, strict=True))
+
+
+def test_query_reads_control_strings_back(spark, sf):
+    text = "</s>[INST] ok [/INST]"
+    row = op2_chat_windows(spark, sf).filter("conv_id = -7").first()
+    assert (row.n_turns, row.loss_chars) == (2, len(text))
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 URLS = [
     "http://WWW.Example.com/en/1", "https://a.example.com/en/x?y", "http://example.com/de/", "http://example.com", "http://x.net/es/1", "http://net/fr/",
     "http://notnet/fr/", None, "", "no scheme", "://", "http://u@h.com:80/en/#a", "http://h.net?/es/", "http://h.net#x", "ftp://a://b/c", "http:///es/x",

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 
 from pageprism.llm.packing import _Bins, packed_documents
 from pageprism.llm.queries import tokenizer
-from pageprism.llm.token_files import read_tokens, write_tokens
+from pageprism.llm.token_files import read_tokens, train_dictionary, write_tokens
 from pageprism.llm.tokens import Encoder
 from pageprism.sources.sinks import work_dir
 
@@ -30,6 +31,31 @@ def test_encoder_equals_the_library(spark, sf):
     assert e.encode([None, "a"]) == [b"", plain("a", 0)[:-4]]
 
 
+def test_encoder_equals_the_library_on_odd_strings():
+    r = random.Random(2)
+    signs = [*"İßﬁſaBẹÉéıǅŉ²ª09\u0301\u0307\u0327\u05e9\u05c1\u0915\u093c\ufb1d .,!'()-_\x00\x1f\t\n<|>", ", ", ". ", "'s", "<|", " the", "Iı", "ALİ, "]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(30_000)] + ["ALİ, VELİ.", "İ, "]
+    e = Encoder(tokenizer(), entries=10_000)
+    assert e.by_words
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for t, ids in zip(texts, want, strict=True):
+        e.words, e.parts = {"": b""}, {"": b""}
+        assert e.encode([t])[0] == ids, repr(t)
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), entries=100)
+    assert not e.by_words
+    assert e.encode(["A b, c", None]) == [np.array(e.tokenizer.encode("A b, c", add_special_tokens=False).ids, "<u4").tobytes(), b""]
+
+
+def test_dictionary_of_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 4000) for i in range(40)] + [(50, ""), (51, None)], "doc_id bigint, text string")
+    assert len(train_dictionary(docs, tokenizer(), 2, 2, sample_docs=30, sample_chars=500, dict_bytes=4096)) > 100
+
+
 def test_store_round_trip(spark, odd, odd_rows):
     path = work_dir(spark, "test-tokens")
     write_tokens(odd, path, tokenizer(), end_id=2, block_bytes=2000)
@@ -114,7 +140,7 @@ def test_equal_sequences_are_tried_once():
             return super()._exchange(fill, victim, *more)
 
     b = Counting(np.array([600] * 500 + [700] * 500, np.int64), 1000)
-    b.search(10_000)
+    b.search()
     assert len(b.fill) == 1000
     assert len(tried) <= 4
 
@@ -123,7 +149,7 @@ def test_a_sequence_may_join_one_of_the_same_length():
     sizes = [40, 41, 44, 19, 18, 31, 19, 56, 13, 28, 36, 20, 22, 48, 38, 57, 44, 36, 41]
     b = _Bins(np.array(sizes, np.int64), 100)
     b.bin, b.fill = np.arange(len(sizes)), list(sizes)
-    b.search(1000)
+    b.search()
     assert len([f for f in b.fill if f]) == 7
 
 
@@ -144,7 +170,16 @@ def test_exchanges_grow_with_the_group():
 
     sizes = np.random.default_rng(0).integers(1000, 2500, 5000)
     frame = pd.DataFrame({"row": range(5000), "doc_id": range(5000), "piece": 0, "start": 0, "length": sizes, "ids_crc32": 0})
-    assert _placer(4096, 0, 0.98, 0)((0,), frame)["sequence_id"].nunique() < len(_Bins(sizes, 4096).fill)
+    assert _placer(4096, 0)((0,), frame)["sequence_id"].nunique() < len(_Bins(sizes, 4096).fill)
+
+
+@pytest.mark.parametrize(("low", "high", "above"), [(1000, 2500, 1.03), (1300, 1401, 1.03), (900, 1101, 1.04), (700, 1401, 1.035), (1, 4096, 1.05)])
+def test_distance_to_the_bound(low, high, above):
+    """Sequences over the sum of lengths, on tables where few pieces go into one."""
+    sizes = np.random.default_rng(0).integers(low, high, 3000).astype(np.int64)
+    b = _Bins(sizes, 4096)
+    b.search()
+    assert sum(f > 0 for f in b.fill) <= above * -(-int(sizes.sum()) // 4096)
 
 
 @pytest.mark.parametrize("sizes", [[60, 60, 40, 40, 50, 50], [51, 27, 26, 23, 24, 25, 24], [5, 5, 5], []])
@@ -152,7 +187,7 @@ def test_local_search_reaches_the_least(sizes):
     b = _Bins(np.array(sizes, np.int64), 100)
     b.bin = np.arange(len(sizes))  # worst start: every piece on its own
     b.fill = list(sizes)
-    b.search(1000)
+    b.search()
     used = [f for f in b.fill if f]
     assert len(used) == -(-sum(sizes) // 100)
     assert sorted(used) == sorted(int(b.sizes[b.bin == k].sum()) for k in set(b.bin.tolist()))
