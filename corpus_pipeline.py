@@ -2,9 +2,10 @@
 
 Every stage but the last returns the columns of ``documents`` for the rows it
 keeps. What the stages look up besides (labels, the benchmark) lies in
-``sf_dir``. Rows without an id are judged by their text, after all rows with
-one; rows that share an id are one document for the stages that judge by id.
+``sf_dir``. Every row is judged for itself, also where rows share an id or have
+none; of near duplicates such rows come after all rows with an id of their own.
 Null texts are empty; extra columns stay as they are; empty tables stay empty.
+The last table holds the ids to train on.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageprism.llm import quality
-from pageprism.llm.common import keep_rows, keyed, materialize, table
+from pageprism.llm.common import by_rows, materialize, table
 from pageprism.llm.decontaminate import contaminated_words
 from pageprism.llm.exact_dup import DigestIndex, deduplicate_rows
 from pageprism.llm.near_dup import near_duplicates
@@ -25,7 +26,9 @@ from pageprism.llm.queries import tokenizer
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is at least one half."""
-    return keep_rows(docs, quality.classify(keyed(docs, "source", "lang"), labels=table(spark, sf_dir, "labels")).filter("kept"))
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    return by_rows(docs, lambda rows: quality.classify(rows, labels, model=model).filter("kept"), "source", "lang")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +38,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group over five-word shingles with a similarity of at least 0.8."""
-    return keep_rows(docs, near_duplicates(keyed(docs), k=5, num=80, den=100).filter("kept"))
+    return by_rows(docs, lambda rows: near_duplicates(rows, k=5, num=80, den=100).filter("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
-    return keep_rows(docs, contaminated_words(keyed(docs), table(spark, sf_dir, "benchmark"), window=10, shingle=5).filter(F.size("spans") == 0))
+    items = table(spark, sf_dir, "benchmark")
+    return by_rows(docs, lambda rows: contaminated_words(rows, items, window=10, shingle=5).filter(F.size("spans") == 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence of at most 4096 tokens and their place in it."""
-    return packed_documents(docs, tokenizer(), end_id=1, capacity=4096)
+    """Pieces of documents with their ids, their sequence of at most 4096 tokens and their place in it."""
+    return packed_documents(docs, tokenizer(), end_id=1, capacity=4096, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
