@@ -20,9 +20,17 @@ SQL = {
     " AND split_part(key, '/', 2) NOT IN (SELECT 'page_' || page_id FROM fetched_pages WHERE url LIKE 'ftp%')",
     "stream_request_counts": "SELECT method, window_start, count(*) AS requests FROM (SELECT method, time_bucket(INTERVAL '5 minutes', ts) AS window_start FROM requests)"
     " WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL",
+    # the watermark before a batch is ten minutes before the highest time of the batches before it
+    "stream_late_requests": "SELECT * FROM (WITH d AS (SELECT day, ntile(3) OVER (ORDER BY day) AS span FROM (SELECT DISTINCT ts::DATE AS day FROM requests)),"
+    " r AS (SELECT requests.*, unnest(CASE WHEN event_id % 11 = 0 THEN [4] WHEN event_id % 7 = 0 THEN [span, 4] ELSE [span] END) AS arrival"
+    " FROM requests JOIN d ON d.day = ts::DATE),"
+    " m AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark FROM r GROUP BY arrival)"
+    " SELECT DISTINCT event_id, ts, method, client, endpoint FROM r JOIN m ON m.arrival = r.arrival WHERE ts < mark"
+    " AND event_id NOT IN (SELECT event_id FROM r JOIN m ON m.arrival = r.arrival WHERE mark IS NULL OR ts >= mark))",
 }
 SQL = {k: sql(v) for k, v in SQL.items()}
 SQL["write_json"] = REPORTS["report_analysis"]
 SQL["write_seo_csv"] = REPORTS["seo_csv"]
 SQL["stream_site_upsert"] = TRACKING["site_upsert"]
+SQL["stream_health_history"] = TABLES["health_history"]
 SQL["stream_latest_health"] = TABLES["latest_health"]

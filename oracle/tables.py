@@ -35,18 +35,43 @@ _upd = lambda cols: (
 )
 _hist = "project_id, health_id, ts, overall_score::BIGINT AS overall_score"
 
-RESOLVED = (
-    f"SELECT request_id, r.email, coalesce(a.user_id, b.user_id, sha256(r.email)[:32]) AS user_id,"
-    " CASE WHEN a.user_id IS NOT NULL THEN 'email' WHEN b.user_id IS NOT NULL THEN 'external_id' ELSE 'created' END AS how,"
-    " CASE WHEN a.user_id IS NULL AND b.user_id IS NULL THEN r.nm END AS new_name"
-    f" FROM (SELECT *, {DISPLAY} AS nm FROM login_requests) r"
-    f" LEFT JOIN {_newest('users', 'email', 'created_at, user_id', 1)} a ON a.email = r.email"
-    f" LEFT JOIN {_newest('users', 'external_id', 'created_at, user_id', 1)} b ON b.external_id = r.external_id"
-)
+
+
+def _resolved(requests: str) -> str:
+    """Requests one after the other: a recursion with a step for each one that no old user fits."""
+    known = (
+        f"SELECT r.*, a.user_id AS ue, b.user_id AS ux, row_number() OVER (ORDER BY request_id, r.email, r.external_id NULLS FIRST) AS k"
+        f" FROM (SELECT *, {DISPLAY} AS nm FROM {requests}) r"
+        f" LEFT JOIN {_newest('users', 'email', 'created_at, user_id', 1)} a ON a.email = r.email"
+        f" LEFT JOIN {_newest('users', 'external_id', 'created_at, user_id', 1)} b ON b.external_id = r.external_id"
+    )
+    hit = "(list_contains(es, o.email) OR coalesce(list_contains(xs, o.external_id), false))"
+    add = lambda xs, x: f"CASE WHEN {hit} THEN {xs} ELSE list_append({xs}, {x}) END AS {xs}"
+    return (
+        f"(WITH RECURSIVE known AS MATERIALIZED ({known}),"
+        " o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k) AS j FROM known WHERE ue IS NULL AND ux IS NULL AND email IS NOT NULL),"
+        " s AS (SELECT 0::BIGINT AS j, []::BIGINT[] AS ks, []::VARCHAR[] AS es, []::VARCHAR[] AS xs"
+        f" UNION ALL SELECT s.j + 1, {add('ks', 'o.k')}, {add('es', 'o.email')}, {add('xs', 'o.external_id')} FROM s JOIN o ON o.j = s.j + 1),"
+        " made AS (SELECT * FROM o WHERE k IN (SELECT unnest(ks) FROM s WHERE j = (SELECT max(j) FROM s)))"
+        " SELECT r.request_id, r.email,"
+        " CASE WHEN r.email IS NOT NULL THEN coalesce(r.ue, sha256(e.email)[:32], r.ux, sha256(x.email)[:32]) END AS user_id,"
+        " CASE WHEN r.email IS NULL THEN 'rejected' WHEN r.ue IS NOT NULL OR e.k < r.k THEN 'email' WHEN e.k = r.k THEN 'created' ELSE 'external_id' END AS how,"
+        " CASE WHEN e.k = r.k THEN r.nm END AS new_name"
+        " FROM known r LEFT JOIN made e ON e.email = r.email AND e.k <= r.k LEFT JOIN made x ON x.external_id = r.external_id AND x.k < r.k)"
+    )
+
+
+def _created(requests: str) -> str:
+    return (
+        f"SELECT user_id, email, arg_min(new_name, request_id) AS name, 'user' AS role, true AS is_active, {AS_OF} AS created_at, {AS_OF} AS updated_at"
+        f" FROM {_resolved(requests)} WHERE how = 'created' GROUP BY user_id, email"
+    )
+
 
 SQL = {
-    "created_users": f"SELECT user_id, email, arg_min(new_name, request_id) AS name, 'user' AS role, true AS is_active, {AS_OF} AS created_at, {AS_OF} AS updated_at"
-    f" FROM ({RESOLVED}) WHERE how = 'created' GROUP BY user_id, email",
+    "created_users": _created("login_requests"),
+    "signup_users": _created("signups"),
+    "signup_resolve": f"SELECT * FROM {_resolved('signups')}",
     "scan_platform": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, column_name, filled, (SELECT count(*) FROM {t}) AS rows FROM"
         f" (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE filled)"
@@ -80,7 +105,7 @@ SQL = {
     "lookup_project_domain": f"SELECT {PROJECT}, created_at FROM {_newest('projects', 'user_id, domain', 'created_at, project_id', 1)}"
     " WHERE (user_id, domain) IN (SELECT (CASE WHEN status = 'paused' THEN 'u0' ELSE user_id END, domain) FROM projects)",
     "user_duplicates": f"SELECT {USER}, cnt FROM (SELECT *, count(*) OVER (PARTITION BY email) AS cnt FROM users) WHERE cnt > 1",
-    "user_resolve": RESOLVED,
+    "user_resolve": f"SELECT * FROM {_resolved('login_requests')}",
     "update_profile": "SELECT u.user_id, coalesce(new_name, name) AS name, coalesce(new_email, email) AS email, coalesce(new_role, role) AS role,"
     f" coalesce(new_active, is_active) AS is_active, coalesce(new_preferences, preferences) AS preferences, coalesce(changed_at, updated_at) AS updated_at FROM users u LEFT JOIN {_last('user_id')} c ON c.user_id = u.user_id",
     "touch_login": f"SELECT u.user_id, strftime(changed_at, '%Y-%m-%dT%H:%M:%S') AS last_login FROM users u LEFT JOIN {_last('user_id')} c ON c.user_id = u.user_id",

@@ -109,46 +109,6 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def user_resolve(requests: DataFrame, users: DataFrame, name: Column) -> DataFrame:
-    """Match a request by email, else by external id, else make a new user."""
-    slim = users.select("user_id", "email", "external_id", "created_at")
-    by_email = first_of(slim.select("email", "user_id", "created_at"), ["email"], ["created_at", "user_id"]).select(
-        "email", F.col("user_id").alias("by_email")
-    )
-    by_ext = (
-        first_of(
-            slim.filter(F.col("external_id").isNotNull()).select("external_id", "user_id", "created_at"),
-            ["external_id"],
-            ["created_at", "user_id"],
-        )
-        .select("external_id", F.col("user_id").alias("by_ext"))
-    )
-    made = F.left(F.sha2(F.col("email"), 256), F.lit(32))
-    return (
-        requests.join(by_email, "email", "left")
-        .join(by_ext, "external_id", "left")
-        .select(
-            "request_id",
-            "email",
-            F.coalesce("by_email", "by_ext", made).alias("user_id"),
-            F.when(F.col("by_email").isNotNull(), F.lit("email"))
-            .when(F.col("by_ext").isNotNull(), F.lit("external_id"))
-            .otherwise(F.lit("created"))
-            .alias("how"),
-            F.when(F.coalesce("by_email", "by_ext").isNull(), name).alias("new_name"),
-        )
-    )
-
-
-def created_users(resolved: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of the users that ``user_resolve`` had to create: one per id, by its first request."""
-    new = resolved.filter("how = 'created'").groupBy("user_id", "email").agg(F.min_by("new_name", "request_id").alias("name"))
-    return new.select(
-        "user_id", "email", "name", F.lit("user").alias("role"), F.lit(True).alias("is_active"),
-        as_of.alias("created_at"), as_of.alias("updated_at"),
-    )
-
-
 # ---- rollups ----------------------------------------------------------------
 def project_statistics(
     projects: DataFrame, pages: DataFrame, recommendations: DataFrame, optimizations: DataFrame, health: DataFrame

@@ -9,6 +9,7 @@ from ..functions.urls import site_key
 from ..operators import reports as R
 from ..sources import readers, sinks
 from ..sources.fixtures import view
+from ..sources.stored import StoredTable
 from ..streaming import incremental as I
 from .reporting import logged
 from .tracking import BUCKET, log
@@ -90,12 +91,16 @@ def object_exists(s: SparkSession, sf: str) -> DataFrame:
 
 
 def delete_prefix(s: SparkSession, sf: str) -> DataFrame:
-    """Bundles of the pages that no longer have a web address are removed."""
+    """The stored manifest after the bundles of pages without a web address, and all stray keys, are deleted from it."""
+    table = StoredTable(s, sinks.work_dir(s, "manifest"), "key", "key string, size bigint", buckets=8)
+    table.upsert(keys(s, sf).select("key", F.col("size").cast("bigint").alias("size")))
     gone = view(s, sf, "fetched_pages").filter(F.col("url").startswith("ftp")).select(
         F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("dir")
     )
-    kept = sinks.delete_dirs(keys(s, sf), gone)
-    return sinks.delete_prefix(kept, "scraped_sites/stray_").withColumn("size", F.col("size").cast("bigint"))
+    folder = F.split("key", "/")[1].alias("dir")
+    table.delete(keys=table.read().select("key", folder).join(gone.distinct(), "dir", "left_semi"))
+    table.delete(F.col("key").startswith("scraped_sites/stray_"))
+    return table.read()
 
 
 QUERIES = {
@@ -110,5 +115,7 @@ QUERIES = {
     "write_seo_csv": write_seo_csv,
     "stream_site_upsert": I.stream_site_upsert,
     "stream_latest_health": I.stream_latest_health,
+    "stream_health_history": I.stream_health_history,
     "stream_request_counts": I.stream_request_counts,
+    "stream_late_requests": I.stream_late_requests,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import display_name
 from ..operators import extract as E
+from ..operators import identity
 from ..operators import platform as P
 from ..functions.cols import n
 from ..sources.fixtures import view
@@ -155,9 +156,9 @@ def update_profile(s: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def resolved(s: SparkSession, sf: str) -> DataFrame:
+def resolved(s: SparkSession, sf: str, requests: str = "login_requests") -> DataFrame:
     name = display_name(F.col("given_name"), F.col("family_name"), F.col("email"))
-    return P.user_resolve(view(s, sf, "login_requests"), users(s, sf), name)
+    return identity.resolve(view(s, sf, requests), users(s, sf), name)
 
 
 def touch_login(s: SparkSession, sf: str) -> DataFrame:
@@ -257,7 +258,9 @@ QUERIES = {
     ),
     "user_duplicates": lambda s, sf: P.duplicates(users(s, sf).select(*USER), "email"),
     "user_resolve": resolved,
-    "created_users": lambda s, sf: P.created_users(resolved(s, sf), as_of()),
+    "created_users": lambda s, sf: identity.created_users(resolved(s, sf), as_of()),
+    "signup_resolve": lambda s, sf: resolved(s, sf, "signups"),
+    "signup_users": lambda s, sf: identity.created_users(resolved(s, sf, "signups"), as_of()),
     "update_profile": update_profile,
     "touch_login": touch_login,
     "touch_crawl": _project_update({"last_crawl": "stamp"}),

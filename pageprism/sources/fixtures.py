@@ -179,6 +179,15 @@ VIEWS["login_requests"] = (
     " CASE WHEN s_suppkey % 2 = 1 THEN 'ext-' || CAST(s_suppkey % 1000 AS STRING) END AS external_id,"
     " CASE WHEN s_suppkey % 7 = 0 THEN 'Eva' END AS given_name, CASE WHEN s_suppkey % 5 = 0 THEN 'Berg' END AS family_name FROM $supplier$"
 )
+# Signups of which a third share one external id, and others share a key with the one before and the next; some of known users.
+VIEWS["signups"] = (
+    "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 = 0 THEN 'hot.' || CAST(c_custkey % 50 AS STRING) || '@example.net'"
+    " WHEN c_custkey % 20 = 7 THEN 'customer.' || CAST(c_custkey AS STRING) || '@' || lower(c_mktsegment) || '.example.com'"
+    " ELSE 'part.' || CAST(CAST(floor(c_custkey / 10) AS INT) AS STRING) || '.' || CAST(CAST(floor(c_custkey % 10 / 2) AS INT) AS STRING) || '@example.org' END AS email,"
+    " CASE WHEN c_custkey % 3 = 0 THEN 'sub-hot' WHEN c_custkey % 20 = 13 THEN NULL WHEN c_custkey % 20 = 14 THEN 'ext-' || CAST(c_custkey % 1000 AS STRING)"
+    " ELSE 'sub-' || CAST(CAST(floor(c_custkey / 10) AS INT) AS STRING) || '-' || CAST(CAST(floor((c_custkey % 10 + 1) / 2) AS INT) AS STRING) END AS external_id,"
+    " CASE WHEN c_custkey % 7 = 0 THEN 'Eva' END AS given_name, CASE WHEN c_custkey % 5 = 0 THEN 'Berg' END AS family_name FROM $customer$"
+)
 # Change requests: several per key, with a time of change.
 VIEWS["changes"] = (
     "SELECT event_id, ts AS changed_at, 'u' || CAST(user_id AS STRING) AS user_id, 'p' || CAST(user_id AS STRING) AS project_id,"

@@ -1,24 +1,29 @@
 """Streaming forms of the keyed aggregates and of the request windows.
 
-Event time is ``ts``; the watermark is ten minutes.  A running aggregate is
-written in update mode, one folder per micro-batch, and read back as the last
-value per key: a batch that is repeated after a failure overwrites its own
-folder, so the result does not change.
+Event time is ``ts``; the watermark is ten minutes. Running aggregates are
+merged into keyed tables on storage, so reading one is reading a snapshot, and a
+batch that is repeated after a failure changes nothing. Rows that come too late
+for a window are set aside as rows before the windows are counted.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.urls import site_key
 from ..sources.fixtures import VIEWS
 from ..sources.readers import read_table
-from ..sources.sinks import work_dir
+from ..sources.sinks import materialize, work_dir
+from ..sources.stored import StoredTable
 
 WATERMARK = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,31 +40,14 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\$(\w+)\$", fill, VIEWS[name]))
 
 
-def run_updates(stream: DataFrame, out: str) -> None:
-    """Drain the source, one folder of updated keys per micro-batch."""
+def drain(writer, checkpoint: str) -> None:
+    """Run a stream until its source is empty."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/updates/batch={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", f"{out}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
 
-
-def current(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """The last update per key."""
-    updates = spark.read.parquet(f"{out}/updates")
-    rest = [c for c in updates.columns if c not in (key, "batch")]
-    return (
-        updates.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("x"))
-        .select(key, *[F.col(f"x.{c}").alias(c) for c in rest])
-    )
+# ---- running aggregates in keyed tables -------------------------------------------------------------------------------
+SITES = "site_key string, first_scraped timestamp_ntz, last_scraped timestamp_ntz, total_scrapes bigint"
+HEALTH = "project_id string, health_id string, ts timestamp_ntz, overall_score bigint"
 
 
 def site_upsert(scrapes: DataFrame) -> DataFrame:
@@ -77,6 +65,122 @@ def latest_health(health: DataFrame) -> DataFrame:
     return health.groupBy("project_id").agg(last.alias("x")).select("project_id", "x.*")
 
 
+def run_upserts(stream: DataFrame, table: StoredTable, checkpoint: str) -> None:
+    """Drain a running aggregate into a keyed table: each micro-batch sets the rows of the keys it changed."""
+    drain(stream.writeStream.outputMode("update").foreachBatch(lambda batch, _: table.upsert(batch)), checkpoint)
+
+
+# ---- the newest rows per key as state ------------------------------------------------------------------------------------
+class NewestRows(StatefulProcessor):
+    """Keeps the newest ``k`` rows of a key in a list that is forgotten when nothing has come for ``ttl_ms``.
+
+    A batch's rows are read in chunks, of which only the newest ``k`` are held. Rows that are sent twice count once.
+    """
+
+    def __init__(self, k: int, ttl_ms: int):
+        self.k, self.ttl_ms = k, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("newest", "health_id string, ts timestamp_ntz, overall_score bigint", self.ttl_ms)
+
+    def _newest(self, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["ts", "health_id"])
+        return rows.sort_values(["ts", "health_id"], ascending=[False, True], ignore_index=True).head(self.k)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["health_id", "ts", "overall_score"]
+        best = pd.DataFrame(list(self.rows.get()), columns=columns)
+        before = list(best.itertuples(index=False, name=None))
+        for chunk in rows:
+            best = self._newest(pd.concat([best, chunk[columns]], ignore_index=True) if len(best) else chunk[columns])
+        now = list(best.itertuples(index=False, name=None))
+        if now != before:
+            self.rows.put(now)
+            best.insert(0, "project_id", key[0])
+            best["rank"] = range(1, len(best) + 1)
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+HISTORY = "project_id string, health_id string, ts timestamp_ntz, overall_score bigint, rank bigint"
+
+
+def health_history(stream: DataFrame, k: int = 30, ttl_days: int = 90) -> DataFrame:
+    """The newest ``k`` rows of each project that a batch changed. State is at most ``k`` rows a project; a project without any
+    row for ``ttl_days`` of processing time is forgotten by the state (not by the table it was written to)."""
+    rows = stream.select("project_id", "health_id", "ts", F.col("overall_score").cast("bigint").alias("overall_score"))
+    return rows.groupBy("project_id").transformWithStateInPandas(
+        NewestRows(k, ttl_days * 86_400_000), outputStructType=HISTORY, outputMode="Update", timeMode="ProcessingTime"
+    )
+
+
+def run_history(stream: DataFrame, table: StoredTable, checkpoint: str) -> None:
+    """Drain a stream of health rows into a table with the newest rows of each project, keyed by project and rank."""
+    conf = stream.sparkSession.conf
+    # list state needs RocksDB; without new rows there is nothing to do, though processing time goes on
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        conf.set(name, value)
+    try:
+        # a list only grows until it is full, so a rank once written is written again by every later change
+        drain(health_history(stream).writeStream.outputMode("update").foreachBatch(lambda batch, _: table.upsert(batch)), checkpoint)
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+
+
+# ---- windows, and what comes too late for them ---------------------------------------------------------------------------
+class LateRouter:
+    """Splits a stream by a watermark of its own, which it writes down after every batch.
+
+    A batch's rows are held against the watermark that the batches before it have left: the highest event time less
+    ``delay``. Rows at or above it go to ``ontime``, the others, and rows without a time, to ``late``; each batch has its folder
+    in both. What a batch wrote depends on the batch and the watermark alone, so a batch that is run again after a
+    failure writes the same, and one that had finished writes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, delay: str = WATERMARK):
+        self.spark, self.out, self.delay = spark, out.rstrip("/"), delay
+
+    def _done(self, batch: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/marks/batch={batch}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _mark(self, batch: int):
+        return self.spark.read.schema("mark timestamp_ntz").parquet(f"{self.out}/marks/batch={batch}").first().mark if self._done(batch) else None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if self._done(number):
+            return
+        mark = self._mark(number - 1)
+        rows = materialize(batch, "arrivals")  # read three times
+        time = F.col("ts").cast("timestamp_ntz")
+        ontime = time.isNotNull() if mark is None else F.coalesce(time >= F.lit(mark), F.lit(False))
+        rows.filter(ontime).write.mode("overwrite").parquet(f"{self.out}/ontime/batch={number}")
+        rows.filter(~ontime).write.mode("overwrite").parquet(f"{self.out}/late/batch={number}")
+        top = rows.agg((F.max(time) - F.expr(f"INTERVAL {self.delay}")).alias("mark"))
+        top.select(F.greatest("mark", F.lit(mark).cast("timestamp_ntz")).alias("mark")).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.out}/marks/batch={number}"
+        )
+
+    def run(self, stream: DataFrame) -> None:
+        """Drain a stream (columns ``ts``, ``event_id`` and others)."""
+        self.schema = stream.schema
+        drain(stream.writeStream.foreachBatch(self), f"{self.out}/routing")
+
+    def ontime(self, schema) -> DataFrame:
+        """The rows on time as a stream again. Its own watermark never passes the router's, so nothing is dropped behind it."""
+        return self.spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.out}/ontime")
+
+    def late(self, schema) -> DataFrame:
+        """Late rows, each event once, without those whose event was on time before."""
+        read = lambda name: self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.out}/{name}")
+        return read("late").dropDuplicates(["event_id"]).join(read("ontime").select("event_id"), "event_id", "left_anti")
+
+
 def request_counts(requests: DataFrame) -> DataFrame:
     """Requests per method and five minutes, repeated events counted once."""
     timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
@@ -88,47 +192,66 @@ def request_counts(requests: DataFrame) -> DataFrame:
     )
 
 
-def run_append(stream: DataFrame, out: str) -> int:
-    """Drain the source into a file sink; returns the number of late rows left out.
-
-    The number is added to the table ``late`` beside the rows, too. Progress of
-    all batches of the run is kept for it: by default Spark forgets all but the last hundred.
-    """
-    spark = stream.sparkSession
-    keep = "spark.sql.streaming.numRecentProgressUpdates"
-    before = spark.conf.get(keep)
-    spark.conf.set(keep, 2**31 - 1)
-    try:
-        query = (
-            stream.writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{out}/rows")
-            .option("checkpointLocation", f"{out}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-        late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    finally:
-        spark.conf.set(keep, before)
-    spark.createDataFrame([(str(query.runId), late)], "run string, late_rows bigint").coalesce(1).write.mode("append").parquet(f"{out}/late")
-    return late
+def run_append(stream: DataFrame, out: str) -> LateRouter:
+    """Drain a stream of requests: late rows are set aside, the windows that the watermark has closed are appended to ``rows``."""
+    router = LateRouter(stream.sparkSession, out)
+    router.run(stream)
+    counts = request_counts(router.ontime(stream.schema))
+    drain(counts.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"), f"{out}/state")
+    return router
 
 
+# ---- queries ---------------------------------------------------------------------------------------------------------------
 def stream_site_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "site-upsert")
-    run_updates(site_upsert(stream_view(spark, sf_dir, "scrape_log")), out)
-    return current(spark, out, "site_key")
+    table = StoredTable(spark, f"{out}/sites", "site_key", SITES, buckets=8)
+    run_upserts(site_upsert(stream_view(spark, sf_dir, "scrape_log")), table, f"{out}/state")
+    return table.read()
 
 
 def stream_latest_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "latest-health")
-    run_updates(latest_health(stream_view(spark, sf_dir, "site_health")), out)
-    return current(spark, out, "project_id")
+    table = StoredTable(spark, f"{out}/health", "project_id", HEALTH, buckets=8)
+    run_upserts(latest_health(stream_view(spark, sf_dir, "site_health")), table, f"{out}/state")
+    return table.read()
+
+
+def stream_health_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_dir(spark, "health-history")
+    table = StoredTable(spark, f"{out}/history", ["project_id", "rank"], HISTORY, buckets=8)
+    run_history(stream_view(spark, sf_dir, "site_health"), table, f"{out}/state")
+    return table.read()
 
 
 def stream_request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed."""
     out = work_dir(spark, "request-counts")
-    run_append(request_counts(stream_view(spark, sf_dir, "requests")), out)
+    run_append(stream_view(spark, sf_dir, "requests"), out)
     return spark.read.parquet(f"{out}/rows")
+
+
+#: Batches in which the requests arrive for the query on late ones.
+ARRIVALS = 4
+
+
+def arrivals(requests: DataFrame) -> DataFrame:
+    """Requests with the batch they arrive in: by time, but every eleventh event comes in the last batch, and every seventh twice."""
+    span = F.ntile(ARRIVALS - 1).over(Window.orderBy("day")).alias("span")
+    days = requests.select(F.to_date("ts").alias("day")).distinct().select("day", span)
+    placed = requests.withColumn("day", F.to_date("ts")).join(days, "day")
+    last = F.lit(ARRIVALS)
+    when = F.when(F.col("event_id") % 11 == 0, F.array(last)).when(F.col("event_id") % 7 == 0, F.array(F.col("span"), last))
+    return placed.withColumn("arrival", F.explode(when.otherwise(F.array("span")))).drop("day", "span")
+
+
+def stream_late_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that came too late for their window; the stream is stopped and goes on after every batch."""
+    from ..sources.fixtures import view
+
+    out = work_dir(spark, "late-requests")
+    rows = materialize(arrivals(view(spark, sf_dir, "requests")), "arrivals")
+    schema = rows.drop("arrival").schema
+    for n in range(1, ARRIVALS + 1):
+        rows.filter(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(f"{out}/in")
+        router = run_append(spark.readStream.schema(schema).parquet(f"{out}/in"), out)
+    return router.late(schema).select("event_id", "ts", "method", "client", "endpoint")

@@ -9,7 +9,6 @@ from pageprism.operators import corpus as C
 from pageprism.operators import platform as P
 from pageprism.operators import windows as W
 from pageprism.sources import readers, sinks
-from pageprism.streaming import incremental as I
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -99,36 +98,3 @@ def test_bundle_is_partitioned_by_artifact(spark, tmp_path):
     plan = spark.read.parquet(path).filter("artifact = 'links.txt'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(artifact" in plan
 
-
-def _stream(spark, folder, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def test_stream_equals_batch_over_many_batches(spark, tmp_path):
-    src = str(tmp_path / "in")
-    rows = [(f"https://www.s{i % 5}.org/p", at(i * 7 % 300)) for i in range(200)]
-    df = spark.createDataFrame(rows, "url string, scraped_at timestamp_ntz")
-    df.repartition(4).write.parquet(src)
-    out = str(tmp_path / "out")
-    I.run_updates(I.site_upsert(_stream(spark, src, df.schema)), out)
-    got = I.current(spark, out, "site_key")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, I.site_upsert(df).collect()))
-
-
-def test_stream_drops_late_and_repeated_events(spark, tmp_path):
-    src = str(tmp_path / "in")
-    schema = "event_id bigint, ts timestamp_ntz, method string"
-    batches = [
-        [(1, at(0), "m"), (2, at(1), "m"), (2, at(1), "m")],
-        [(3, at(60), "m")],
-        [(4, at(2), "m"), (5, at(61), "m")],  # the first is late by an hour
-        [(6, at(120), "m")],
-    ]
-    out, late = str(tmp_path / "out"), 0
-    for b in batches:  # one run per file: the stream goes on from its checkpoint
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
-        late += I.run_append(I.request_counts(_stream(spark, src, spark.read.parquet(src).schema)), out)
-    got = sorted((r["window_start"], r["requests"]) for r in spark.read.parquet(f"{out}/rows").collect())
-    assert got == [(at(0), 2), (at(60), 2)]
-    assert late >= 1
-    assert spark.read.parquet(f"{out}/late").agg(F.sum("late_rows")).first()[0] == late
