@@ -6,17 +6,19 @@
 2. Equal sets (128-bit digest and size) form one class; only the class's
    smallest id goes on.
 3. The member of a bucket that shares most buckets with others is its centre.
-   Every document is paired with the best centre it meets, the pair is
-   confirmed on the full sets, and confirmed pairs are contracted to
+   Every document is paired with the best centre it meets. Pairs whose
+   collision-corrected similarity, estimated by bit counts, comes near the
+   threshold are confirmed on the full sets, and confirmed pairs are contracted to
    components. A large group of copies collapses here at linear cost.
 4. What is left are buckets with more than one component. Their documents
    order their shingles from rare to frequent: similar sets share one of the
-   rarest few. By these shingles, members outside a shingle's largest component
-   meet members of other components, if the places of the shingle leave enough
-   in common (an exact bound) and the collision-corrected similarity of the
-   signatures (bit counts) comes near the threshold. The rest is compared on
-   full sets. So no link that a shared bucket can show is lost, and no pair
-   inside a group is formed.
+   rarest few, of the smaller set one of even fewer, as it lies almost wholly in
+   the other. By these shingles, and within a range of sizes, members outside a
+   shingle's largest component meet members of other components, if the places of
+   the shingle leave enough in common (an exact bound) and the estimate comes near the threshold. The rest is compared on
+   full sets. So no link that a shared bucket can show is lost, no pair
+   inside a group is formed, and texts that share a template but too little to
+   link do not meet: what they share is too far back in their order.
 
 The chance that a pair at the threshold shares no bucket is
 ``(1 - s**rows)**bands``; there are as many bands as bring it below 2.5e-8 (30
@@ -27,7 +29,7 @@ deviations below the threshold.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +128,10 @@ def estimate(differ: Column, hashes: int) -> Column:
     return 1 - differ / (0.75 * hashes)
 
 
-def most_differing(threshold: float, hashes: int) -> int:
-    """Fields in which a pair at the threshold may differ: mean and six standard deviations."""
+def least_estimate(threshold: float, hashes: int) -> float:
+    """Estimate that a pair at the threshold does not fall below: the mean less six standard deviations."""
     p = 0.75 * (1 - threshold)
-    return math.ceil(hashes * p + 6 * math.sqrt(hashes * p * (1 - p)))
+    return 1 - math.ceil(hashes * p + 6 * math.sqrt(hashes * p * (1 - p))) / (0.75 * hashes) - 1e-9
 
 
 def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
@@ -147,22 +149,25 @@ def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``key``, ``rep``, ``at``: the rarest shingles of each document, of which a similar document must have one.
+    """``key``, ``rep``, ``at``, ``small``: the rarest shingles of each document, of which a similar document must have one.
 
     ``at`` is the place in the document's shingles from rare to frequent.
-    Shingles of one document alone come first and are not returned.
+    Shingles of one document alone come first and are not returned. ``small`` marks those by which the document can be
+    the smaller one of a pair: all it shares with a larger set must come after them.
     """
     rows = materialize(shingle_rows(texts, k), "shingles")
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # grouped sides are written first, so that joins can be split at frequent shingles
+    often = materialize(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
     sizes = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     ordered = rows.join(often, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
     first = F.col("n") - F.size("o")
     # a set of n may lack n - ceil(n * num / den) shingles of a similar one
     length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    cut = ordered.join(sizes, "rep").select("rep", first.alias("first"), F.slice("o", 1, F.greatest(length - first, F.lit(0)).cast("int")).alias("o"))
-    return cut.select("rep", "first", F.posexplode("o").alias("i", "x")).select(
-        F.col("x.s").alias("key"), "rep", (F.col("first") + F.col("i")).alias("at")
-    )
+    cut = ordered.join(sizes, "rep").select("rep", "n", first.alias("first"), F.slice("o", 1, F.greatest(length - first, F.lit(0)).cast("int")).alias("o"))
+    at = F.col("first") + F.col("i")
+    # and must have at least 2 num / (num + den) of its own in one that is no smaller
+    small = (num + den) * (F.col("n") - at) >= 2 * num * F.col("n")
+    return cut.select("rep", "n", "first", F.posexplode("o").alias("i", "x")).select(F.col("x.s").alias("key"), "rep", at.alias("at"), small.alias("small"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -197,6 +202,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return in_arrow(both, run, "a bigint, b bigint").distinct()
 
 
+def _prefix_pairs(left: DataFrame, num: int, den: int, near: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs ``a``, ``b`` in different components that share a rare shingle and may be similar.
+
+    ``left`` has ``key``, ``major`` (largest component of the key), ``rep``, ``c``, ``n_shingles``, ``at``, ``small``, ``sig``. The smaller set
+    of a pair stands on one side, in the ranges of sizes in which the larger one can be.
+    """
+    # a set is at most den / num times as large as a similar one: the same range or the next, or, by rounding, the one behind
+    span = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num)) if num < den else F.lit(0)
+    part = ["rep", "c", "n_shingles", "at", "sig"]
+    x = left.filter("small").select("key", "major", F.explode(F.array(span, span + 1, span + 2)).alias("span"), *[F.col(p).alias(f"x_{p}") for p in part])
+    y = left.select("key", span.alias("span"), "major", *[F.col(p).alias(f"y_{p}") for p in part])
+    most = F.least(F.col("x_n_shingles") - F.col("x_at"), F.col("y_n_shingles") - F.col("y_at"))
+    fits = (
+        (F.col("x_c") != F.col("y_c"))
+        & (F.struct("x_n_shingles", "x_rep") < F.struct("y_n_shingles", "y_rep"))
+        & ((den + num) * most >= num * (F.col("x_n_shingles") + F.col("y_n_shingles")))
+        & near("x_sig", "y_sig")
+    )
+    # members of the largest component never meet among themselves
+    one = x.filter("x_c != major").join(y.drop("major"), ["key", "span"])
+    other = x.filter("x_c = major").join(y.filter("y_c != major").drop("major"), ["key", "span"])
+    both = one.filter(fits).unionByName(other.filter(fits))
+    return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int | None = None, rows: int = 5
 ) -> DataFrame:
@@ -239,6 +269,10 @@ def near_duplicates(
     heart = materialize(weighed.groupBy("key").agg(F.max("at").alias("top")), "hearts")
     best = weighed.join(heart, "key").groupBy("rep").agg(F.max("top").alias("top"))
     first = best.select(F.col("top.rep").alias("a"), F.col("rep").alias("b")).filter("a != b")
+    signed = reps.select("rep", "sig")
+    first = first.join(signed.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(signed.withColumnsRenamed({"rep": "b", "sig": "y"}), "b")
+    near = lambda x, y: estimate(differing(F.col(x), F.col(y), longs), bands * rows) >= least_estimate(num / den, bands * rows)
+    first = materialize(first.filter(near("x", "y")).select("a", "b"), "first-pairs")
     links = materialize(confirmed(first, texts, k, num, den), "links")
     groups = connected(links).withColumnRenamed("node", "rep")
 
@@ -256,20 +290,7 @@ def near_duplicates(
     mixed = materialize(mixed.select("key", F.col("top.c").alias("major")), "mixed-keys")
     left = left.join(mixed, "key").join(reps.drop("bands"), "rep")
     left = materialize(left, "mixed")
-    part = ("rep", "c", "n_shingles", "at", "sig", "major")
-    x = left.filter("c != major").select("key", *[F.col(c).alias(f"x_{c}") for c in part])
-    y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in part])
-    most = F.least(F.col("x_n_shingles") - F.col("x_at"), F.col("y_n_shingles") - F.col("y_at"))
-    fits = (
-        (F.col("x_c") != F.col("y_c"))
-        & ((F.col("y_c") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
-        & ((den + num) * most >= num * (F.col("x_n_shingles") + F.col("y_n_shingles")))
-        & (differing(F.col("x_sig"), F.col("y_sig"), longs) <= most_differing(num / den, bands * rows))
-    )
-    more = (
-        x.join(y, (x["key"] == y["key"]) & fits)
-        .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-    )
+    more = _prefix_pairs(left, num, den, near)
     more = materialize(more, "pairs")
     links = materialize(links.unionByName(confirmed(more, texts, k, num, den)), "links")
     groups = connected(links).withColumnRenamed("node", "rep")

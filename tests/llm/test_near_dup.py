@@ -1,11 +1,13 @@
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 
+from pageprism.llm import near_dup as N
 from pageprism.llm import words as W
 from pageprism.llm.components import connected
-from pageprism.llm.near_dup import _Hashes, most_differing, near_duplicates
+from pageprism.llm.near_dup import _Hashes, least_estimate, near_duplicates
 
 
 def shingles(text, k):
@@ -82,7 +84,7 @@ def test_signature_estimates_similarity():
     d = x ^ y
     differ = sum(bin(int(v)).count("1") for v in (d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
     assert abs((1 - differ / (0.75 * 150)) - 0.8) < 0.15
-    assert most_differing(0.85, 150) > 150 * 0.75 * 0.15
+    assert 0.5 < least_estimate(0.85, 150) < 0.85
 
 
 def test_words_of_blocks():
@@ -92,3 +94,15 @@ def test_words_of_blocks():
         for d in range(hi - lo):
             seen.append([w.bytes_of(i).decode() for i in range(w.first[d], w.first[d + 1])])
     assert seen == [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(" ") if t and t.strip() and t[0] != " " and t[-1] != " " else (t or "").split() for t in texts]
+
+
+def test_unlinked_templates_do_not_meet(spark):
+    """Texts that share nine tenths of a template share buckets, too, but no pair of them is formed by their rare shingles."""
+    r = random.Random(4)
+    line = [f"t{i}" for i in range(200)]
+    rows = [(i, " ".join([*line, *[f"{r.random():.9f}" for _ in range(24)]])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = N.prefixes(N.documents(docs), 3, 85, 100)
+    assert found.count() > 0 and found.filter("small").count() == 0
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in N.near_duplicates(docs, k=3, num=85, den=100).collect())
+    assert got == sorted(brute(rows[:], 3, 85, 100))
