@@ -109,6 +109,54 @@ _P = r'^(\S+) - (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+) "([^"]*)" "([^"]*)" "
 _art = lambda name, col: f"SELECT page_id, body AS {col} FROM arts WHERE artifact = '{name}'"
 _T = "TIMESTAMP '2024-01-30 12:00:00'"
 
+
+
+def _list_rows(section: str, src: str, fields: dict[str, str], where: str = "true") -> str:
+    """A row per element of ``src`` and field."""
+    numbered = f"(SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM {src} WHERE {where})"
+    return " UNION ALL ".join(f"SELECT page_id, '{section}' AS section, i AS pos, '{n}' AS name, CAST({e} AS VARCHAR) AS value FROM {numbered}" for n, e in fields.items())
+
+
+_link = {"href": "href", "full_url": "full_url", "text": "text", "title": "title", "rel": "array_to_string(regexp_extract_all(coalesce(rel, ''), '\\S+'), ' ')", "target": "target"}
+_once = {"original_url": "original_url", "scraped_at": "scraped_at", "title": "title", "s3_location": "s3_location", "canonical_url": "canonical_url", "word_count": "word_count"}
+_stat = {
+    "links_count": "links", "inline_styles_count": "styled_elements", "internal_stylesheets_count": "internal_css", "external_stylesheets_count": "external_css",
+    "inline_scripts_count": "inline_scripts", "external_scripts_count": "external_scripts",
+}
+_speed = {
+    "total_images": "total_images", "images_without_alt": "images_without_alt", "total_scripts": "total_scripts", "total_stylesheets": "total_stylesheets",
+    "inline_styles": "styled_elements", "total_links": "links",
+}
+_flags = {"google_analytics": "ga", "facebook_pixel": "fb", "gtm": "gtm", "hotjar": "hj", "mixpanel": "mp"}
+_summary = [
+    ("total_tracking_tools", "total"), *[(f"has_{k}", f"{c} > 0") for k, c in _flags.items()],
+    ("has_social_tracking", "page_id IN (SELECT page_id FROM meta WHERE contains(lower(name), 'facebook') OR contains(lower(name), 'fb:') OR contains(lower(name), 'twitter'))"),
+    ("tracking_intensity", "CASE WHEN total = 0 THEN 'None' WHEN total = 1 THEN 'Light' WHEN total <= 3 THEN 'Moderate' WHEN total <= 5 THEN 'Heavy' ELSE 'Very Heavy' END"),
+]
+METADATA_ROWS = " UNION ALL ".join(
+    [
+        *[f"SELECT page_id, 'page' AS section, 0::BIGINT AS pos, '{n}' AS name, CAST({e} AS VARCHAR) AS value FROM mdoc" for n, e in _once.items()],
+        *[f"SELECT page_id, 'page', 0, '{n}', {c} FROM direct" for n, c in (("robots_directive", "robots"), ("language", "language"), ("charset", "charset"), ("viewport", "viewport"))],
+        *[f"SELECT page_id, 'page', 0, '{n}', {n} FROM firsts" for n in ("favicon", "sitemap")],
+        *[f"SELECT page_id, 'stats', {i}, '{n}', CAST({e} AS VARCHAR) FROM cnt" for i, (n, e) in enumerate(_stat.items(), 1)],
+        *[f"SELECT page_id, 'page_speed_indicators', {i}, '{n}', CAST({e} AS VARCHAR) FROM cnt" for i, (n, e) in enumerate(_speed.items(), 1)],
+        *[
+            f"SELECT page_id, '{n}', row_number() OVER (PARTITION BY page_id ORDER BY pos), name, content FROM meta WHERE starts_with(name, '{p}')"
+            for n, p in (("meta_tags", ""), ("open_graph", "og:"), ("twitter_cards", "twitter:"))
+        ],
+        "SELECT page_id, 'keyword_density', rank, word, CAST(cnt AS VARCHAR) FROM kw",
+        "SELECT page_id, 'headings', row_number() OVER (PARTITION BY page_id, level ORDER BY pos), 'h' || level, text FROM head",
+        _list_rows("images", "img", {k: k for k in ("src", "alt", "title", "width", "height", "loading", "decoding")}),
+        _list_rows("internal_links", "a", _link, "internal"),
+        _list_rows("external_links", "a", _link, "NOT internal"),
+        _list_rows("social_links", "a", _link, "social"),
+        _list_rows("rss_feeds", "feed", {k: k for k in ("href", "title", "type")}),
+        _list_rows("analytics", "hit", {"type": "type", "src": "src", "content_preview": "preview"}),
+        *[f"SELECT page_id, 'analytics_summary', {i}, '{n}', CAST({e} AS VARCHAR) FROM tools" for i, (n, e) in enumerate(_summary, 1)],
+    ]
+)
+CTES["sw"] = f"SELECT DISTINCT {key('url')} AS site, word FROM kw JOIN pg ON pg.page_id = kw.page_id"
+
 SQL = {
     "write_bundle": "SELECT page_id, artifact, 'scraped_sites/page_' || page_id || '/' || artifact AS key, body FROM arts",
     "bundle_css": _art("styles.css", "css"),
@@ -127,7 +175,7 @@ SQL = {
     "report_analytics": "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o, p) AS pos, kind, type, id, src FROM ("
     "SELECT page_id, 0 AS o, script AS p, 'tracker' AS kind, tool AS type, id, src FROM trk WHERE tool = 'other_tracking' OR id IS NOT NULL"
     " UNION ALL SELECT page_id, 1, pos, 'script', type, NULL, src FROM hit)",
-    "report_metadata": "SELECT page_id, original_url, title, links_count, word_count FROM mdoc",
+    "report_metadata": f"SELECT * FROM ({METADATA_ROWS}) WHERE value IS NOT NULL",
     "report_seo_text": _art("seo_report.txt", "text"),
     "opt_snapshot": "SELECT m.page_id, url AS original_url, title, links, styled_elements AS inline_styles, internal_css, inline_scripts,"
     " html[1:2000] || '...' AS content_preview, 'general_enhancement' AS optimization_type, unnest(['developer', 'marketer', 'shopper']) AS user_profile FROM m",
@@ -148,6 +196,10 @@ SQL = {
         for i, f in enumerate(_F)
     )
     + " FROM access_lines",
+    "access_log_files": "SELECT "
+    + ", ".join(f"{'CAST(' if f in ('status', 'body_bytes_sent') else ''}regexp_extract(line, '{_P}', {i + 1}){' AS BIGINT)' if f in ('status', 'body_bytes_sent') else ''} AS {f}" for i, f in enumerate(_F))
+    + f" FROM access_lines WHERE regexp_matches(line, '{_P}')",
+    "access_log_malformed": f"SELECT line FROM access_lines WHERE NOT regexp_matches(line, '{_P}')",
     "log_slices": f"SELECT count(*) FILTER (WHERE ts <= {_T} AND ts > {_T} - INTERVAL 24 HOUR) AS last_24h, count(*) FILTER (WHERE ts <= {_T} AND ts > {_T} - INTERVAL 1 HOUR) AS last_1h,"
     f" count(*) FILTER (WHERE ts <= {_T} AND CAST(ts AS DATE) = CAST({_T} AS DATE)) AS today, count(*) FILTER (WHERE ts <= {_T}) AS all_lines FROM requests",
     "missing_meta_audit": "SELECT site_key, count(*) AS pages, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in _misses)
@@ -159,6 +211,9 @@ SQL = {
     " CASE WHEN headings > 15 THEN 'Deep' WHEN headings > 5 THEN 'Medium' ELSE 'Shallow' END AS content_depth FROM m) GROUP BY CUBE (content_type, content_depth)",
     "shared_keywords": f"SELECT word, count(DISTINCT {key('url')}) AS sites, count(*) AS pages, sum(cnt)::BIGINT AS uses FROM kw JOIN pg ON pg.page_id = kw.page_id"
     f" GROUP BY word HAVING count(DISTINCT {key('url')}) > 1",
+    "site_similarity": "SELECT site_a, site_b, shared, shared / (na + nb - shared) AS jaccard FROM (SELECT x.site AS site_a, y.site AS site_b, count(*) AS shared,"
+    " (SELECT count(*) FROM sw WHERE site = x.site) AS na, (SELECT count(*) FROM sw WHERE site = y.site) AS nb"
+    " FROM sw x JOIN sw y ON x.word = y.word AND x.site < y.site GROUP BY x.site, y.site) WHERE 10 * shared >= 3 * (na + nb - shared)",
     "link_opportunities": "SELECT src_site, dst_site, links FROM edge",
     "link_degrees": "SELECT site_key, count(*) FILTER (WHERE o) AS out_sites, count(*) FILTER (WHERE NOT o) AS in_sites,"
     " coalesce(sum(links) FILTER (WHERE o), 0)::BIGINT AS out_links, coalesce(sum(links) FILTER (WHERE NOT o), 0)::BIGINT AS in_links"

@@ -77,9 +77,11 @@ SQL = {
     " 'completed' AS status, 1::BIGINT AS pages_scraped FROM (SELECT *, row_number() OVER (PARTITION BY user_email, site"
     " ORDER BY scraped_at DESC, page_id DESC) AS rn FROM tit WHERE user_email IS NOT NULL) WHERE rn = 1",
     "sites_by_profile": "SELECT DISTINCT user_profile, site AS site_key FROM opt",
-    "site_summary": "SELECT site_key, t.first AS first_scraped, coalesce(t.c, 0) AS scrapes, coalesce(o.c, 0) AS optimizations, t.last AS latest_scrape,"
+    "site_summary": "SELECT 'site' AS kind, site_key, t.first AS first_scraped, coalesce(t.c, 0) AS scrapes, coalesce(o.c, 0) AS optimizations, t.last AS latest_scrape,"
     " t.title, o.last AS latest_optimization, o.prof AS latest_profile FROM sites_all LEFT JOIN (SELECT site, count(*) AS c, min(scraped_at) AS first,"
     " max(scraped_at) AS last, arg_max(coalesce(title, chr(1)), scraped_at) AS title FROM tit GROUP BY site) t ON t.site = site_key LEFT JOIN"
-    " (SELECT site, count(*) AS c, max(optimized_at) AS last, arg_max(user_profile, optimized_at) AS prof FROM opt GROUP BY site) o ON o.site = site_key",
+    " (SELECT site, count(*) AS c, max(optimized_at) AS last, arg_max(user_profile, optimized_at) AS prof FROM opt GROUP BY site) o ON o.site = site_key"
+    " UNION ALL SELECT * FROM (SELECT type, site, NULL, NULL, NULL, CASE WHEN type = 'scrape' THEN happened_at END, NULL,"
+    " CASE WHEN type <> 'scrape' THEN happened_at END, user_profile FROM act ORDER BY happened_at DESC, type, record LIMIT 5)",
 }
 SQL = {k: sql(v) for k, v in SQL.items()}

@@ -99,6 +99,42 @@ def content_compare(parsed: DataFrame) -> DataFrame:
     )
 
 
+def site_similarity(parsed: DataFrame, num: int = 3, den: int = 10) -> DataFrame:
+    """Pairs of sites whose sets of keywords have a Jaccard similarity of at least ``num / den``: shared words and similarity.
+
+    Words are ordered from rare to frequent. Similar sets share one of the first few words of each, the smaller set one of even
+    fewer, since nearly all of it must lie in the other; a word that a third of all sites have comes last in nearly every set and
+    pairs nobody. Sizes and places bound the overlap; what is left is counted word by word.
+    """
+    words = rows(parsed, E.keywords(), keep=["page_id", "url"]).select(F.col("e.word").alias("word"), _site()).distinct()
+    words = materialize(words, "site-words")
+    often = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word-sites")
+    sizes = materialize(words.groupBy("site_key").agg(F.count(F.lit(1)).alias("n")), "site-sizes")
+    place = F.row_number().over(Window.partitionBy("site_key").orderBy("df", "word")) - 1
+    ranked = words.join(often.filter("df > 1"), "word").select("word", "site_key", place.alias("shared_place"))
+    # words of one site alone come first in the order; they pair nobody, but take their places
+    own = ranked.groupBy("site_key").agg(F.count(F.lit(1)).alias("common"))
+    ranked = ranked.join(own, "site_key").join(sizes, "site_key").withColumn("at", F.col("n") - F.col("common") + F.col("shared_place"))
+    left = F.col("n") - F.col("at")  # words from this one on
+    prefix = ranked.filter(den * left >= num * F.col("n")).select("word", "site_key", "n", "at", ((num + den) * left >= 2 * num * F.col("n")).alias("small"))
+    prefix = materialize(prefix, "rare-words")
+    x = prefix.filter("small").select("word", F.col("site_key").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = prefix.select("word", F.col("site_key").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    fits = (
+        (F.struct("nx", "x") < F.struct("ny", "y"))
+        & (den * F.col("nx") >= num * F.col("ny"))
+        & ((num + den) * most >= num * (F.col("nx") + F.col("ny")))
+    )
+    pairs = materialize(x.join(y, "word").filter(fits).select("x", "nx", "y", "ny").distinct(), "site-pairs")
+    a, b = (words.select("word", F.col("site_key").alias(s)) for s in ("x", "y"))
+    shared = pairs.join(a, "x").join(b, ["y", "word"]).groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("shared"))
+    united = F.col("nx") + F.col("ny") - F.col("shared")
+    return shared.filter(den * F.col("shared") >= num * united).select(
+        F.least("x", "y").alias("site_a"), F.greatest("x", "y").alias("site_b"), "shared", (F.col("shared") / united).alias("jaccard")
+    )
+
+
 def shared_keywords(parsed: DataFrame) -> DataFrame:
     """Keywords used by more than one site: how many sites and pages.
 

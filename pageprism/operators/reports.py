@@ -184,6 +184,54 @@ def bundle_metadata(location: Column) -> Column:
     )
 
 
+_FIELDS = {
+    "images": ["src", "alt", "title", "width", "height", "loading", "decoding"],
+    "internal_links": ["href", "full_url", "text", "title", "rel", "target"],
+    "external_links": ["href", "full_url", "text", "title", "rel", "target"],
+    "social_links": ["href", "full_url", "text", "title", "rel", "target"],
+    "rss_feeds": ["href", "title", "type"],
+    "analytics": ["type", "src", "content_preview"],
+}
+_MAPS = ["meta_tags", "open_graph", "twitter_cards", "keyword_density", "page_speed_indicators"]
+_TEXTS = ["canonical_url", "robots_directive", "language", "charset", "viewport", "favicon", "sitemap", "word_count"]
+
+
+def metadata_schema() -> str:
+    """Of the metadata document, as DDL."""
+    lists = [f"{k}: array<struct<{', '.join(f'{f}: ' + ('array<string>' if f == 'rel' else 'string') for f in v)}>>" for k, v in _FIELDS.items()]
+    parts = [
+        *[f"{k}: map<string,string>" for k in _MAPS], *lists, *[f"{k}: string" for k in _TEXTS], "headings: map<string,array<string>>",
+        "detailed_analytics: struct<analytics_summary: map<string,string>>",
+    ]
+    return f"original_url string, scraped_at string, title string, s3_location string, stats map<string,string>, seo_metadata struct<{', '.join(parts)}>"
+
+
+def metadata_rows(bundles: DataFrame) -> DataFrame:
+    """The whole metadata document (``page_id``, ``body``) as rows: ``section``, ``pos`` (from 1; 0 for single values), ``name``, ``value``.
+
+    Lists give a row per element and field, maps a row per entry, in their order. Nulls are left out.
+    """
+    doc = bundles.select("page_id", F.from_json("body", metadata_schema()).alias("d"))
+    seo = lambda k: F.col(f"d.seo_metadata.{k}")
+    row = lambda section, pos, name, value: F.struct(
+        F.lit(section).alias("section"), pos.cast("bigint").alias("pos"), name.alias("name"), value.cast("string").alias("value")
+    )
+    of_map = lambda k, m: F.transform(F.map_entries(m), lambda e, i: row(k, i + 1, e["key"], e["value"]))
+    text = lambda x, f: F.array_join(x[f], " ") if f == "rel" else x[f]
+
+    def of_list(k: str, fields: list[str]) -> Column:
+        return F.flatten(F.transform(seo(k), lambda x, i: F.array(*[row(k, i + 1, F.lit(f), text(x, f)) for f in fields])))
+
+    single = [row("page", F.lit(0), F.lit(k), F.col(f"d.{k}")) for k in ("original_url", "scraped_at", "title", "s3_location")]
+    single += [row("page", F.lit(0), F.lit(k), seo(k)) for k in _TEXTS]
+    heads = F.flatten(F.transform(F.map_entries(seo("headings")), lambda e: F.transform(e["value"], lambda t, i: row("headings", i + 1, e["key"], t))))
+    parts = [
+        F.array(*single), of_map("stats", F.col("d.stats")), *[of_map(k, seo(k)) for k in _MAPS], heads, *[of_list(k, f) for k, f in _FIELDS.items()],
+        of_map("analytics_summary", seo("detailed_analytics.analytics_summary")),
+    ]
+    return doc.select("page_id", F.explode(F.concat(*parts)).alias("r")).select("page_id", "r.*").filter("value IS NOT NULL")
+
+
 def prepared(parsed: DataFrame) -> DataFrame:
     """Parsed pages with the columns that several reports read."""
     return parsed.withColumns({"meta_dict": E.meta_dict(), "keywords": E.keywords()})

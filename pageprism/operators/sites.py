@@ -148,8 +148,8 @@ def sites_by_profile(optimizations: DataFrame) -> DataFrame:
     return with_site(optimizations, "original_url").select("user_profile", "site_key").distinct()
 
 
-def site_summary(scrapes: DataFrame, optimizations: DataFrame) -> DataFrame:
-    """Per site the counts and the last record of each kind."""
+def site_summary(scrapes: DataFrame, optimizations: DataFrame, latest: int = 5) -> DataFrame:
+    """Per site the counts and the last record of each kind (``kind`` site), and the ``latest`` events of all sites (scrape, optimization)."""
     s = with_site(scrapes, "url").groupBy("site_key").agg(
         F.count(F.lit(1)).alias("scrapes"),
         F.min("scraped_at").alias("first_scraped"),
@@ -159,7 +159,8 @@ def site_summary(scrapes: DataFrame, optimizations: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("optimizations"),
         F.max_by(F.struct("optimized_at", "user_profile"), F.struct("optimized_at", "opt_id")).alias("last_opt"),
     )
-    return s.join(o, "site_key", "full_outer").select(
+    sites = s.join(o, "site_key", "full_outer").select(
+        F.lit("site").alias("kind"),
         "site_key",
         "first_scraped",
         F.coalesce("scrapes", F.lit(0)).alias("scrapes"),
@@ -169,3 +170,14 @@ def site_summary(scrapes: DataFrame, optimizations: DataFrame) -> DataFrame:
         F.col("last_opt.optimized_at").alias("latest_optimization"),
         F.col("last_opt.user_profile").alias("latest_profile"),
     )
+    events = recent_activity(scrapes, optimizations, latest)
+    return sites.unionByName(
+        events.select(
+            F.col("type").alias("kind"),
+            F.col("site").alias("site_key"),
+            F.when(F.col("type") == "scrape", F.col("happened_at")).alias("latest_scrape"),
+            F.when(F.col("type") != "scrape", F.col("happened_at")).alias("latest_optimization"),
+            F.col("user_profile").alias("latest_profile"),
+        ),
+        allowMissingColumns=True,
+    )

@@ -83,10 +83,10 @@ def over_limit(requests: DataFrame, unit: str, limit: int) -> DataFrame:
     )
 
 
-def parse_access_log(lines: DataFrame) -> DataFrame:
-    """Log lines to fields; ``ok`` is false for lines of another form."""
+def parse_access_log(lines: DataFrame, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Log lines to fields, behind the columns ``keep``; ``ok`` is false for lines of another form."""
     fields = [F.nullif(F.regexp_extract("line", LOG_PATTERN, i + 1), F.lit("")).alias(f) for i, f in enumerate(LOG_FIELDS)]
-    return lines.select("event_id", F.col("line").rlike(LOG_PATTERN).alias("ok"), *fields).withColumns(
+    return lines.select(*keep, F.col("line").rlike(LOG_PATTERN).alias("ok"), *fields).withColumns(
         {c: F.col(c).cast("bigint") for c in ("status", "body_bytes_sent")}
     )
 

@@ -78,7 +78,7 @@ QUERIES = {
     "project_seo_csv": lambda s, sf: R.project_seo_csv(view(s, sf, "projects"), logged(s, sf)),
     "report_analysis": lambda s, sf: R.report_analysis(logged(s, sf)),
     "report_analytics": on_pages(R.report_analytics),
-    "report_metadata": lambda s, sf: bundle_metadata(s, sf).select("page_id", "original_url", "title", "links_count", "word_count"),
+    "report_metadata": lambda s, sf: R.metadata_rows(bundle(s, sf, "metadata.json")),
     "report_seo_text": _artifact("seo_report.txt", "text"),
     "opt_snapshot": on_pages(lambda p: R.opt_snapshot(p, PROFILES)),
     "request_rate_5m": lambda s, sf: W.request_rate(requests(s, sf)),
@@ -99,6 +99,7 @@ QUERIES = {
     "competitor_compare": on_pages(C.competitor_compare),
     "content_compare": on_pages(C.content_compare),
     "shared_keywords": on_pages(C.shared_keywords),
+    "site_similarity": on_pages(C.site_similarity),
     "link_opportunities": on_pages(C.site_links),
     "link_degrees": on_pages(C.link_degrees),
     "tracker_adoption": on_pages(C.tracker_adoption),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import site_key
 from ..operators import reports as R
-from ..sources import readers, sinks
+from ..sources import logs, readers, sinks
 from ..sources.fixtures import view
 from ..sources.stored import StoredTable
 from ..streaming import incremental as I
@@ -60,6 +60,25 @@ def read_text_doc(s: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.explode(F.split("body", "\n")).alias("line")).filter("line <> ''")
 
 
+def _followed_logs(s: SparkSession, sf: str) -> str:
+    """The log lines in rotated files, some of which come after the first were taken."""
+    path, out = sinks.work_dir(s, "logs"), sinks.work_dir(s, "log-tables")
+    lines = view(s, sf, "access_lines")
+    for n in range(2):
+        part = lines.filter(F.col("event_id") % 2 == n).select("line").repartition(2)
+        part.write.text(f"{path}/access.log.{n}", compression=("none", "gzip")[n])
+        logs.follow_logs(s, f"{path}/access.log.*", out, files="part-*")
+    return out
+
+
+def access_log_files(s: SparkSession, sf: str) -> DataFrame:
+    return s.read.parquet(f"{_followed_logs(s, sf)}/parsed").drop("batch", "file")
+
+
+def access_log_malformed(s: SparkSession, sf: str) -> DataFrame:
+    return s.read.parquet(f"{_followed_logs(s, sf)}/malformed").select("line")
+
+
 def list_objects(s: SparkSession, sf: str) -> DataFrame:
     """Which artifact folders a written bundle has files in, and how many pages these hold."""
     path = sinks.work_dir(s, "bundle")
@@ -106,6 +125,8 @@ def delete_prefix(s: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "scan_tracker_json": scan_tracker_json,
     "read_text_doc": read_text_doc,
+    "access_log_files": access_log_files,
+    "access_log_malformed": access_log_malformed,
     "list_objects": list_objects,
     "site_dirs": lambda s, sf: sinks.site_dirs(keys(s, sf)),
     "files_per_dir": lambda s, sf: sinks.files_per_dir(keys(s, sf), BUCKET),
