@@ -155,6 +155,22 @@ METADATA_ROWS = " UNION ALL ".join(
         *[f"SELECT page_id, 'analytics_summary', {i}, '{n}', CAST({e} AS VARCHAR) FROM tools" for i, (n, e) in enumerate(_summary, 1)],
     ]
 )
+
+
+def _burst(rate: int, burst: int) -> str:
+    """Every client's requests one after the other: a recursion with a step for the k-th request of each client."""
+    full = burst * 1000
+    level = f"greatest(s.level - {rate} * (r.ms - s.ms), -1000)"
+    return (
+        "WITH RECURSIVE r AS MATERIALIZED (SELECT event_id, CAST(client AS VARCHAR) AS client, ts, epoch_ms(ts) AS ms,"
+        " row_number() OVER (PARTITION BY client ORDER BY epoch_ms(ts), event_id) AS k FROM busy_requests),"
+        " s AS (SELECT event_id, client, ts, ms, k, 0::BIGINT AS excess, 0::BIGINT AS level FROM r WHERE k = 1"
+        f" UNION ALL SELECT r.event_id, r.client, r.ts, r.ms, r.k, {level} + 1000, CASE WHEN {level} + 1000 > {full} THEN {level} ELSE {level} + 1000 END"
+        " FROM s JOIN r ON r.client = s.client AND r.k = s.k + 1)"
+        f" SELECT event_id, client, ts, excess, CASE WHEN excess > {full} THEN 'rejected' WHEN excess > 0 THEN 'delayed' ELSE 'allowed' END AS decision FROM s"
+    )
+
+
 CTES["sw"] = f"SELECT DISTINCT {key('url')} AS site, word FROM kw JOIN pg ON pg.page_id = kw.page_id"
 
 SQL = {
@@ -196,6 +212,8 @@ SQL = {
         for i, f in enumerate(_F)
     )
     + " FROM access_lines",
+    "rate_limit_burst": f"SELECT * FROM ({_burst(10, 20)})",
+    "rate_limit_burst_scrape": f"SELECT * FROM ({_burst(2, 5)})",
     "access_log_files": "SELECT "
     + ", ".join(f"{'CAST(' if f in ('status', 'body_bytes_sent') else ''}regexp_extract(line, '{_P}', {i + 1}){' AS BIGINT)' if f in ('status', 'body_bytes_sent') else ''} AS {f}" for i, f in enumerate(_F))
     + f" FROM access_lines WHERE regexp_matches(line, '{_P}')",

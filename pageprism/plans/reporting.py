@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators.burst import burst_limit
 from ..operators import reports as R
 from ..operators import windows as W
 from ..sources.fixtures import view
@@ -92,6 +93,9 @@ QUERIES = {
     "rate_limit_day_low": _limits("day", 3, busy=False),
     "rate_limit_second_low": _limits("second", 0, busy=False),
     "rate_limit_second_login": _limits("second", LOGIN_SECOND_LIMIT),
+    # fixed values: rate and burst of the interface and of scraping
+    "rate_limit_burst": lambda s, sf: burst_limit(view(s, sf, "busy_requests"), rate=10, burst=20),
+    "rate_limit_burst_scrape": lambda s, sf: burst_limit(view(s, sf, "busy_requests"), rate=2, burst=5, block="1 minute"),
     "access_log_parse": lambda s, sf: W.parse_access_log(view(s, sf, "access_lines")),
     "log_slices": lambda s, sf: W.log_slices(requests(s, sf), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")),
     "missing_meta_audit": on_pages(C.missing_meta_audit),
