@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,25 +84,31 @@ def fit(
     What reaches the driver are the terms of the sample, four bytes each.
     """
     sample = materialize(term_sets(labelled_sample(documents(docs), labels, label, per_class)), "terms")
-    sizes = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", F.size("terms").alias("n")).toPandas().sort_values(["h", "doc_id", "y"])
+    h = F.xxhash64("doc_id")
+    key = ["h", "doc_id", "y"]
+    sizes = sample.select(h.alias("h"), "doc_id", "y", F.size("terms").alias("n")).toPandas().sort_values(key)
     inside = sizes["n"].cumsum() <= sample_terms
     if not inside.all():
         last = sizes[inside].iloc[-1] if inside.any() else sizes.iloc[0]
-        h, i = F.xxhash64("doc_id"), F.col("doc_id")
+        i = F.col("doc_id")
         same = (i < int(last["doc_id"])) | ((i == int(last["doc_id"])) & (F.col("y") <= int(last["y"])))
         sample = sample.filter((h < int(last["h"])) | ((h == int(last["h"])) & same))
-    rows = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "terms").toPandas().sort_values(["h", "doc_id", "y"])
-    y = rows["y"].to_numpy(np.int64)
+    # one stream of Arrow batches: lists of terms stay flat arrays of four bytes a term
+    rows = sample.select(h.alias("h"), "doc_id", "y", "terms").toArrow().combine_chunks().sort_by([(k, "ascending") for k in key])
+    y = rows.column("y").to_numpy().astype(np.int64)
     n, n1 = len(y), int(y.sum())
     if n1 in (0, n):
         bias = float(np.log((n1 + 1) / (n - n1 + 1)))
         return Machine(bias, np.zeros(1 << _BITS, np.float32), np.zeros((1 << _BITS, rank), np.float32))
-    terms = [np.asarray(t, np.int32) for t in rows["terms"]]
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-    flat = np.concatenate(terms)
-    used, places = np.unique(flat, return_inverse=True)
-    has = np.bincount(places, minlength=len(used))
-    bad = np.bincount(places, np.repeat(y, np.diff(ends)), len(used))
+    lists = rows.column("terms").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    flat = lists.flatten().to_numpy()
+    has = np.bincount(flat, minlength=1 << _BITS)
+    used = np.flatnonzero(has)
+    bad = np.bincount(flat[np.repeat(y == 1, np.diff(ends))], minlength=1 << _BITS)[used]
+    place = np.zeros(1 << _BITS, np.int32)
+    place[used] = np.arange(len(used))
+    places, has = place[flat], has[used]
     due = has * (n1 / n)
     error = np.sqrt(due * (1 - n1 / n) + 1)
     value = np.minimum(np.abs(bad - due) / error, _MOST) / _ERRORS + 2 * _SPREAD * np.sqrt(has / n * (1 - has / n))
