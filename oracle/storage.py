@@ -20,6 +20,9 @@ SQL = {
     " AND split_part(key, '/', 2) NOT IN (SELECT 'page_' || page_id FROM fetched_pages WHERE url LIKE 'ftp%')",
     "stream_request_counts": "SELECT method, window_start, count(*) AS requests FROM (SELECT method, time_bucket(INTERVAL '5 minutes', ts) AS window_start FROM requests)"
     " WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL",
+    # windows of fewer values than a sketch holds are exact
+    "stream_latency_quantiles": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS requests, quantile_disc(latency, 0.95) AS quantile FROM requests"
+    " GROUP BY 1 HAVING time_bucket(INTERVAL '5 minutes', any_value(ts)) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE",
     # the watermark before a batch is ten minutes before the highest time of the batches before it
     "stream_late_requests": "SELECT * FROM (WITH d AS (SELECT day, ntile(3) OVER (ORDER BY day) AS span FROM (SELECT DISTINCT ts::DATE AS day FROM requests)),"
     " r AS (SELECT requests.*, unnest(CASE WHEN event_id % 11 = 0 THEN [4] WHEN event_id % 7 = 0 THEN [span, 4] ELSE [span] END) AS arrival"

@@ -11,6 +11,8 @@ from ..sources import logs, readers, sinks
 from ..sources.fixtures import view
 from ..sources.stored import StoredTable
 from ..streaming import incremental as I
+from ..streaming import sketches
+from .extraction import parsed
 from .reporting import logged
 from .tracking import BUCKET, log
 
@@ -139,4 +141,6 @@ QUERIES = {
     "stream_health_history": I.stream_health_history,
     "stream_request_counts": I.stream_request_counts,
     "stream_late_requests": I.stream_late_requests,
+    "stream_latency_quantiles": sketches.stream_latency_quantiles,
+    "tracker_adoption_days": lambda s, sf: sketches.tracker_adoption_days(s, parsed(s, sf), "2025-01-02", "2025-03-31"),
 }

@@ -8,6 +8,8 @@ from oracle.catalog import all_sql
 from pageprism.plans.catalog import all_queries
 
 QUERIES, SQL = all_queries(), all_sql()
+#: Estimates; test_sketches.py holds them against their stated error.
+ESTIMATES = {"tracker_adoption_days"}
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +18,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | ESTIMATES and not set(SQL) & ESTIMATES
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query(spark, con, name):
     state, _, _ = compare(spark, con, QUERIES[name], SQL[name], SF)
     assert state == "ok"
