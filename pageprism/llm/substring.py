@@ -5,13 +5,16 @@ an index of content-defined blocks: of each window of ``window`` words the
 least 16-word gram is its anchor, and the run of windows around one anchor is a
 block (up to 35 windows). The same window has the same anchor wherever it
 stands, so an index by anchor finds every occurrence, and only blocks, about
-one per 18 words, are shuffled.
+one per 18 words, are shuffled. Each block carries the place where it stands first in the
+reference: the smallest document, and the word in it.
 
-A document is parsed greedily: a block that a smaller document has, too, is
-taken whole, consecutive blocks join into one factor. Where an anchor stands in
-unequal blocks, a factor may begin or end inside: at these boundaries the single
-windows are looked up as well. All windows of a factor of at least ``window``
-words are duplicates; the words they cover are the spans.
+A document is parsed from left to right into factors (start, length, reference
+document, place): a factor begins with a window that the reference has, and goes on
+word by word as long as the reference of the next window goes on in the same
+document at the next word. Where an anchor stands in unequal blocks, a factor may
+begin or end inside a block: at these boundaries the single windows are
+looked up as well. The words of factors, all at least ``window`` long, are the
+duplicate spans. Windows that lie across the end of a factor are checked, too, so factors may overlap.
 
 Grouped minima with map-side combine and joins split by adaptive execution do
 the rest: a passage in a third of all documents is one row per task before the
@@ -25,13 +28,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageprism.llm import words as W
 from pageprism.llm.common import documents, in_arrow, materialize
 
 _LAST = (1 << 63) - 1
+_PART = "struct<i:int,n:int,doc:bigint,place:int>"
+_FACTOR = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+#: Windows in a block at most.
+_ALL = 63
 
 
 class Blocks(NamedTuple):
@@ -80,7 +88,7 @@ def content_blocks(words: W.Words, window: int, gram: int) -> Blocks:
 
 
 def _index(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc``, ``t``, ``anchor``, ``block``: the distinct blocks of each document."""
+    """``doc``, ``t``, ``anchor``, ``block``, ``low``: the distinct blocks of each document and the word at which each begins first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,15 +104,16 @@ def _index(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     [
                         pa.array(ids[lo:hi][b.row[order]]), pa.array(marks[lo:hi][b.row[order]]),
                         pa.array(W.signed(b.anchor[order])), pa.array(W.signed(b.key[order])),
+                        pa.array((b.low[order] - words.first[b.row[order]]).astype(np.int32)),
                     ],
-                    names=["doc", "t", "anchor", "block"],
+                    names=["doc", "t", "anchor", "block", "low"],
                 )
 
-    return in_arrow(texts, run, "doc bigint, t int, anchor bigint, block bigint")
+    return in_arrow(texts, run, "doc bigint, t int, anchor bigint, block bigint, low int")
 
 
 def _windows(wanted: DataFrame, window: int, gram: int) -> DataFrame:
-    """Every window of the wanted blocks, looked up in the smallest document that has the block."""
+    """Every window of the wanted blocks, looked up in the smallest document that has the block, and the word at which it begins there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,67 +137,91 @@ def _windows(wanted: DataFrame, window: int, gram: int) -> DataFrame:
                     [
                         pa.array(W.signed(b.anchor[owner])), pa.array(W.signed(b.key[owner])), pa.array(at.astype(np.int32)),
                         pa.array(W.signed(b.windows[b.low[owner] + at])), pa.array(first[lo:hi][b.row[owner]]),
+                        pa.array((b.low[owner] + at - words.first[b.row[owner]]).astype(np.int32)),
                     ],
-                    names=["anchor", "block", "i", "w", "first"],
+                    names=["anchor", "block", "i", "w", "first", "place"],
                 )
 
-    return in_arrow(wanted, run, "anchor bigint, block bigint, i int, w bigint, first bigint")
+    return in_arrow(wanted, run, "anchor bigint, block bigint, i int, w bigint, first bigint, place int")
 
 
 def _parse(flagged: DataFrame, window: int, gram: int) -> DataFrame:
-    """Spans and remaining text of each document from the masks of its blocks."""
+    """Factors, spans and remaining text of each document from the known parts of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, keys, masks = batch.columns
-            n_words, spans, kept = [], [], []
+            ids, texts, keys, parts = batch.columns
+            n_words, spans, factors, kept = [], [], [], []
             raw = texts.fill_null("").cast(pa.binary()).to_pylist()
             has = np.asarray(keys.is_valid())
             for row, text in enumerate(raw):
                 words = text.split()  # of bytes: at ASCII white space
                 n_words.append(len(words))
-                found: list[tuple[int, int]] = []
+                own: list[tuple[int, int, int, int]] = []
                 if has[row]:
-                    found = _factors(texts.slice(row, 1), keys[row].values, masks[row].values, window, gram)
-                    rest, last = [], 0
+                    own = _factors(texts.slice(row, 1), keys[row].values, parts[row].values, window, gram)
+                    found, rest, last = _covered(own), [], 0
                     for a, z in found:
                         rest += words[last:a]
                         last = z
                     words = rest + words[last:]
-                spans.append([{"start": a, "end": z} for a, z in found])
+                    spans.append([{"start": a, "end": z} for a, z in found])
+                else:
+                    spans.append([])
+                factors.append([dict(zip(("start", "length", "doc", "place"), f, strict=True)) for f in own])
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids, pa.array(n_words, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    ids, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(factors, pa.list_(_FACTOR)),
                     pa.array(kept, pa.binary()).cast(pa.string(), safe=False),
                 ],
-                names=["doc_id", "n_words", "spans", "kept_text"],
+                names=["doc_id", "n_words", "spans", "factors", "kept_text"],
             )
 
-    return in_arrow(flagged, run, "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept_text string")
+    schema = (
+        "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>,"
+        " factors array<struct<start:bigint,length:bigint,doc:bigint,place:bigint>>, kept_text string"
+    )
+    return in_arrow(flagged, run, schema)
+
 
+def _covered(factors: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Word spans that factors (in order of start) cover."""
+    out: list[tuple[int, int]] = []
+    for start, length, _, _ in factors:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], start + length))
+        else:
+            out.append((start, start + length))
+    return out
 
-def _factors(text: pa.Array, keys: pa.Array, masks: pa.Array, window: int, gram: int) -> list[tuple[int, int]]:
-    """Word spans that the factors of one document cover."""
-    known, mask = np.asarray(keys).view(np.uint64), np.asarray(masks).view(np.uint64)
+
+def _factors(text: pa.Array, keys: pa.Array, parts: pa.Array, window: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, reference document, place) of the factors of one document."""
+    known = np.asarray(keys).view(np.uint64)
+    ends, flat = np.asarray(parts.offsets), parts.values
+    i, n, doc, place = (np.asarray(flat.field(f)) for f in ("i", "n", "doc", "place"))
     order = np.argsort(known)
-    known, mask = known[order], mask[order]
+    known = known[order]
     for _, _, words in W.blocks(text, W.NOT_SPACE, lower=False):
         b = content_blocks(words, window, gram)
         spot = np.minimum(np.searchsorted(known, b.key), len(known) - 1)
         hit = np.flatnonzero(known[spot] == b.key)
-        size = b.high[hit] - b.low[hit] + 1
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        bits = (np.repeat(mask[spot[hit]], size) >> at.astype(np.uint64)) & np.uint64(1)
-        begin = (np.repeat(b.low[hit], size) + at)[bits == 1]
-        depth = np.zeros(len(words.hash) + 1, np.int64)
-        depth[begin] += 1
-        depth[begin + window] -= 1
-        covered = np.zeros(len(words.hash) + 2, bool)
-        covered[1:] = np.cumsum(depth) > 0
-        edges = np.flatnonzero(covered[1:] != covered[:-1])
-        return [(int(a), int(z)) for a, z in zip(edges[::2], edges[1::2], strict=True)]
+        own = order[spot[hit]]
+        many = ends[own + 1] - ends[own]
+        block = np.repeat(hit, many)
+        part = np.repeat(ends[own], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        begin = b.low[block] + i[part]
+        count = np.minimum(n[part], b.high[block] + 1 - begin)
+        ref, at = doc[part], place[part]
+        # parts in order; one that goes on where the one before ends, in the reference, too, is the same factor
+        down = np.argsort(begin, kind="stable")
+        begin, count, ref, at = begin[down], count[down], ref[down], at[down]
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] != begin[:-1] + count[:-1]) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + count[:-1])
+        first = np.flatnonzero(new)
+        size = np.add.reduceat(count, first) if len(first) else first
+        return list(zip(begin[first].tolist(), (size + window - 1).tolist(), ref[first].tolist(), at[first].tolist(), strict=True))
     return []
 
 
@@ -197,7 +230,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
 
     Words are runs without ASCII white space, unchanged. Per input row:
     ``doc_id``, ``n_words``, ``spans`` (start and end word of each removed
-    stretch) and ``kept_text`` (the other words, joined by one space). Windows
+    stretch), ``factors`` (``start`` and ``length`` of each copied stretch, and the ``doc`` and word, ``place``, at which it stands first) and
+    ``kept_text`` (the other words, joined by one space). Windows
     are judged on the input; repeats inside one document stay.
 
     Null and empty texts have no words, no spans and an empty kept text, as
@@ -214,13 +248,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     index = materialize(_index(texts, window, gram), "blocks")
     anchors = (
         index.groupBy("anchor")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("block").alias("p"), F.max("block").alias("q"))
-        .filter("first < last")
-        .select("anchor", "first", (F.col("p") != F.col("q")).alias("unequal"))
+        .agg(F.min(F.struct("doc", "t", "low")).alias("first"), F.max("doc").alias("last"), F.min("block").alias("p"), F.max("block").alias("q"))
+        .filter("first.doc < last")
+        .select("anchor", F.col("first.doc").alias("first"), F.col("first.low").alias("place"), (F.col("p") != F.col("q")).alias("unequal"))
     )
     # written first: a join of two tables is split at hot anchors, one with a grouping in its stage is not
     anchors = materialize(anchors, "anchors")
-    placed = materialize(index.join(anchors, "anchor").filter("unequal OR doc > first"), "placed")
+    placed = materialize(index.drop("low").join(anchors, "anchor").filter("unequal OR doc > first"), "placed")
 
     # factor boundaries: windows of the unequal blocks
     edges = placed.filter("unequal").groupBy("anchor", "block").agg(F.min("doc").alias("doc"), F.min_by("t", "doc").alias("t"))
@@ -228,19 +262,29 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     # copies of a text under one id give the same windows
     windows = _windows(texts.join(wanted, ["doc", "t"]).select("doc", "text", "blocks"), window, gram).distinct()
     windows = materialize(windows, "windows")
-    least = windows.groupBy("anchor", "w").agg(F.min("first").alias("m"))
-    known = windows.join(least, ["anchor", "w"]).groupBy("anchor", "block").agg(F.collect_list(F.struct("i", "m")).alias("ws"))
-    known = materialize(known, "known")
-    mask = F.aggregate(
-        F.filter("ws", lambda x: x["m"] < F.col("doc")),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["i"])),
-    )
-    masks = (
-        placed.filter("NOT unequal").select("doc", "t", "block", F.lit(-1).cast("bigint").alias("mask"))
-        .unionByName(placed.filter("unequal").join(known, ["anchor", "block"]).select("doc", "t", "block", mask.alias("mask")).filter("mask != 0"))
-        .groupBy("doc", "t").agg(F.collect_set(F.struct("block", "mask")).alias("found"))
-        .select("doc", "t", F.col("found.block").alias("keys"), F.col("found.mask").alias("masks"))
+    least = windows.groupBy("anchor", "w").agg(F.min(F.struct("first", "place")).alias("m"))
+    known = windows.drop("place").join(least, ["anchor", "w"]).groupBy("anchor", "block").agg(F.collect_set(F.struct("i", "m")).alias("ws"))
+    known = materialize(known.select("anchor", "block", _joined(F.sort_array("ws")).alias("parts")), "known")
+    earlier = F.filter("parts", lambda x: x["doc"] < F.col("doc"))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(_ALL).alias("n"), F.col("first").alias("doc"), F.col("place").alias("place")))
+    found = (
+        placed.filter("NOT unequal").select("doc", "t", "block", whole.cast(f"array<{_PART}>").alias("parts"))
+        .unionByName(placed.filter("unequal").join(known, ["anchor", "block"]).select("doc", "t", "block", earlier.alias("parts")).filter("size(parts) > 0"))
+        .groupBy("doc", "t").agg(F.collect_set(F.struct("block", "parts")).alias("found"))
+        .select("doc", "t", F.col("found.block").alias("keys"), F.col("found.parts").alias("parts"))
     )
-    masks = materialize(masks, "masks")
-    return _parse(own.join(masks, ["doc", "t"], "left").select("doc_id", "text", "keys", "masks"), window, gram)
+    found = materialize(found, "found")
+    return _parse(own.join(found, ["doc", "t"], "left").select("doc_id", "text", "keys", "parts"), window, gram)
+
+
+def _joined(windows: Column) -> Column:
+    """Windows (``i``, reference ``m``) in order, those that go on in the reference as one part: first window, number, document, place."""
+
+    def add(parts: Column, x: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-1))
+        goes_on = (last["i"] + last["n"] == x["i"]) & (last["doc"] == x["m"]["first"]) & (last["place"] + last["n"] == x["m"]["place"])
+        one = F.struct(x["i"].alias("i"), F.lit(1).alias("n"), x["m"]["first"].alias("doc"), x["m"]["place"].alias("place"))
+        longer = F.struct(last["i"].alias("i"), (last["n"] + 1).alias("n"), last["doc"].alias("doc"), last["place"].alias("place"))
+        return F.when(goes_on, F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(longer))).otherwise(F.concat(parts, F.array(one)))
+
+    return F.aggregate(windows, F.array().cast(f"array<{_PART}>"), add)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -31,6 +32,46 @@ def test_substrings_of_odd_documents(odd, odd_rows, window, gram):
     assert sorted(map(repr, got)) == brute_substring(odd_rows, window)
 
 
+def greedy(rows, window):
+    """Factors by a plain parse: each window's reference is the smallest document that has it, at its first word there."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        out[i], own = [], {}
+        for p in range(len(words) - window + 1):
+            w = tuple(words[p : p + window])
+            own.setdefault(w, (i, p))
+            if w in first:
+                doc, place = first[w]
+                last = out[i][-1] if out[i] else None
+                if last and last[0] + last[1] - window + 1 == p and last[2] == doc and last[3] + last[1] - window + 1 == place:
+                    last[1] += 1
+                else:
+                    out[i].append([p, window, doc, place])
+        for w, at in own.items():
+            first.setdefault(w, at)
+    return {i: [tuple(f) for f in x] for i, x in out.items()}
+
+
+def test_factors_are_a_greedy_parse(spark, sf):
+    r = random.Random(7)
+    base = [f"w{r.randint(0, 300)}" for _ in range(900)]
+    rows = []
+    for i in range(40):  # pieces of one text and of earlier documents, put together anew
+        words = []
+        for _ in range(r.randint(1, 5)):
+            source = r.choice(rows)[1].split() if rows and r.random() < 0.6 else base
+            a = r.randrange(max(1, len(source) - 5))
+            words += source[a : a + r.randint(5, 120)] + [f"x{r.randint(0, 9999)}"] * r.randint(0, 2)
+        rows.append((i, " ".join(words)))
+    given = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text").collect()]
+    for some, window, gram in ((rows, 20, 7), (rows, 12, 12), (given, 50, 16)):
+        docs = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
+        got = {x.doc_id: [tuple(f) for f in x.factors] for x in substring_dedup(docs, window, gram).collect()}
+        assert got == greedy(some, window)
+        assert any(got.values())
+
+
 def test_substrings_of_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.kept_text) for r in substring_dedup(docs).collect()]
