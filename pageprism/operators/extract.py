@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.cols import count_if_in, let, n, one_of, per_jvm, present, rows
+from ..sources.sinks import materialize
 
 NO_TITLE = "No title found"
 
@@ -413,6 +414,36 @@ def structured_data(parsed: DataFrame) -> DataFrame:
     )
 
 
+def structured_values(parsed: DataFrame) -> DataFrame:
+    """Every value in the linked-data blocks of each page: ``block`` (from 1), ``path``, ``type``, ``value``.
+
+    Objects and arrays are taken apart level by level until only plain values are left, so there are as many steps as the deepest
+    block has levels. The path joins keys and positions (from 0) by slashes, in keys ``~`` and ``/`` are written ``~0`` and ``~1``. Values are text as in
+    the block (texts without quotes), of null and empty containers null. Blocks that are no JSON are left out.
+    """
+    blocks = rows(parsed, F.transform(json_ld(), lambda b: F.struct(b.alias("text"))))
+    level = blocks.select("page_id", F.col("pos").cast("bigint").alias("block"), F.lit("").alias("path"), F.try_parse_json("e.text").alias("v"))
+    done = None
+    while True:
+        kind = F.schema_of_variant("v")
+        level = materialize(level.select("page_id", "block", "path", "v", F.regexp_extract(kind, "^[A-Z]+", 0).alias("kind")), "values")
+        holds = F.col("kind").isin("OBJECT", "ARRAY")
+        inside = level.filter(holds).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        key = F.coalesce(F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
+        deeper = inside.select("page_id", "block", F.concat("path", F.lit("/"), key).alias("path"), F.col("value").alias("v"))
+        empty = F.col("kind").isin("OBJECT", "ARRAY") & F.to_json("v").isin("{}", "[]")
+        plain = level.filter(~holds | empty)
+        name = F.when(F.col("kind") == "OBJECT", "object").when(F.col("kind") == "ARRAY", "array").when(F.col("kind") == "STRING", "string")
+        name = name.when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") == "VOID", "null").otherwise("number")
+        value = F.when(~holds, F.variant_get("v", "$", "string"))
+        found = plain.select("page_id", "block", "path", name.alias("type"), value.alias("value"))
+        done = found if done is None else done.unionByName(found)
+        if level.filter(holds).isEmpty():
+            return done
+        level = deeper
+
+
+
 def headings(parsed: DataFrame) -> DataFrame:
     return rows(parsed, F.col("headings")).select("page_id", "pos", "e.level", "e.text")
 

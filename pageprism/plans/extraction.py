@@ -36,6 +36,7 @@ QUERIES = {
     "sitemap_url": on_pages(E.sitemap_url, "link_tags"),
     "rss_feeds": on_pages(E.rss_feeds, "link_tags"),
     "structured_data": on_pages(E.structured_data, "scripts"),
+    "structured_values": on_pages(E.structured_values, "scripts"),
     "headings": on_pages(E.headings, "headings"),
     "images": on_pages(E.images, "images"),
     "links_flat": on_pages(E.links_flat, "anchors"),

@@ -110,3 +110,23 @@ def test_page_plans_do_not_move_the_text(spark, sf):
     spark.conf.unset("pageprism.parse.partitions")
     plan = all_queries()["page_title"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_nested_structured_data(spark):
+    docs = [
+        {"@graph": [{"@type": "A", "list": [1, 2.5, None, True]}, {"n": {"deep": [[], {}, "x/y"]}}], "a/b~c": "text", "none": None},
+        ["only", {"k": "v"}],
+        "plain",
+    ]
+
+    def walk(v, path=""):
+        if isinstance(v, dict | list) and v:
+            items = v.items() if isinstance(v, dict) else enumerate(v)
+            return [x for k, w in items for x in walk(w, f"{path}/{str(k).replace('~', '~0').replace('/', '~1')}")]
+        kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(v), "number")
+        return [(path, kind, None if v in ({}, [], None) else str(v).lower() if isinstance(v, bool) else str(v))]
+
+    script = "".join(f'<script type="application/ld+json">{json.dumps(d)}</script>' for d in docs) + '<script type="application/ld+json">{broken</script>'
+    page = spark.createDataFrame([(1, "http://h/", f"<html>{script}</html>")], "page_id bigint, url string, html string")
+    got = sorted((r.block, r.path, r.type, r.value or "") for r in E.structured_values(E.parse_pages(page, "scripts")).collect())
+    assert got == sorted((i, p, k, v or "") for i, d in enumerate(docs, 1) for p, k, v in walk(d))
