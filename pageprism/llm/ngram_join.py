@@ -14,7 +14,8 @@ about equally many n-grams of the corpus, so a set falls into segments.
 3. Overlaps. A pair of candidates is counted fragment by fragment: the segments
    of both in one fragment meet and give a partial overlap, wherever those of
    other fragments are counted; the sum per pair is the overlap, hence the
-   exact similarity.
+   exact similarity. The fragment of the rarest n-grams comes first: pairs that differ
+   too much in it alone are dropped before any other segment is made.
 
 Members of a key are not paired with each other: each class is first paired
 with the most central class that it shares a key with, and what that links is
@@ -32,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ from pageprism.llm.common import in_arrow, materialize, row_key
 from pageprism.llm.components import connected
 
 #: Buckets of the counts, and buckets in a row of counts.
-_BUCKETS, _SLICE = 1 << 20, 1 << 8
+_BUCKETS, _SLICE = 1 << 20, 1 << 12
+#: Rows of counts that are added at once.
+_ADDED = 64
 _SMALL, _LARGE = 1, 2  # roles of a set in a pair
 _MINE = ["d1", "d2", "n"]
 
@@ -51,10 +55,11 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 # ---- sets and their global order ---------------------------------------------------------------------------------------
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """Per text ``key``, ``n``, ``d1``, ``d2``; and per task the counts of its n-grams, in rows of ``slice`` and ``counts``."""
-    names = ["doc_id", "key", "n", "d1", "d2", "slice", "counts"]
+    """Per text ``key``, ``n``, ``d1``, ``d2``; and per task (``part``) the counts of its n-grams, in rows of ``slice`` and ``counts``."""
+    names = ["doc_id", "key", "n", "d1", "d2", "part", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         counts = np.zeros(_BUCKETS, np.int64)
         for batch in batches:
             sizes, digests = [], []
@@ -64,16 +69,17 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 sizes += [len(s) for s in sets]
                 digests += [_digest(s) if len(s) else (0, 0) for s in sets]
             d = np.array(digests, np.uint64).reshape(-1, 2)
-            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
+            none = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(W.signed(d[:, 0])), pa.array(W.signed(d[:, 1])), *none], names=names
             )
         some = np.flatnonzero(counts.reshape(-1, _SLICE).any(axis=1))
         data = [counts[i * _SLICE : (i + 1) * _SLICE].tobytes() for i in some.tolist()]
         none = [pa.nulls(len(some), pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=names)
+        own = [pa.array([part] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, *own], names=names)
 
-    return in_arrow(docs, run, "doc_id bigint, key bigint, n bigint, d1 bigint, d2 bigint, slice int, counts binary")
+    return in_arrow(docs, run, "doc_id bigint, key bigint, n bigint, d1 bigint, d2 bigint, part int, slice int, counts binary")
 
 
 def _added(counts: DataFrame, *by: str) -> DataFrame:
@@ -111,12 +117,12 @@ class Order(NamedTuple):
 def global_order(counts: DataFrame, fragments: int) -> Order:
     """The order from all rows of counts. What reaches the driver and each task is ``_BUCKETS`` numbers, however large the corpus.
 
-    Rows are added in two steps, the first of which has a share of the tasks' rows only. Rarity within one bucket
+    Rows are added in two steps, first those of a few tasks each. Rarity within one bucket
     is not told apart; the order decides how many candidates there are, never which pairs are found.
     """
-    rows = counts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64)))
     total = np.zeros(_BUCKETS, np.int64)
-    for r in _added(_added(rows, "slice", "part"), "slice").collect():
+    some = counts.withColumn("part", F.floor(F.col("part") / _ADDED))
+    for r in _added(_added(some, "slice", "part"), "slice").collect():
         total[r.slice * _SLICE : (r.slice + 1) * _SLICE] = np.frombuffer(r.counts, np.int64)
     # n-grams of one count are spread evenly over their hashes
     levels, each = np.unique(total, return_counts=True)
@@ -127,7 +133,7 @@ def global_order(counts: DataFrame, fragments: int) -> Order:
         i = min(int(np.searchsorted(upto, goal, "right")) - 1, len(levels) - 1)
         share = (goal - upto[i]) / max(upto[i + 1] - upto[i], 1.0)
         pivots.append((int(levels[i]), int(min(share, 0.999999) * 2.0**64)))
-    return Order(total, tuple(pivots))
+    return Order(np.minimum(total, 0xFFFFFFFF).astype(np.uint32), tuple(pivots))
 
 
 # ---- candidates --------------------------------------------------------------------------------------------------------
@@ -163,8 +169,7 @@ def _ranges(num: int, den: int):
 def _postings(docs: DataFrame, order: Order, k: int, num: int, den: int) -> DataFrame:
     """``d1``, ``d2``, ``n`` and arrays ``keys`` and ``info`` (place and roles) of every text with words.
 
-    A key stands for an n-gram and a range of sizes of the larger set of a pair. N-grams that no other text can have, as
-    their bucket has one, are left out.
+    A key stands for an n-gram and a range of sizes of the larger set of a pair.
     """
     salt = W.mix(np.arange(1, 4096, dtype=np.uint64))
 
@@ -177,7 +182,7 @@ def _postings(docs: DataFrame, order: Order, k: int, num: int, den: int) -> Data
                     n = len(s)
                     if not n:
                         continue
-                    o, c = order.sort(s)
+                    o, _ = order.sort(s)
                     own, after = range_of(n)
                     large = n - least_overlap(-(-num * n // den), n, num, den) + 1
                     small = n - least_overlap(n, n, num, den) + 1
@@ -188,8 +193,6 @@ def _postings(docs: DataFrame, order: Order, k: int, num: int, den: int) -> Data
                     at = np.concatenate([at, at[:beyond]])
                     roles = np.concatenate([roles, np.full(beyond, _SMALL)])
                     mark = np.concatenate([np.full(large, salt[own]), np.full(beyond, salt[own + 1])])
-                    many = c[at] > 1
-                    at, roles, mark = at[many], roles[many], mark[many]
                     digests.append(_digest(s))
                     sizes.append(n)
                     keys.append(W.mix(o[at] ^ mark))
@@ -200,28 +203,30 @@ def _postings(docs: DataFrame, order: Order, k: int, num: int, den: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(W.signed(d[:, 0])), pa.array(W.signed(d[:, 1])), pa.array(sizes, pa.int64()),
-                        pa.ListArray.from_arrays(ends, pa.array(W.signed(flat[0]))), pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(W.signed(flat[0]))), pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int32))),
                     ],
                     names=["d1", "d2", "n", "keys", "info"],
                 )
 
-    return in_arrow(docs, run, "d1 bigint, d2 bigint, n bigint, keys array<bigint>, info array<bigint>")
+    return in_arrow(docs, run, "d1 bigint, d2 bigint, n bigint, keys array<bigint>, info array<int>")
 
 
 def _members(docs: DataFrame, classes: DataFrame, order: Order, k: int, num: int, den: int) -> DataFrame:
     """``key``, ``c``, ``n``, ``at``, ``small``, ``large``: the members of the keys that more than one class has."""
-    found = materialize(_postings(docs, order, k, num, den), "postings")
-    each = found.select(*_MINE, F.explode(F.arrays_zip("keys", "info")).alias("x")).select("x.keys", *_MINE, "x.info").withColumnRenamed("keys", "key")
+    found = materialize(_postings(docs, order, k, num, den).withColumn("r", F.monotonically_increasing_id()), "postings")
+    # one row stands for a class; copies go when their keys are known to be shared
+    heads = found.groupBy(*_MINE).agg(F.min("r").alias("r")).join(classes, _MINE)
+    heads = materialize(heads.select("r", "c", "n"), "heads")
+    each = found.select("r", F.explode(F.arrays_zip("keys", "info")).alias("x")).select(F.col("x.keys").alias("key"), "r", "x.info")
     # grouped sides are written first: a join of two tables is split at hot keys, one with a grouping in its stage is not
     often = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "keys")
-    rows = each.join(often, "key").join(classes.select(*_MINE, "c"), _MINE)
-    rows = materialize(rows.select("key", "c", "n", "info").distinct(), "rows")  # copies have the same
+    rows = materialize(each.join(often, "key").join(heads, "r").select("key", "c", "n", "info"), "rows")
     often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "keys")
     info = F.col("info")
     return materialize(
         rows.join(often, "key").select(
             "key", "c", "n", "m", F.shiftright(info, 2).alias("at"),
-            (info.bitwiseAND(_SMALL) != 0).alias("small"), (info.bitwiseAND(_LARGE) != 0).alias("large"),
+            (info.bitwiseAND(F.lit(_SMALL)) != 0).alias("small"), (info.bitwiseAND(F.lit(_LARGE)) != 0).alias("large"),
         ),
         "members",
     )
@@ -231,7 +236,7 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     """Each class with the most central one it shares a key with: ``a`` (central), ``b``."""
     central = members.groupBy("c").agg(F.sum("m").alias("weight"))
     central = materialize(central, "central")
-    weighed = materialize(members.select("key", "c").distinct().join(central, "c").withColumn("top", F.struct("weight", -F.col("c"), "c")), "weighed")
+    weighed = materialize(members.select("key", "c").join(central, "c").withColumn("top", F.struct("weight", -F.col("c"), "c")), "weighed")
     heart = materialize(weighed.groupBy("key").agg(F.max("top").alias("heart")), "hearts")
     best = weighed.join(heart, "key").groupBy("c").agg(F.max("heart").alias("heart"))
     return best.select(F.col("heart.c").alias("a"), F.col("c").alias("b")).filter("a != b")
@@ -249,26 +254,26 @@ def _more_pairs(members: DataFrame, groups: DataFrame, num: int, den: int) -> Da
     mixed = per.groupBy("key").agg(F.max(F.struct("m", "g")).alias("top"), F.count(F.lit(1)).alias("gs")).filter("gs > 1")
     mixed = materialize(mixed.select("key", F.col("top.g").alias("major")), "mixed")
     left = materialize(placed.join(mixed, "key"), "left")
-    part = ["c", "g", "n", "at", "small", "large"]
-    x = left.filter("g != major").select("key", "major", *[F.col(p).alias(f"x_{p}") for p in part])
-    y = left.select(F.col("key").alias("y_key"), *[F.col(p).alias(f"y_{p}") for p in part])
-    order = lambda s: F.struct(f"{s}_n", f"{s}_c")
-    roles = (F.col("x_small") & F.col("y_large") & (order("x") < order("y"))) | (F.col("y_small") & F.col("x_large") & (order("y") < order("x")))
+    part = ["c", "g", "n", "at"]
+    x = left.filter("small").select("key", "major", *[F.col(p).alias(f"x_{p}") for p in part])
+    y = left.filter("large").select("key", "major", *[F.col(p).alias(f"y_{p}") for p in part])
     most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     fits = (
         (F.col("x_g") != F.col("y_g"))
-        & ((F.col("y_g") == F.col("major")) | (F.col("x_c") < F.col("y_c")))
-        & roles
+        & (F.struct("x_n", "x_c") < F.struct("y_n", "y_c"))
         & ((num + den) * most >= num * (F.col("x_n") + F.col("y_n")))
-        & (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
+        & (den * F.col("x_n") >= num * F.col("y_n"))
     )
-    pairs = x.join(y, (x["key"] == y["y_key"]) & fits)
+    # the smaller set of a pair stands on one side, so texts that share only what neither could share as the smaller one never meet
+    one = x.filter("x_g != major").join(y.drop("major"), "key")
+    other = x.filter("x_g = major").join(y.filter("y_g != major").drop("major"), "key")
+    pairs = one.filter(fits).unionByName(other.filter(fits))
     return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
 # ---- overlaps ----------------------------------------------------------------------------------------------------------
-def _segments(texts: DataFrame, order: Order, k: int) -> DataFrame:
-    """``c``, ``f``, ``s``: the n-grams of a class in each fragment that has some. ``texts``: ``c``, ``d1``, ``d2``, ``text``."""
+def _segments(texts: DataFrame, order: Order, k: int, rarest: bool) -> DataFrame:
+    """``c``, ``f``, ``s``: the n-grams of a class in each fragment that has some, the first one alone (``rarest``) or all others. ``texts``: ``c``, ``d1``, ``d2``, ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,6 +286,9 @@ def _segments(texts: DataFrame, order: Order, k: int) -> DataFrame:
                         continue
                     s, c = order.sort(s)
                     f = order.fragments(s, c)
+                    s, f = (s[f == 0], f[f == 0]) if rarest else (s[f > 0], f[f > 0])
+                    if not len(s):
+                        continue
                     begin = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
                     owners += [own[0][row]] * len(begin)
                     fragments += f[begin].tolist()
@@ -295,30 +303,57 @@ def _segments(texts: DataFrame, order: Order, k: int) -> DataFrame:
     return in_arrow(texts, run, "c bigint, f int, s array<bigint>")
 
 
+def _side(segments: DataFrame, pairs: DataFrame, side: str, name: str) -> DataFrame:
+    """Segments of the classes on one side of the pairs."""
+    some = materialize(pairs.select(F.col(side).alias("c")).distinct(), "side")
+    return segments.join(some, "c", "left_semi").select(F.col("c").alias(side), "f", F.col("s").alias(name))
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """``a``, ``b``, ``shared``: partial overlaps counted in each fragment, summed per pair. Pairs that share nothing are left out."""
-    x = segments.select(F.col("c").alias("a"), "f", F.col("s").alias("x"))
-    y = segments.select(F.col("c").alias("b"), "f", F.col("s").alias("y"))
-    met = pairs.select("a", "b").join(x, "a").join(y, ["b", "f"])
-    met = met.select("a", "b", "f", F.size(F.array_intersect("x", "y")).cast("bigint").alias("part"))
+    met = pairs.select("a", "b").join(_side(segments, pairs, "b", "sy"), "b").join(_side(segments, pairs, "a", "sx"), ["a", "f"])
+    met = met.select("a", "b", "f", F.size(F.array_intersect("sx", "sy")).cast("bigint").alias("part"))
     # rows that repeat an id and text repeat its segments
     partial = met.groupBy("a", "b", "f").agg(F.max("part").alias("part"))
     return partial.groupBy("a", "b").agg(F.sum("part").alias("shared"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, k: int, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are similar."""
     sizes = classes.select("c", "n")
     sized = pairs.join(sizes.withColumnsRenamed({"c": "a", "n": "x"}), "a").join(sizes.withColumnsRenamed({"c": "b", "n": "y"}), "b")
     near = materialize(sized.filter(den * F.least("x", "y") >= num * F.greatest("x", "y")), "near")
-    shared = overlaps(near, segments)
-    found = near.join(shared, ["a", "b"])
-    return materialize(found.filter(den * F.col("shared") >= num * (F.col("x") + F.col("y") - F.col("shared"))).select("a", "b"), "links")
+    rare = _wanted(texts, classes, near, order, k, rarest=True)
+    met = near.join(_side(rare, near, "b", "sy"), "b", "left").drop("f").join(_side(rare, near, "a", "sx").drop("f"), "a", "left")
+    none = F.array().cast("array<bigint>")
+    sx, sy = F.coalesce("sx", none), F.coalesce("sy", none)
+    part = F.size(F.array_intersect(sx, sy)).cast("bigint")
+    most = part + F.least(F.col("x") - F.size(sx), F.col("y") - F.size(sy))
+    kept = met.select("a", "b", "x", "y", part.alias("part"), most.alias("most")).groupBy("a", "b", "x", "y").agg(F.max("part").alias("part"), F.max("most").alias("most"))
+    near = materialize(kept.filter((num + den) * F.col("most") >= num * (F.col("x") + F.col("y"))).drop("most"), "near")
+    shared = overlaps(near, _wanted(texts, classes, near, order, k, rarest=False))
+    total = F.col("part") + F.coalesce("shared", F.lit(0))
+    found = near.join(shared, ["a", "b"], "left").filter(den * total >= num * (F.col("x") + F.col("y") - total))
+    return materialize(found.select("a", "b"), "links")
+
+
+def _perhaps(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` may be among ``keys``, by ``_BUCKETS`` marks; none that is among them is missing.
+
+    Spares a shuffle the texts that a join would drop, as long as the keys are fewer than the marks, of which at most all, a number
+    each, are broadcast.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BUCKETS)).cast("int")
+    marks = materialize(keys.select(place(column).alias("mark")).distinct(), "marks")
+    return df.join(F.broadcast(marks), place(column) == marks["mark"], "left_semi")
 
 
-def _wanted(docs: DataFrame, classes: DataFrame, members: DataFrame, order: Order, k: int) -> DataFrame:
-    some = members.select("c").distinct()
+def _wanted(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, k: int, rarest: bool) -> DataFrame:
+    """Segments of the classes in the pairs."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     some = materialize(classes.join(some, "c", "left_semi").select("c", "d1", "d2", F.col("rep").alias("key")), "wanted")
-    return materialize(_segments(docs.select("key", "text").join(some, "key").select("c", "d1", "d2", "text"), order, k), "segments")
+    texts = _perhaps(docs.select("key", "text"), some, "key").join(some, "key").select("c", "d1", "d2", "text")
+    return materialize(_segments(texts, order, k, rarest), "segments")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, fragments: int = 8) -> DataFrame:
@@ -341,15 +376,14 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, fragm
     sets = both.filter("slice IS NULL").select("doc_id", "key", *_MINE)
     classes = sets.filter("n > 0").groupBy(*_MINE).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    order = global_order(both.filter("slice IS NOT NULL").select("slice", "counts"), fragments)
+    order = global_order(both.filter("slice IS NOT NULL").select("part", "slice", "counts"), fragments)
 
     members = _members(texts, classes, order, k, num, den)
-    segments = _wanted(texts, classes, members, order, k)
     pairs = materialize(_first_pairs(members), "pairs")
-    links = _confirmed(pairs, classes, segments, num, den)
+    links = _confirmed(texts, pairs, classes, order, k, num, den)
     groups = materialize(connected(links).withColumnsRenamed({"node": "c", "component": "g"}), "groups")
     pairs = materialize(_more_pairs(members, groups, num, den), "pairs")
-    links = links.unionByName(_confirmed(pairs, classes, segments, num, den))
+    links = links.unionByName(_confirmed(texts, pairs, classes, order, k, num, den))
     groups = materialize(connected(links).withColumnsRenamed({"node": "c", "component": "g"}), "groups")
 
     placed = materialize(classes.join(groups, "c", "left").withColumn("g", F.coalesce("g", "c")).select(*_MINE, "g", "least", "size"), "placed")
