@@ -27,13 +27,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over streams of the given tables."""
+    """A derived view over streams of the given tables, each a file or a folder of files."""
 
     def fill(m: re.Match) -> str:
         if m[1] == "ts":
             return "TIMESTAMP_NTZ "
         schema = read_table(spark, sf_dir, m[1]).schema
-        source = spark.readStream.schema(schema).option("pathGlobFilter", f"{m[1]}.parquet").parquet(sf_dir)
+        # a stream takes a single file only as the match of a pattern, and the files of a folder, too
+        source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{m[1]}.parque[t]")
         source.createOrReplaceTempView(f"stream_of_{m[1]}")
         return f"stream_of_{m[1]}"
 

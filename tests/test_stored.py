@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageprism.operators import platform as P
+from pageprism.plans.catalog import all_queries
 from pageprism.sources.stored import StoredTable
 from pageprism.streaming import incremental as I
 
@@ -106,6 +107,18 @@ def test_stream_equals_batch_and_reads_one_snapshot(spark, tmp_path):
     assert rows(table) == want
 
 
+def test_streams_of_tables_in_one_file_and_in_folders(spark, sf, tmp_path):
+    """A table of several files is read whole, and a file or folder with a like name is not read."""
+    for name in ("pages", "lineitem", "events"):
+        whole = spark.read.parquet(f"{sf}/{name}.parquet")
+        whole.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        whole.limit(5).write.parquet(str(tmp_path / f"more_{name}.parquet"))
+    for query in ("stream_site_upsert", "stream_latest_health", "stream_request_counts"):
+        one, many = (all_queries()[query](spark, folder) for folder in (sf, str(tmp_path)))
+        want = sorted(map(str, one.collect()))
+        assert want and sorted(map(str, many.collect())) == want
+
+
 def test_history_over_many_batches_and_restarts(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     r = random.Random(2)
