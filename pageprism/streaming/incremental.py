@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -72,34 +73,56 @@ def run_upserts(stream: DataFrame, table: StoredTable, checkpoint: str) -> None:
 
 
 # ---- the newest rows per key as state ------------------------------------------------------------------------------------
+#: Shards that the projects of a stream are dealt to; a stream goes on with the number it began with.
+SHARDS = 4096
+_KEPT = pa.schema(
+    [("project_id", pa.string()), ("health_id", pa.string()), ("ts", pa.timestamp("us")), ("overall_score", pa.int64()), ("changed_at", pa.int64())]
+)
+
+
 class NewestRows(StatefulProcessor):
-    """Keeps the newest ``k`` rows of a key in a list that is forgotten when nothing has come for ``ttl_ms``.
+    """Keeps the newest ``k`` rows of each project of a shard; a project whose rows have not changed for ``ttl_ms`` is forgotten.
 
-    A batch's rows are read in chunks, of which only the newest ``k`` are held. Rows that are sent twice count once.
+    A shard's rows are one value, an Arrow table, so what a call of the state costs is paid per shard and not per project.
+    A batch's rows are read in chunks, of which only the newest ``k`` of a project are held. Rows that are sent twice count once.
     """
 
     def __init__(self, k: int, ttl_ms: int):
         self.k, self.ttl_ms = k, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("newest", "health_id string, ts timestamp_ntz, overall_score bigint", self.ttl_ms)
+        self.rows = handle.getValueState("newest", "rows binary", self.ttl_ms)
+
+    def _held(self) -> pd.DataFrame:
+        value = self.rows.get() if self.rows.exists() else None
+        table = pa.ipc.open_stream(bytes(value[0])).read_all() if value else _KEPT.empty_table()
+        return table.to_pandas().astype({"overall_score": "Int64"})
 
     def _newest(self, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["ts", "health_id"])
-        return rows.sort_values(["ts", "health_id"], ascending=[False, True], ignore_index=True).head(self.k)
+        rows = rows.drop_duplicates(["project_id", "ts", "health_id"])
+        rows = rows.sort_values(["project_id", "ts", "health_id"], ascending=[True, False, True], ignore_index=True)
+        return rows[rows.groupby("project_id", dropna=False, sort=False).cumcount() < self.k]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["health_id", "ts", "overall_score"]
-        best = pd.DataFrame(list(self.rows.get()), columns=columns)
-        before = list(best.itertuples(index=False, name=None))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self._held()
+        best = held[held["changed_at"] > now - self.ttl_ms].assign(new=False)
+        lost = len(best) < len(held)
         for chunk in rows:
-            best = self._newest(pd.concat([best, chunk[columns]], ignore_index=True) if len(best) else chunk[columns])
-        now = list(best.itertuples(index=False, name=None))
-        if now != before:
-            self.rows.put(now)
-            best.insert(0, "project_id", key[0])
-            best["rank"] = range(1, len(best) + 1)
-            yield best
+            chunk = chunk[_KEPT.names[:4]].astype({"ts": "datetime64[us]", "overall_score": "Int64"}).assign(changed_at=now, new=True)
+            best = self._newest(pd.concat([best, chunk], ignore_index=True) if len(best) else chunk)
+        projects = best.groupby("project_id", dropna=False, sort=False)
+        # a row goes only for a new one, so a project has changed if it has a new row
+        changed = projects["new"].transform("any")
+        if lost or changed.any():
+            table = pa.Table.from_pandas(best.assign(changed_at=best["changed_at"].mask(changed, now)), _KEPT, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _KEPT) as writer:
+                writer.write_table(table)
+            self.rows.update((sink.getvalue().to_pybytes(),))
+        if changed.any():
+            best = best.assign(rank=projects.cumcount() + 1)[changed]
+            yield best[["project_id", "health_id", "ts", "overall_score", "rank"]]
 
     def close(self) -> None:
         pass
@@ -110,9 +133,10 @@ HISTORY = "project_id string, health_id string, ts timestamp_ntz, overall_score
 
 def health_history(stream: DataFrame, k: int = 30, ttl_days: int = 90) -> DataFrame:
     """The newest ``k`` rows of each project that a batch changed. State is at most ``k`` rows a project; a project without any
-    row for ``ttl_days`` of processing time is forgotten by the state (not by the table it was written to)."""
-    rows = stream.select("project_id", "health_id", "ts", F.col("overall_score").cast("bigint").alias("overall_score"))
-    return rows.groupBy("project_id").transformWithStateInPandas(
+    new row for ``ttl_days`` of processing time is forgotten by the state (not by the table it was written to)."""
+    shard = F.pmod(F.xxhash64("project_id"), F.lit(SHARDS)).alias("shard")
+    rows = stream.select(shard, "project_id", "health_id", "ts", F.col("overall_score").cast("bigint").alias("overall_score"))
+    return rows.groupBy("shard").transformWithStateInPandas(
         NewestRows(k, ttl_days * 86_400_000), outputStructType=HISTORY, outputMode="Update", timeMode="ProcessingTime"
     )
 
@@ -120,7 +144,7 @@ def health_history(stream: DataFrame, k: int = 30, ttl_days: int = 90) -> DataFr
 def run_history(stream: DataFrame, table: StoredTable, checkpoint: str) -> None:
     """Drain a stream of health rows into a table with the newest rows of each project, keyed by project and rank."""
     conf = stream.sparkSession.conf
-    # list state needs RocksDB; without new rows there is nothing to do, though processing time goes on
+    # state of this kind needs RocksDB; without new rows there is nothing to do, though processing time goes on
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {name: conf.get(name) for name in wanted}
     for name, value in wanted.items():

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,46 @@ def test_history_over_many_batches_and_restarts(spark, tmp_path):
     assert state.groupBy("key").count().agg(F.max("count")).first()[0] <= 30
 
 
+def test_projects_of_a_shard_share_a_state(spark, tmp_path, monkeypatch):
+    """State calls are paid per shard, so their number does not grow with the projects; null projects, scores and times are kept."""
+    monkeypatch.setattr(I, "SHARDS", 3)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    r = random.Random(3)
+    health = [(None if i % 50 == 0 else f"p{i % 50}", f"h{i}", None if i % 29 == 0 else at(r.randint(0, 400)), None if i % 31 == 0 else i) for i in range(3000)]
+    table = StoredTable(spark, f"{out}/t", ["project_id", "rank"], I.HISTORY, buckets=2)
+    schema = "project_id string, health_id string, ts timestamp_ntz, overall_score bigint"
+    for n in range(2):
+        spark.createDataFrame(health[n * 1500 : n * 1500 + 1500], schema).coalesce(1).write.mode("append").parquet(src)
+        I.run_history(_stream(spark, src, spark.createDataFrame([], schema).schema), table, f"{out}/state")
+    batch = P.newest_k(spark.createDataFrame(health, schema), ["project_id"], [F.desc("ts"), F.asc("health_id")], 30)
+    key = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert key(table.read().collect()) == key(batch.select(*table.columns).collect())
+    assert spark.read.format("statestore").option("stateVarName", "newest").load(f"{out}/state").count() <= 3
+
+
+def test_projects_of_a_shard_are_forgotten_one_by_one():
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    def batch(now, *projects):
+        rows = pd.DataFrame([(0, p, f"h{i}", at(i), i) for p, i in projects], columns=["shard", "project_id", "health_id", "ts", "overall_score"])
+        time = type("Time", (), {"getCurrentProcessingTimeInMs": lambda self: now})()
+        return [(x.project_id, x.health_id, x.rank) for out in newest.handleInputRows((0,), iter([rows]), time) for x in out.itertuples()]
+
+    newest = I.NewestRows(2, 100)
+    newest.rows = State()
+    assert batch(1000, ("a", 1), ("b", 1)) == [("a", "h1", 1), ("b", "h1", 1)]
+    assert batch(1050, ("a", 2), ("b", 1)) == [("a", "h2", 1), ("a", "h1", 2)]  # b's row was sent again
+    assert batch(1120, ("a", 3)) == [("a", "h3", 1), ("a", "h2", 2)]
+    assert set(newest._held().project_id) == {"a"}  # nothing new of b for 100 ms
+    assert batch(1130, ("a", 3), ("b", 0)) == [("b", "h0", 1)]
+
+
 def test_late_rows_are_kept_over_restarts(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "event_id bigint, ts timestamp_ntz, method string"
