@@ -26,6 +26,22 @@ def test_optimizations_are_not_capped(spark):
     assert P.dashboard_projects(projects, none, none, opts, none).first().total_optimizations == 150
 
 
+def test_lookup_drops_rows_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(P, "FEW", 10)
+    word = F.when(F.col("id") % 4 != 0, F.concat(F.lit("u"), (F.col("id") % 3).cast("string")))
+    table = spark.range(20_000).select((F.col("id") % 5000).alias("a"), word.alias("b"), F.col("id").alias("rest"))
+    keys = table.filter("a % 50 = 7").select("b", "a").unionByName(spark.createDataFrame([(None, None), ("u1", 10**9)], "b string, a bigint"))
+    want = sorted(map(tuple, table.filter("a % 50 = 7 AND b IS NOT NULL").select("a", "b", "rest").collect()))
+    assert want and sorted(map(tuple, P.lookup(keys, table, ["a", "b"]).select("a", "b", "rest").collect())) == want
+    left = P._marked(table, keys.distinct(), ["a", "b"])
+    assert left.columns == table.columns and len(want) <= left.filter("b IS NOT NULL").count() <= len(want) + 20
+    plan = P.lookup(keys, table, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftSemi" in line]
+    assert len(joins) == 2 and "__marks" in joins[1] and "__marks" not in joins[0]  # the marks lie below the join with the keys
+    # keys of another type are only joined
+    assert P.lookup(keys.withColumn("a", F.col("a").cast("decimal(20,0)")), table, ["a", "b"]).count() == len(want)
+
+
 def test_dots_fold_like_urljoin(spark):
     base = "http://h.example/a/b/c?q"
     hrefs = ["../x", "../../../../y", "./.", "a/./b/../../c/", "/../p/..", "..", ".", "x/..", "/a/b/../../..", "g;p?y#s", "a/" * 30 + "../" * 17 + "z", "./" * 40 + "e"]
