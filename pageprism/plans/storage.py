@@ -62,13 +62,17 @@ def read_text_doc(s: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.explode(F.split("body", "\n")).alias("line")).filter("line <> ''")
 
 
+#: Lines after which a log file is rotated.
+LINES_PER_FILE = 250_000
+
+
 def _followed_logs(s: SparkSession, sf: str) -> str:
-    """The log lines in rotated files, some of which come after the first were taken."""
+    """The log lines in rotated files, some of which come after the first were taken. More lines are more files, not longer ones."""
     path, out = sinks.work_dir(s, "logs"), sinks.work_dir(s, "log-tables")
     lines = view(s, sf, "access_lines")
     for n in range(2):
-        part = lines.filter(F.col("event_id") % 2 == n).select("line").repartition(2)
-        part.write.text(f"{path}/access.log.{n}", compression=("none", "gzip")[n])
+        part = lines.filter(F.col("event_id") % 2 == n).select("line")
+        part.write.option("maxRecordsPerFile", LINES_PER_FILE).text(f"{path}/access.log.{n}", compression=("none", "gzip")[n])
         logs.follow_logs(s, f"{path}/access.log.*", out, files="part-*")
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import parse_access_log
+from .sinks import materialize
 
 LINE = "value string"
 
@@ -29,11 +30,13 @@ def follow_logs(spark: SparkSession, path: str, out: str, files: str = "*.log.*"
     """Take the new files below ``path`` to the tables ``out/parsed`` and ``out/malformed``, each line once.
 
     A log that is still written to has another name than ``files``; rotation gives it one that stays. Files are remembered by
-    the stream's checkpoint, and a batch that is run again writes over its own folders.
+    the stream's checkpoint, and a batch that is run again writes over its own folders. Lines are matched once. A compressed file is one
+    task, so rotation should bound its size.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        parsed, malformed = split_log(batch)
+        lines = batch.withColumn("line", F.when(~F.col("ok"), F.col("line")))
+        parsed, malformed = split_log(materialize(lines, "log-lines"))
         parsed.write.mode("overwrite").parquet(f"{out}/parsed/batch={number}")
         malformed.write.mode("overwrite").parquet(f"{out}/malformed/batch={number}")
 

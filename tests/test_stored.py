@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageprism.operators import platform as P
+from pageprism.plans import storage
 from pageprism.plans.catalog import all_queries
 from pageprism.sources.stored import StoredTable
 from pageprism.streaming import incremental as I
@@ -176,6 +177,16 @@ def test_projects_of_a_shard_are_forgotten_one_by_one():
     assert batch(1130, ("a", 3), ("b", 0)) == [("b", "h0", 1)]
 
 
+def test_more_log_lines_are_more_files(spark, sf, monkeypatch):
+    monkeypatch.setattr(storage, "LINES_PER_FILE", 70)
+    out = storage._followed_logs(spark, sf)
+    parsed, malformed = (spark.read.parquet(f"{out}/{name}") for name in ("parsed", "malformed"))
+    files = parsed.select("batch", "file").unionByName(malformed.select("batch", "file")).groupBy("batch", "file").count().collect()
+    lines = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert sum(r["count"] for r in files) == lines and max(r["count"] for r in files) <= 70
+    assert {r.batch for r in files} == {0, 1} and any(r.file.endswith(".gz") for r in files)
+
+
 def test_late_rows_are_kept_over_restarts(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "event_id bigint, ts timestamp_ntz, method string"
