@@ -40,9 +40,12 @@ from pyspark.sql import functions as F
 from pageprism.llm import words as W
 from pageprism.llm.common import in_arrow, materialize, row_key
 from pageprism.llm.components import connected
+from pageprism.operators.platform import marked
 
 #: Buckets of the counts, and buckets in a row of counts.
 _BUCKETS, _SLICE = 1 << 20, 1 << 12
+#: Logarithm of the number of marks that tell keys from others.
+_LOG_MARKS = 25
 #: Rows of counts that are added at once.
 _ADDED = 64
 _SMALL, _LARGE = 1, 2  # roles of a set in a pair
@@ -213,14 +216,15 @@ def _postings(docs: DataFrame, order: Order, k: int, num: int, den: int) -> Data
 
 def _members(docs: DataFrame, classes: DataFrame, order: Order, k: int, num: int, den: int) -> DataFrame:
     """``key``, ``c``, ``n``, ``at``, ``small``, ``large``: the members of the keys that more than one class has."""
-    found = materialize(_postings(docs, order, k, num, den).withColumn("r", F.monotonically_increasing_id()), "postings")
-    # one row stands for a class; copies go when their keys are known to be shared
+    # one row stands for a class; most copies go at once, so that a key they alone share is not one of several classes
+    firsts = _perhaps(docs, classes.select(F.col("rep").alias("key")), "key")
+    found = materialize(_postings(firsts, order, k, num, den).withColumn("r", F.monotonically_increasing_id()), "postings")
     heads = found.groupBy(*_MINE).agg(F.min("r").alias("r")).join(classes, _MINE)
     heads = materialize(heads.select("r", "c", "n"), "heads")
     each = found.select("r", F.explode(F.arrays_zip("keys", "info")).alias("x")).select(F.col("x.keys").alias("key"), "r", "x.info")
     # grouped sides are written first: a join of two tables is split at hot keys, one with a grouping in its stage is not
     often = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "keys")
-    rows = materialize(each.join(often, "key").join(heads, "r").select("key", "c", "n", "info"), "rows")
+    rows = materialize(_perhaps(each, often, "key").join(often, "key").join(heads, "r").select("key", "c", "n", "info"), "rows")
     often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "keys")
     info = F.col("info")
     return materialize(
@@ -338,14 +342,12 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, classes: DataFrame, order: Or
 
 
 def _perhaps(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` may be among ``keys``, by ``_BUCKETS`` marks; none that is among them is missing.
+    """Rows whose ``column`` may be among ``keys``; none that is among them is missing.
 
-    Spares a shuffle the texts that a join would drop, as long as the keys are fewer than the marks, of which at most all, a number
-    each, are broadcast.
+    Spares a shuffle what a join would drop, as long as the keys are fewer than the marks, of which at most 2^``_LOG_MARKS``, 64 to
+    a row, are broadcast.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BUCKETS)).cast("int")
-    marks = materialize(keys.select(place(column).alias("mark")).distinct(), "marks")
-    return df.join(F.broadcast(marks), place(column) == marks["mark"], "left_semi")
+    return marked(df, keys.select(column), [column], _LOG_MARKS)
 
 
 def _wanted(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, k: int, rarest: bool) -> DataFrame:

@@ -55,13 +55,13 @@ LOG_MARKS, FEW = 26, 100_000
 _HASHED = {"string", "bigint", "int", "date", "timestamp", "timestamp_ntz"}
 
 
-def _marked(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def marked(table: DataFrame, keys: DataFrame, on: list[str], log_marks: int = LOG_MARKS) -> DataFrame:
     """Rows of ``table`` whose key may be among ``keys``; none whose key is among them is missing.
 
     However many keys there are, at most a million rows of 64 marks are broadcast. With three million keys one row in twenty that
     should go stays, with twenty million one in four.
     """
-    place = F.pmod(F.xxhash64(*on), F.lit(1 << LOG_MARKS))
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << log_marks))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     marks = keys.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("mark"))
     marks = materialize(marks.groupBy("__word").agg(F.bit_or("mark").alias("__marks")), "marks")
@@ -75,7 +75,7 @@ def lookup(keys: DataFrame, table: DataFrame, on: str | list[str]) -> DataFrame:
     keys = materialize(keys.select(*on).distinct(), "lookup-keys")
     types = dict(keys.dtypes)
     if set(types.values()) <= _HASHED and types == dict(table.select(*on).dtypes) and keys.count() > FEW:
-        table = _marked(table, keys, on)
+        table = marked(table, keys, on)
     return table.join(keys, on, "left_semi")
 
 

@@ -138,3 +138,23 @@ def test_query_on_the_given_documents(spark, sf):
     root, sizes = components([r.text for r in rows], 4, 85, 100)
     want = [(r.doc_id, n, rows[c].doc_id) for r, n, c in zip(rows, sizes, root, strict=True)]
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in op11_ngram_join(spark, sf).collect()) == want
+
+
+def test_copies_and_keys_of_one_class_reach_no_join(spark, monkeypatch):
+    """Of copies one text gives keys, and of the keys only those that more than one class may have are joined."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, text(i % 40)) for i in range(400)] + [(1000, text(0) + " more"), (1001, None), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written = {}
+    write = J.materialize
+
+    def count(df, name):
+        out = write(df, name)
+        written.setdefault(name, out.count())  # the first table of a name
+        return out
+
+    monkeypatch.setattr(J, "materialize", count)
+    got = {r.doc_id: r.component_id for r in J.ngram_join(docs, k=4, num=85, den=100).collect()}
+    assert got == {i: i % 40 for i in range(400)} | {1000: 0, 1001: 1001, 1002: 1002}
+    assert written["postings"] == 41
+    assert written["keys"] < 40  # of the text that two classes share

@@ -33,7 +33,7 @@ def test_lookup_drops_rows_before_the_shuffle(spark, monkeypatch):
     keys = table.filter("a % 50 = 7").select("b", "a").unionByName(spark.createDataFrame([(None, None), ("u1", 10**9)], "b string, a bigint"))
     want = sorted(map(tuple, table.filter("a % 50 = 7 AND b IS NOT NULL").select("a", "b", "rest").collect()))
     assert want and sorted(map(tuple, P.lookup(keys, table, ["a", "b"]).select("a", "b", "rest").collect())) == want
-    left = P._marked(table, keys.distinct(), ["a", "b"])
+    left = P.marked(table, keys.distinct(), ["a", "b"])
     assert left.columns == table.columns and len(want) <= left.filter("b IS NOT NULL").count() <= len(want) + 20
     plan = P.lookup(keys, table, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join LeftSemi" in line]
