@@ -277,30 +277,32 @@ def _more_pairs(members: DataFrame, groups: DataFrame, num: int, den: int) -> Da
 
 # ---- overlaps ----------------------------------------------------------------------------------------------------------
 def _segments(texts: DataFrame, order: Order, k: int, rarest: bool) -> DataFrame:
-    """``c``, ``f``, ``s``: the n-grams of a class in each fragment that has some, the first one alone (``rarest``) or all others. ``texts``: ``c``, ``d1``, ``d2``, ``text``."""
+    """``c`` (first half of the digest), ``f``, ``s``: the n-grams of a ``text`` in each fragment that has some, the first one alone (``rarest``) or all others.
+
+    The text itself tells its class, so texts go through no shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.asarray(batch.column(i)) for i in range(3)]
-            for lo, _, words in W.blocks(batch.column(3), W.NOT_SPACE, lower=True):
+            for _, _, words in W.blocks(batch.column(0), W.NOT_SPACE, lower=True):
                 owners, fragments, parts = [], [], []
-                for row, s in enumerate(W.shingle_sets(words, k), lo):
-                    # an id that several texts share brings them all; the digest tells which is meant
-                    if not len(s) or tuple(W.signed(np.array(_digest(s), np.uint64))) != (own[1][row], own[2][row]):
+                for s in W.shingle_sets(words, k):
+                    if not len(s):
                         continue
+                    own = _digest(s)[0]
                     s, c = order.sort(s)
                     f = order.fragments(s, c)
                     s, f = (s[f == 0], f[f == 0]) if rarest else (s[f > 0], f[f > 0])
                     if not len(s):
                         continue
                     begin = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                    owners += [own[0][row]] * len(begin)
+                    owners += [own] * len(begin)
                     fragments += f[begin].tolist()
                     parts += np.split(s, begin[1:])
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(W.signed(flat)))],
+                    [pa.array(W.signed(np.array(owners, np.uint64))), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(W.signed(flat)))],
                     names=["c", "f", "s"],
                 )
 
@@ -323,9 +325,10 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, k: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar."""
-    sizes = classes.select("c", "n")
-    sized = pairs.join(sizes.withColumnsRenamed({"c": "a", "n": "x"}), "a").join(sizes.withColumnsRenamed({"c": "b", "n": "y"}), "b")
+    """The pairs whose sets are similar. Their segments are found by the first half of the sets' digests, as ``a`` and ``b``."""
+    sizes = classes.select("c", "n", "d1")
+    sized = pairs.withColumnsRenamed({"a": "ca", "b": "cb"})
+    sized = sized.join(sizes.withColumnsRenamed({"c": "ca", "n": "x", "d1": "a"}), "ca").join(sizes.withColumnsRenamed({"c": "cb", "n": "y", "d1": "b"}), "cb")
     near = materialize(sized.filter(den * F.least("x", "y") >= num * F.greatest("x", "y")), "near")
     rare = _wanted(texts, classes, near, order, k, rarest=True)
     met = near.join(_side(rare, near, "b", "sy"), "b", "left").drop("f").join(_side(rare, near, "a", "sx").drop("f"), "a", "left")
@@ -333,12 +336,13 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, classes: DataFrame, order: Or
     sx, sy = F.coalesce("sx", none), F.coalesce("sy", none)
     part = F.size(F.array_intersect(sx, sy)).cast("bigint")
     most = part + F.least(F.col("x") - F.size(sx), F.col("y") - F.size(sy))
-    kept = met.select("a", "b", "x", "y", part.alias("part"), most.alias("most")).groupBy("a", "b", "x", "y").agg(F.max("part").alias("part"), F.max("most").alias("most"))
+    pair = ["ca", "cb", "a", "b", "x", "y"]
+    kept = met.select(*pair, part.alias("part"), most.alias("most")).groupBy(*pair).agg(F.max("part").alias("part"), F.max("most").alias("most"))
     near = materialize(kept.filter((num + den) * F.col("most") >= num * (F.col("x") + F.col("y"))).drop("most"), "near")
     shared = overlaps(near, _wanted(texts, classes, near, order, k, rarest=False))
     total = F.col("part") + F.coalesce("shared", F.lit(0))
     found = near.join(shared, ["a", "b"], "left").filter(den * total >= num * (F.col("x") + F.col("y") - total))
-    return materialize(found.select("a", "b"), "links")
+    return materialize(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
 
 
 def _perhaps(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -351,11 +355,10 @@ def _perhaps(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, k: int, rarest: bool) -> DataFrame:
-    """Segments of the classes in the pairs."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    some = materialize(classes.join(some, "c", "left_semi").select("c", "d1", "d2", F.col("rep").alias("key")), "wanted")
-    texts = _perhaps(docs.select("key", "text"), some, "key").join(some, "key").select("c", "d1", "d2", "text")
-    return materialize(_segments(texts, order, k, rarest), "segments")
+    """Segments of the classes in the pairs, and of the few other texts that have a mark of theirs."""
+    some = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
+    some = materialize(classes.join(some, "c", "left_semi").select(F.col("rep").alias("key")), "wanted")
+    return materialize(_segments(_perhaps(docs, some, "key").select("text"), order, k, rarest), "segments")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, fragments: int = 8) -> DataFrame:
@@ -369,7 +372,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, fragm
     Null and empty texts have no n-grams and link with nothing: their component is their own id. A row without an id takes
     part as its text; a component of such rows alone has none. Repeated rows get equal results; rows that share an id
     but not the text are judged by their texts. Other columns are not looked at. An empty table gives an empty result.
-    N-grams are compared by 64-bit hashes. The result does not depend on ``fragments``.
+    N-grams are compared by 64-bit hashes, and classes named by 64 bits of their digest where overlaps are counted. The result does not depend on ``fragments``.
     """
     if not 0 < num < den:
         raise ValueError("the threshold must lie between 0 and 1")

@@ -158,3 +158,25 @@ def test_copies_and_keys_of_one_class_reach_no_join(spark, monkeypatch):
     assert got == {i: i % 40 for i in range(400)} | {1000: 0, 1001: 1001, 1002: 1002}
     assert written["postings"] == 41
     assert written["keys"] < 40  # of the text that two classes share
+
+
+def test_texts_go_through_no_shuffle(spark, monkeypatch):
+    """Where the wanted texts are too many to be broadcast, the segments of a pair still come from texts as they are read."""
+    plans, made = [], J._segments
+
+    def noted(texts, *rest, **more):
+        plans.append(texts._jdf.queryExecution().executedPlan().toString())
+        return made(texts, *rest, **more)
+
+    monkeypatch.setattr(J, "_segments", noted)
+    texts = family(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join(docs, k=4, num=85, den=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want, _ = components(texts, 4, 85, 100)
+    assert [got[i] for i in range(len(texts))] == want
+    assert plans and not any("hashpartitioning" in p or "SortMergeJoin" in p for p in plans)
