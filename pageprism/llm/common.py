@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,15 @@ from pageprism.sources.sinks import materialize
 
 __all__ = ["by_rows", "documents", "in_arrow", "keyed", "materialize", "row_key", "table"]
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark settings have it; without a unit it is in bytes."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,8 +68,13 @@ def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
     Where the package is on the driver's path alone (tests, a notebook), its
     folder is handed to the Python workers; a cluster gets it by ``--py-files``
-    or an installation.
+    or an installation. Whole texts and pairs of them go to the workers in
+    batches of at most ``BATCH_BYTES`` and a row, where the session allows more: a batch stands
+    in memory several times, in Spark and in the worker, of every task at once.
     """
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(conf.get(bound)) <= BATCH_BYTES:
+        conf.set(bound, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
     return df.mapInArrow(run, schema)
